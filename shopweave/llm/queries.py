@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup
+from . import langid, linededup, quality
 from .common import held_out, read_table
 
 
@@ -17,6 +17,18 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The quality model learned from the labels that are not held out."""
+    labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
+    return quality.train(docs, labels)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.drop_common_lines(docs)
@@ -36,5 +48,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed LEFT JOIN common c ON keyed.key = c.key GROUP BY doc_id
 """
 
-QUERIES = {"op1_langid": op1_langid, "op6_line_dedup": op6_line_dedup}
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op6_line_dedup": op6_line_dedup}
 ORACLE_SQL = {"op6_line_dedup": OP6_SQL}
