@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, quality
+from . import langid, linededup, quality, toxicity
 from .common import held_out, read_table
 
 
@@ -35,6 +35,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.to_json("spans").alias("spans"))
+
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -48,5 +55,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed LEFT JOIN common c ON keyed.key = c.key GROUP BY doc_id
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op6_line_dedup": op6_line_dedup}
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op6_line_dedup": op6_line_dedup}
 ORACLE_SQL = {"op6_line_dedup": OP6_SQL}
