@@ -8,7 +8,6 @@ document score, calibrated on the training documents, and give the offending off
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -18,7 +17,12 @@ from pyspark.sql import types as T
 
 from .common import Adam, labelled_sample, sigmoid, small_batches
 
-WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+")
+#: Bytes of words: ASCII letters, digits, and all bytes of other letters.
+WORD_BYTE = np.zeros(256, bool)
+WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Prefix lengths in bytes whose weights inflected forms of a word share.
+STEMS = (4, 5, 6, 7)
+FEATURES = 2 + len(STEMS)
 #: Tokens of one chain; a text is cut into consecutive chains of this length.
 CHAIN = 64
 BUCKETS = 1 << 14
@@ -31,9 +35,22 @@ def _bucket(feature: bytes) -> int:
     return (h >> 20) % (BUCKETS - 1) + 1
 
 
-def stem(word: bytes) -> bytes:
-    """The first six bytes: inflected forms of a word share their weight."""
-    return word[:6] + b"*"
+def stems(word: bytes) -> list[bytes]:
+    """Prefixes of a word, marked as such; the whole word for lengths that it lacks."""
+    return [word[:k] + b"*" for k in STEMS]
+
+
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Begins, ends and lower-cased bytes of all words; none spans two rows."""
+    mask = np.zeros(len(data) + 1, bool)
+    mask[:-1] = WORD_BYTE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    before = np.concatenate([[False], mask[:-1]])
+    begin = np.flatnonzero(mask & (~before | cut))
+    end = np.flatnonzero(before & (~mask | cut))
+    raw = data.tobytes().lower()
+    return begin, end, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 class ChainCRF:
@@ -44,27 +61,38 @@ class ChainCRF:
         self.affix = np.zeros(BUCKETS)
         self.bias, self.trans, self.start = np.array([-2.0]), np.zeros((2, 2)), np.zeros(2)
         self.calibration = np.array([0.0, 0.0, 0.0])
-        self._ids: dict[bytes, tuple[int, int, int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._rows: dict[bytes, int] = {}
+        self._ids = np.zeros((1 << 12, FEATURES), np.int32)
 
     def __getstate__(self):
-        return self.__dict__ | {"_ids": {}}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._forget()
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """(n, 3) buckets: the word, its prefix, its suffix."""
-        known = self._ids
-        if len(known) > 300_000:
-            known.clear()
+        """(n, FEATURES) buckets: the word, its stems, its suffix."""
+        if len(self._rows) > 300_000:
+            self._forget()
+        known = self._rows
         for w in set(words).difference(known):
-            v = w[:64].lower()
-            known[w] = (_bucket(v), _bucket(stem(v)), _bucket(v[-4:] + b">"))
-        return np.array([known[w] for w in words], np.int64).reshape(-1, 3)
+            k = known[w] = len(known)
+            if k == len(self._ids):
+                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+            v = w[:64]
+            self._ids[k] = [_bucket(x) for x in (v, *stems(v), v[-4:] + b">")]
+        return self._ids[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Log-odds of the inside tag for chains ``ids`` (n, CHAIN, 3); bucket 0 pads."""
+        """Log-odds of the inside tag for chains ``ids`` (n, CHAIN, FEATURES); bucket 0 pads."""
         word, side = ids[..., 0], np.zeros(ids.shape[:2])
         side[:, 1:] += self.weight[0][word[:, :-1]]
         side[:, :-1] += self.weight[2][word[:, 1:]]
-        return self.bias[0] + self.weight[1][word] + self.affix[ids[..., 1]] + self.affix[ids[..., 2]] + side
+        return self.bias[0] + self.weight[1][word] + self.affix[ids[..., 1:]].sum(-1) + side
 
     def marginals(self, e: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Inside marginals (n, CHAIN) and summed transition marginals (2, 2) by forward-backward."""
@@ -103,8 +131,8 @@ class ChainCRF:
                 np.add.at(g["weight"][1], word, d)
                 np.add.at(g["weight"][0], word[:, :-1], d[:, 1:])
                 np.add.at(g["weight"][2], word[:, 1:], d[:, :-1])
-                np.add.at(g["affix"], x[..., 1], d)
-                np.add.at(g["affix"], x[..., 2], d)
+                for k in range(1, FEATURES):
+                    np.add.at(g["affix"], x[..., k], d)
                 g["bias"][0] = d.sum()
                 seen = np.zeros((2, 2))
                 np.add.at(seen, (y[:, :-1][r[:, 1:]], y[:, 1:][r[:, 1:]]), 1)
@@ -116,25 +144,18 @@ class ChainCRF:
                 opt.step({k: v / n * 64 + decay * params[k] for k, v in g.items()})
         return self
 
-    def tag(self, data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def tag(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each word's row, begin, end and inside marginal, for rows of ``data`` cut at ``at``."""
-        rows, begins, ends, words = [], [], [], []
-        for k in range(len(at) - 1):
-            found = [m.span() for m in WORD.finditer(data, int(at[k]), int(at[k + 1]))]
-            rows.append(len(found))
-            begins += [a for a, _ in found]
-            ends += [b for _, b in found]
-        words = [data[a:b] for a, b in zip(begins, ends, strict=True)]
-        count = np.array(rows, np.int64)
-        row = np.repeat(np.arange(len(count)), count)
-        begin, end = np.array(begins, np.int64), np.array(ends, np.int64)
+        begin, end, words = words_of(data, at)
+        row = np.searchsorted(at, begin, side="right") - 1
         if not words:
             return row, begin, end, np.zeros(0)
+        count = np.bincount(row, minlength=len(at) - 1)
         chains = -(-count // CHAIN)
         first = np.cumsum(chains) - chains
         place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
         chain, spot = np.repeat(first, count) + place // CHAIN, place % CHAIN
-        ids = np.zeros((int(chains.sum()), CHAIN, 3), np.int64)
+        ids = np.zeros((int(chains.sum()), CHAIN, FEATURES), np.int32)
         ids[chain, spot] = self.ids(words)
         p, _ = self.marginals(self.emissions(ids), ids[..., 0] > 0)
         return row, begin, end, p[chain, spot]
@@ -149,34 +170,49 @@ class ChainCRF:
         return sigmoid(features @ self.calibration[:2] + self.calibration[2])
 
 
-def toxic_words(documents: list[tuple[int, set[bytes]]], least: int = 4, odds: float = 8.0) -> set[bytes]:
-    """Words and stems in ``least`` toxic documents or more whose smoothed document odds are ``odds`` or more."""
+def toxic_words(documents: list[tuple[int, list[bytes]]], share: float = 0.01, odds: float = 20.0) -> set[bytes]:
+    """Words and stems far likelier in toxic documents.
+
+    One is taken if ``share`` of the toxic documents or more have it, its smoothed document
+    odds are ``odds`` or more, and it follows as many different words: copies of one toxic
+    document repeat its context, words put anywhere do not.
+    """
     counts, total = {0: Counter(), 1: Counter()}, Counter(y for y, _ in documents)
     for y, words in documents:
-        counts[y].update(words)
+        counts[y].update({*words, *(x for w in set(words) for x in stems(w))})
     rate = lambda w, y: (counts[y][w] + 0.5) / (total[y] + 1)
-    return {w for w, n in counts[1].items() if n >= least and rate(w, 1) >= odds * rate(w, 0)}
+    least = max(3, share * total[1])
+    found = {w for w, n in counts[1].items() if n >= least and rate(w, 1) >= odds * rate(w, 0)}
+    before: dict[bytes, set[bytes]] = {w: set() for w in found}
+    for y, words in documents:
+        for last, w in zip([b"", *words], words, strict=False) if y else ():
+            for x in {w, *stems(w)} & found:
+                before[x].add(last)
+    return {w for w in found if len(before[w]) >= max(least, 0.6 * counts[1][w])}
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 1500, window: int = 2048, windows: int = 4) -> ChainCRF | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, window: int = 2048, windows: int = 4) -> ChainCRF | None:
     """Fit on at most ``per_class`` labelled texts of each class; None without both classes."""
     rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label=label, per_class=per_class, window=window, windows=windows)
     y = np.array([int(bool(k)) for k, _ in rows])
     if len(set(y)) < 2:
         return None
     texts = [b"\n".join(w) for _, w in rows]
-    tokens = [[w.lower() for w in WORD.findall(t)] for t in texts]
-    toxic = toxic_words([(int(k), {*t, *map(stem, t)}) for k, t in zip(y, tokens, strict=True)])
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    begin, _, flat = words_of(data, at)
+    cuts = np.searchsorted(begin, at)
+    tokens = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    toxic = toxic_words([(int(k), t) for k, t in zip(y, tokens, strict=True)])
     model, ids, tags = ChainCRF(), [], []
     for k, words in zip(y, tokens, strict=True):
-        inside = np.array([k == 1 and (w in toxic or stem(w) in toxic) for w in words], np.int64)
+        inside = np.array([k == 1 and (w in toxic or not toxic.isdisjoint(stems(w))) for w in words], np.int64)
         got = model.ids(words)
         for i in range(0, len(words), CHAIN):
             if k == 0 and i >= 4 * CHAIN:  # clean documents outweigh the spans by far
                 break
             if k == 1 and not inside[i : i + CHAIN].any() and i >= 2 * CHAIN:
                 continue
-            x, t = np.zeros((CHAIN, 3), np.int64), np.zeros(CHAIN, np.int64)
+            x, t = np.zeros((CHAIN, FEATURES), np.int32), np.zeros(CHAIN, np.int64)
             m = len(words[i : i + CHAIN])
             x[:m], t[:m] = got[i : i + m], inside[i : i + m]
             ids.append(x)
@@ -184,8 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not ids:
         return None
     model.fit(np.array(ids), np.array(tags))
-    at = np.cumsum([0, *map(len, texts)])
-    row, _, _, p = model.tag(b"".join(texts), at)
+    row, _, _, p = model.tag(data, at)
     f = model.document_features(row, p, len(texts))
     params = {"c": np.zeros(3)}
     opt, x = Adam(params, 0.1), np.column_stack([f, np.ones(len(f))])
@@ -213,7 +248,7 @@ def score(docs: DataFrame, model: ChainCRF | None, *, text_col: str = "text", th
             n = batch.num_rows
             q, spans = np.zeros(n), [[] for _ in range(n)]
             if model:
-                row, begin, end, p = model.tag(data.tobytes(), at)
+                row, begin, end, p = model.tag(data, at)
                 q = model.document_scores(model.document_features(row, p, n))
                 last = -2
                 for k in np.flatnonzero(p >= threshold):
