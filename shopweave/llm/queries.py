@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, quality, toxicity
-from .common import held_out, read_table
+from . import huffman, langid, linededup, packing, quality, toxicity
+from .common import held_out, new_path, read_table
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabularies lie; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +49,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.to_json("spans").alias("spans"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048)
+
+
+def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    where = new_path(spark, "token-codes")
+    huffman.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), where)
+    return huffman.read(spark, where)
+
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -55,5 +74,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed LEFT JOIN common c ON keyed.key = c.key GROUP BY doc_id
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op6_line_dedup": op6_line_dedup}
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op4_packing": op4_packing, "op6_line_dedup": op6_line_dedup, "op9_token_codes": op9_token_codes}
 ORACLE_SQL = {"op6_line_dedup": OP6_SQL}
