@@ -191,17 +191,15 @@ def toxic_words(documents: list[tuple[int, list[bytes]]], share: float = 0.01, o
     return {w for w in found if len(before[w]) >= max(least, 0.6 * counts[1][w])}
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 3000, window: int = 2048, windows: int = 4) -> ChainCRF | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 2000, window: int = 2048, windows: int = 4) -> ChainCRF | None:
     """Fit on at most ``per_class`` labelled texts of each class; None without both classes."""
     rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label=label, per_class=per_class, window=window, windows=windows)
     y = np.array([int(bool(k)) for k, _ in rows])
     if len(set(y)) < 2:
         return None
     texts = [b"\n".join(w) for _, w in rows]
-    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    begin, _, flat = words_of(data, at)
-    cuts = np.searchsorted(begin, at)
-    tokens = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    shared: dict[bytes, bytes] = {}  # one object a word: the driver's memory is small
+    tokens = [[shared.setdefault(w, w) for w in words_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[2]] for t in texts]
     toxic = toxic_words([(int(k), t) for k, t in zip(y, tokens, strict=True)])
     model, ids, tags = ChainCRF(), [], []
     for k, words in zip(y, tokens, strict=True):
@@ -219,9 +217,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             tags.append(t)
     if not ids:
         return None
-    model.fit(np.array(ids), np.array(tags))
-    row, _, _, p = model.tag(data, at)
-    f = model.document_features(row, p, len(texts))
+    model.fit(np.array(ids), np.array(tags, np.int8))
+    del tokens, shared, ids, tags
+    f = np.zeros((len(texts), 2))
+    for i in range(0, len(texts), 100):
+        part = texts[i : i + 100]
+        row, _, _, p = model.tag(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))
+        f[i : i + len(part)] = model.document_features(row, p, len(part))
     params = {"c": np.zeros(3)}
     opt, x = Adam(params, 0.1), np.column_stack([f, np.ones(len(f))])
     for _ in range(400):
