@@ -2,7 +2,7 @@
 
 A piece goes to the open sequence whose use leaves the squared counts of open sequences
 per residual gap smallest: gaps that many sequences share are used up, gaps that few
-share are spared. Pieces are hashed into groups of bounded size that Spark packs apart,
+share are spared. A new sequence is opened only for what fits nowhere. Pieces are hashed into groups of bounded size that Spark packs apart,
 so no task holds more than a group; only a group's last sequences stay underfull.
 """
 
@@ -34,10 +34,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
         # Change of the sum if gap g (size .. capacity) becomes g - size; gap 0 is closed.
         change = 2 * (counts[: capacity - size + 1] - counts[size:]) + 2
         change[0] = 1 - 2 * counts[size]
-        change[counts[size:] == 0] = np.iinfo(np.int64).max
-        if size < capacity:
-            change[-1] = 2 * counts[capacity - size] + 1  # a new sequence
-        g = size + int(change.argmin()) if size < capacity else capacity
+        change[none := counts[size:] == 0] = np.iinfo(np.int64).max
+        g = capacity if none.all() else size + int(change.argmin())  # a new one only if it fits nowhere
         if g == capacity:
             own, made = made, made + 1
         else:
