@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, langid, linededup, packing, quality, toxicity
+from . import decontaminate, huffman, langid, linededup, packing, quality, toxicity
 from .common import held_out, new_path, read_table
 
 
@@ -54,6 +54,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.match(docs, read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
+
+
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     where = new_path(spark, "token-codes")
@@ -74,5 +81,26 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed LEFT JOIN common c ON keyed.key = c.key GROUP BY doc_id
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op4_packing": op4_packing, "op6_line_dedup": op6_line_dedup, "op9_token_codes": op9_token_codes}
-ORACLE_SQL = {"op6_line_dedup": OP6_SQL}
+OP5_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS m FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[s : s + m - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM sized)),
+grams AS (SELECT doc_id, m, s, array_to_string(w[s : s + m - 1], ' ') AS g
+          FROM (SELECT *, unnest(range(1, greatest(1, len(w) - m + 2))) AS s FROM dw, (SELECT DISTINCT m FROM sized))),
+hits AS (SELECT doc_id, item_id, s, win.m FROM grams JOIN win ON grams.m = win.m AND grams.g = win.g),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS l
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
+"""
+
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op9_token_codes": op9_token_codes}
+ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL}
