@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, langid, linededup, packing, quality, toxicity
+from . import decontaminate, huffman, langid, linededup, minhash, packing, quality, toxicity
 from .common import held_out, new_path, read_table
 
 
@@ -61,6 +61,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.link(docs, k=4, percent=80)
+
+
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     where = new_path(spark, "token-codes")
@@ -102,5 +107,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS
 FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op9_token_codes": op9_token_codes}
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_near_dup": op7_near_dup, "op9_token_codes": op9_token_codes}
 ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL}
