@@ -8,6 +8,7 @@ looked up after that; whatever a cut might not be safe for goes to the library w
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import regex
@@ -54,10 +55,19 @@ class Encoder:
             if len(self.splits) >= 2 * CACHE:
                 self.splits.clear()
             text = part.encode().decode("latin-1").translate(self.chars)
-            got = self.splits[part] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            got = self.splits[part] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return got
 
     def _plain(self, text: str) -> bytes:
+        lead = text[:1] == " "  # a word, or one with a stop or comma: no pattern is needed
+        body = text[1:] if lead else text
+        last = body[-1:]
+        stem = body[:-1] if last in (".", ",") else body
+        if stem.isalpha() and max(stem) < "\u0130":
+            if self.kind == "word":
+                stem, lead = stem.lower(), False
+            got = self._split(" " + stem if lead else stem)
+            return got + self._split(last) if last in (".", ",") else got
         if not PLAIN.fullmatch(text):
             return self._library(text)
         if self.kind == "word":
