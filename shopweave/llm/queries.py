@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, langid, linededup, minhash, packing, quality, toxicity
+from . import bitsliced, decontaminate, huffman, langid, linededup, minhash, packing, quality, toxicity
 from .common import held_out, new_path, read_table
 
 
@@ -66,6 +66,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(docs, k=4, percent=80)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(read_table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     where = new_path(spark, "token-codes")
@@ -107,5 +111,15 @@ SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS
 FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_near_dup": op7_near_dup, "op9_token_codes": op9_token_codes}
-ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL}
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_near_dup": op7_near_dup, "op8_topk": op8_topk, "op9_token_codes": op9_token_codes}
+ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_topk": OP8_SQL}
