@@ -177,7 +177,7 @@ def _across(members: DataFrame, least: float) -> DataFrame:
     return member.unionByName(probe).groupBy("key", "block").applyInPandas(compare, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row of ``docs``; ids are integers.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space. A text's set is its
