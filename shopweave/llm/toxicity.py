@@ -25,6 +25,7 @@ STEMS = (4, 5, 6, 7)
 FEATURES = 2 + len(STEMS)
 #: Tokens of one chain; a text is cut into consecutive chains of this length.
 CHAIN = 64
+FAINT = 0.2
 BUCKETS = 1 << 14
 
 
@@ -161,9 +162,13 @@ class ChainCRF:
         return row, begin, end, p[chain, spot]
 
     def document_features(self, row: np.ndarray, p: np.ndarray, rows: int) -> np.ndarray:
-        """(rows, 2): log of 1 + expected toxic words, and the largest marginal."""
+        """(rows, 2): log of 1 + expected toxic words, and the largest marginal.
+
+        Marginals under ``FAINT`` do not add up: a clean text of any length stays clean.
+        """
         top = np.zeros(rows)
         np.maximum.at(top, row, p)
+        p = np.where(p >= FAINT, p, 0.0)
         return np.stack([np.log1p(np.bincount(row, weights=p, minlength=rows)), top], 1)
 
     def document_scores(self, features: np.ndarray) -> np.ndarray:
