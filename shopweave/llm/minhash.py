@@ -29,7 +29,9 @@ SLACK = 0.15
 #: Candidate ids that may be broadcast (8 bytes each); beyond that they are joined.
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that one task compares with the bucket's probes.
-BLOCK = 4096
+BLOCK = 2048
+#: Similar pairs a member from which on a block confirms its links itself.
+DENSE = 4
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,39 +147,75 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
     return joined.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """(a, b): similar classes of different components that share a bucket.
+def _across(members: DataFrame, traits: DataFrame, texts: DataFrame, least: float, percent: int, k: int, most_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Similar classes of different components that share a bucket: pairs (a, b) to confirm, and links (u, v).
 
-    ``members``: key, id, component, signature. The classes outside a bucket's commonest
-    component are its probes; blocks of all its members meet them in separate tasks.
+    ``members``: key, band, id, component; ``traits``: id, signature, bands. The classes outside a bucket's
+    commonest component are its probes; blocks of all its members meet them in separate
+    tasks. Where a block has more than ``most_pairs`` similar pairs a member, no pairs are listed:
+    its texts go to the task, which confirms and returns one link a probe and component.
     """
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     top = per.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("most")).where("kinds > 1")
     top = top.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).select("key", "most", "blocks")
-    # Buckets with the same members (other bands) give the same pairs: one is enough.
-    same = members.join(top.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    top = top.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-    rows = members.join(top, "key")
-    member = rows.select("key", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "id", "component", "signature")
-    probe = rows.where("component <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "id", "component", "signature")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    # Of buckets with the same members, the one of the first band is enough.
+    same = members.join(top.select("key"), "key", "left_semi").groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    top = top.join(same.groupBy("n", "x", "y").agg(F.min_by("key", "band").alias("key")).select("key"), "key", "left_semi")
+    rows = materialize(members.join(top, "key"), "across")
+
+    def meet(own: DataFrame, *columns: str) -> DataFrame:
+        """Each block's members and, marked, all probes of its bucket."""
+        block = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+        member = own.select("key", block.alias("block"), F.lit(False).alias("probe"), "band", "id", "component", *columns)
+        probe = own.where("component <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "band", "id", "component", *columns)
+        return member.unionByName(probe)
+
+    def similar(pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         is_probe = pdf["probe"].to_numpy()
-        ids, comp = pdf["id"].to_numpy(), pd.factorize(pdf["component"])[0]
+        comp = pd.factorize(pdf["component"])[0]
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(-1, HASHES)
-        body = np.flatnonzero(~is_probe)
-        out = []
+        body, found = np.flatnonzero(~is_probe), []
         for p in np.flatnonzero(is_probe):
-            near = body[(comp[body] != comp[p])]
-            near = near[(sig[near] == sig[p]).mean(1) >= least]
-            out.append(np.column_stack([np.minimum(ids[near], ids[p]), np.maximum(ids[near], ids[p])]))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(found, columns=["a", "b"])
+            near = body[comp[body] != comp[p]]
+            found.append((p, near[(sig[near] == sig[p]).mean(1) >= least]))
+        return comp, found
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, (_, found) = pdf["id"].to_numpy(), similar(pdf)
+        if sum(len(near) for _, near in found) > most_pairs * len(pdf) + 64:
+            return pd.DataFrame({"key": pdf["key"].iloc[:1], "a": [-1], "b": [-1], "dense": [True]})
+        out = [np.column_stack([np.minimum(ids[near], ids[p]), np.maximum(ids[near], ids[p])]) for p, near in found]
+        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "a": both[:, 0], "b": both[:, 1], "dense": False})
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, (comp, found) = pdf["id"].to_numpy(), similar(pdf)
+        raw = [t.encode() for t in pdf["text"]]
+        at = np.cumsum([0, *map(len, raw)])
+        sets = list(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, k))
+        size = np.array([len(x) for x in sets])
+        first = np.cumsum(size) - size
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+        bands, band = np.stack(pdf["bands"].to_list()), int(pdf["band"].iloc[0])
+        mark, out = np.zeros(number.max(initial=0) + 1, bool), []
+        for p, near in found:
+            near = near[~(bands[near, :band] == bands[p, :band]).any(1)]  # judged where they first meet
+            if not len(near):
+                continue
+            mark[number[first[p] : first[p] + size[p]]] = True
+            both = np.add.reduceat(mark[number].astype(np.int64), first)[near]
+            mark[number[first[p] : first[p] + size[p]]] = False
+            good = near[100 * both >= percent * (size[near] + size[p] - both)]
+            good = good[np.unique(comp[good], return_index=True)[1]]
+            out += [(ids[p], ids[g]) for g in good]
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
-    return member.unionByName(probe).groupBy("key", "block").applyInPandas(compare, "a long, b long").distinct()
+    met = materialize(meet(rows.join(traits.drop("bands"), "id"), "signature").groupBy("key", "block").applyInPandas(pairs, "key long, a long, b long, dense boolean"), "across-pairs")
+    dense = rows.join(met.where("dense").select("key").distinct(), "key", "left_semi").join(traits, "id").join(texts, "id")
+    return met.where("NOT dense").select("a", "b").distinct(), meet(dense, "signature", "bands", "text").groupBy("key", "block").applyInPandas(links, "u long, v long")
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, dense: int = DENSE) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row of ``docs``; ids are integers.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space. A text's set is its
@@ -194,13 +232,13 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     same = rows.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     reps = real.join(classes.select("set_key", F.col("rep").alias("id")), ["set_key", "id"], "left_semi").dropDuplicates(["set_key"])
 
-    members = reps.select("id", F.explode("bands").alias("key"))
+    members = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    buckets = materialize(members.join(shared, "key").select("key", "id", "pivot"), "buckets")
+    buckets = materialize(members.join(shared, "key").select("key", "band", "id", "pivot"), "buckets")
     candidates = buckets.select("id").distinct()
     count = candidates.count()
     wanted = F.broadcast(candidates) if count <= BROADCAST_IDS else candidates
-    signatures = materialize(reps.select("id", "signature").join(wanted, "id", "left_semi"), "signatures")
+    signatures = materialize(reps.select("id", "signature", "bands").join(wanted, "id", "left_semi"), "signatures")
     # Rows that repeat an id may differ in text; each of them is a set of its own.
     texts = materialize(base.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]) if count else base.limit(0), "texts")
 
@@ -210,9 +248,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     first = materialize(_confirmed(nearest, texts, percent, k), "links")
 
     known = components(first)
-    labelled = buckets.select("key", "id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = _across(labelled.join(signatures, "id"), least)
-    second = materialize(_confirmed(rest, texts, percent, k), "links")
+    labelled = buckets.select("key", "band", "id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest, direct = _across(labelled, signatures, texts, least, percent, k, dense)
+    second = materialize(_confirmed(rest, texts, percent, k).unionByName(direct), "links")
 
     final = components(first.unionByName(second).unionByName(same.select("u", "v")))
     out = sketches.select("id", "n_shingles").join(final.withColumnRenamed("node", "id"), "id", "left")

@@ -116,9 +116,16 @@ def test_decontamination(spark, rows):
     assert clean.columns == frame(spark, rows).columns and {r["doc_id"] for r in clean.collect()} == {i for i, r in got.items() if not r["hit_spans"]}
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates(spark, rows, k):
-    sets = {}
+@pytest.mark.parametrize(("k", "dense"), [(4, 4), (5, -1000)])
+def test_near_duplicates(spark, rows, k, dense):
+    rng, sets = random.Random(8), {}
+    base = words(rng, 70).split()  # a chain of near copies, only some of them near enough
+    rows = list(rows)
+    for n in range(30):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(70)] = words(rng, 1)
+        rows.append((100 + n, " ".join(text)))
     for i, t in rows:
         w = (t or "").encode().lower().split()
         sets[i] = {tuple(w[s : s + k]) for s in range(max(1, len(w) - k + 1))} if w else set()
@@ -134,7 +141,7 @@ def test_near_duplicates(spark, rows, k):
             if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    got = by_id(minhash.link(frame(spark, rows), k=k))
+    got = by_id(minhash.link(frame(spark, rows), k=k, dense=dense))
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
