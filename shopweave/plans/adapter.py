@@ -80,9 +80,35 @@ class Retail:
 
     @cached_property
     def zones(self) -> DataFrame:
-        """Four squares that tile the frame; the last one is a billing queue."""
-        rows = [(f"P{2 * i + j}", f"Square {2 * i + j}", "BILLING" if (i, j) == (1, 1) else "BROWSING", [(i / 2, j / 2), (i / 2 + 0.5, j / 2), (i / 2 + 0.5, j / 2 + 0.5), (i / 2, j / 2 + 0.5)]) for i in (0, 1) for j in (0, 1)]
-        return self.spark.createDataFrame(rows, "zone_id string, name string, type string, polygon array<struct<x: double, y: double>>")
+        """Four squares that tile each camera's frame; the last one is a billing queue, the first a staff area."""
+        kinds = {(0, 0): "STAFF_AREA", (1, 1): "BILLING"}
+        rows = [(f"P{2 * i + j}", f"Square {2 * i + j}", kinds.get((i, j), "BROWSING"), [(i / 2, j / 2), (i / 2 + 0.5, j / 2), (i / 2 + 0.5, j / 2 + 0.5), (i / 2, j / 2 + 0.5)]) for i in (0, 1) for j in (0, 1)]
+        squares = self.spark.createDataFrame(rows, "zone_id string, name string, type string, polygon array<struct<x: double, y: double>>")
+        cameras = self.raw.select("store_id", F.col("store_id").alias("camera_id")).distinct()
+        return cameras.crossJoin(F.broadcast(squares))  # four constant rows
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """The events as an ingest feed of JSON lines of all families; every 17th lacks its store, every 23rd is not JSON."""
+        e = self.raw
+        kind, t = F.col("event_type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+        store = F.when(F.col("event_id") % 17 != 0, F.col("store_id"))
+        passage = F.to_json(F.struct(kind.alias("event_type"), F.col("entity_id").alias("id_token"), store.alias("store_code"), "camera_id", F.concat(t, F.lit("Z")).alias("event_timestamp")))
+        zone = F.to_json(F.struct(kind.alias("event_type"), F.col("user_id").alias("track_id"), store.alias("store_id"), "camera_id", "zone_id", F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("event_time"), F.col("hotspot_x").alias("zone_hotspot_x"), F.lit("Yes").alias("is_revenue_zone")))
+        queue = F.to_json(F.struct(kind.alias("event_type"), F.col("user_id").alias("track_id"), store.alias("store_id"), "camera_id", "zone_id", t.alias("event_time"), "queue_event_id", t.alias("queue_join_ts"), t.alias("queue_exit_ts"), "wait_seconds"))
+        canonical = F.to_json(F.struct(F.lit("BILLING_QUEUE_JOIN").alias("event_type"), F.concat(F.lit("E"), "event_id").alias("event_id"), store.alias("store_id"), "camera_id", F.col("entity_id").alias("visitor_id"), t.alias("timestamp"), F.lit(0.5).alias("confidence"), "zone_id", F.struct("queue_event_id", "wait_seconds").alias("metadata")))
+        line = F.when(kind.isin("entry", "exit"), passage).when(kind.isin("zone_entered", "zone_exited"), zone).when(kind == "billing_queue_join", canonical).otherwise(queue)
+        return e.select(F.when(F.col("event_id") % 23 == 0, F.lit("not json")).otherwise(line).alias("value"), F.col("event_id").alias("arrival"))
+
+    @cached_property
+    def pos_rows(self) -> DataFrame:
+        """The sales as text rows of an import, two rows an order; every 13th amount and every 19th store is broken."""
+        sale = self.raw.where(F.col("is_purchase") & (F.col("event_id") % 2 == 0)).select("event_id", "store_id", "ts", "k", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+        row = F.col("event_id") * 2 + F.col("j")
+        return sale.select(
+            row.alias("row_no"), F.concat(F.lit(" O"), "event_id").alias("order_id"), F.date_format("ts", "d-M-yyyy").alias("order_date"), F.date_format("ts", "H:mm:ss").alias("order_time"),
+            F.when(F.col("event_id") % 19 == 0, "shop").otherwise(F.concat(F.lit("store_"), F.substring("store_id", 3, 9))).alias("store_id"), F.col("k").cast("string").alias("product_id"), F.lit(" ").alias("brand_name"),
+            F.when(row % 13 == 0, "n/a").otherwise(F.format_string("%.2f", "value")).alias("total_amount"))
 
     @cached_property
     def adjacency(self) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import journeys, live, metrics, people, pos, rules, sessions, spatial
+from ..operators import journeys, live, metrics, normalize, people, pos, replay, rules, sessions, spatial, tracks
+from ..sources.storage import materialize
 from .adapter import BASE_SQL, END, START, Retail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,7 +190,7 @@ fun AS (SELECT store_id, visitor_basis, step_no, step, CAST("count" AS BIGINT) A
 
 @query("agg15_funnel", FULL_SQL + FUNNEL_SQL + " SELECT * FROM fun")
 def _(r):
-    return metrics.funnel(store_metrics(r))
+    return metrics.funnel(materialize(store_metrics(r), "metrics"))
 
 
 DWELL_SQL = """
@@ -403,8 +404,8 @@ pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY CASE sev
 
 
 def all_alerts(r: Retail) -> DataFrame:
-    m = store_metrics(r)
-    return rules.alerts(rules.queue_spike(m), rules.conversion_drop(m), rules.dead_zones(r.events), rules.trend_alerts(rules.trend_signals(*periods(r))))
+    m = materialize(store_metrics(r), "metrics")
+    return rules.alerts(rules.queue_spike(m), rules.conversion_drop(m), rules.dead_zones(r.events), rules.trend_alerts(rules.trend_signals(*(materialize(p, "period") for p in periods(r)))))
 
 
 @query("rul7_alerts", ALERT_SQL + " SELECT * FROM pl")
@@ -444,7 +445,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY CASE severity W
 
 @query("rul9_14_insights", INSIGHT_SQL)
 def _(r):
-    m, d = store_metrics(r), metrics.zone_dwell(r.events, r.entities)
+    m, d = materialize(store_metrics(r), "metrics"), materialize(metrics.zone_dwell(r.events, r.entities), "dwell")
     return rules.insights(rules.store_insights(m), rules.funnel_insights(metrics.funnel(m), m), rules.zone_insights(stores(r), d), rules.opportunity_zones(d, m))
 
 
@@ -524,3 +525,156 @@ def _(r):
   count(*) FILTER (reason = 'below_threshold') AS below_threshold FROM li GROUP BY ALL""")
 def _(r):
     return people.candidate_summary(links(r))
+
+
+# --- sightings ----------------------------------------------------------------------------
+
+SNAP_SQL = """
+, sn AS (SELECT store_id, store_id AS camera_id, 'v' AS video, entity_id AS track_id, CAST(event_id AS INT) AS frame, ts, hotspot_x AS x, hotspot_y AS y FROM raw)"""
+ISLAND_SQL = lambda grace: SNAP_SQL + f"""
+, zn AS (SELECT 'P' || CAST(2 * i + j AS VARCHAR) AS zone_id, i / 2.0::DOUBLE AS x0, j / 2.0::DOUBLE AS y0 FROM range(2) a(i), range(2) b(j)),
+h AS (SELECT sn.*, zone_id, x >= x0 AND x < x0 + 0.5 AND y >= y0 AND y < y0 + 0.5 AS ins FROM sn, zn),
+h1 AS (SELECT *, last_value(CASE WHEN ins THEN ts END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS li,
+         NOT lag(ins) OVER w AS wo, lag(ts) OVER w AS wt FROM h WINDOW w AS (PARTITION BY store_id, track_id, zone_id ORDER BY ts, frame)),
+h2 AS (SELECT *, sum(CASE WHEN ins AND (li IS NULL OR (wo AND date_diff('second', li, wt) >= {grace})) THEN 1 ELSE 0 END) OVER w AS vn
+       FROM h1 WINDOW w AS (PARTITION BY store_id, track_id, zone_id ORDER BY ts, frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+v1 AS (SELECT store_id, camera_id, video, track_id, zone_id, vn, min((ts, frame)) FILTER (ins) AS f, max((ts, frame)) FILTER (ins) AS l FROM h2 WHERE vn > 0 GROUP BY ALL),
+v2 AS (SELECT v1.store_id, v1.camera_id, v1.video, v1.track_id, v1.zone_id, v1.vn, any_value(f) AS f, any_value(l) AS l, min((h2.ts, h2.frame)) FILTER (NOT ins AND (h2.ts, h2.frame) > l) AS o,
+         min(h2.frame) FILTER (NOT ins AND (h2.ts, h2.frame) > l AND date_diff('second', struct_extract_at(l, 1), h2.ts) >= {grace}) AS cf
+       FROM v1 JOIN h2 ON v1.store_id = h2.store_id AND v1.track_id = h2.track_id AND v1.zone_id = h2.zone_id AND v1.vn = h2.vn GROUP BY ALL),
+zv AS (SELECT store_id, camera_id, video, track_id, zone_id, CAST(vn AS BIGINT) AS visit_no, struct_extract_at(f, 1) AS enter_ts, struct_extract_at(f, 2) AS enter_frame, struct_extract_at(l, 1) AS last_inside_ts, struct_extract_at(l, 2) AS last_inside_frame,
+         coalesce(struct_extract_at(o, 1), struct_extract_at(l, 1)) AS exit_ts, o IS NOT NULL AS left, cf AS confirmed_frame FROM v2)"""
+
+
+@query("geo3_line_crossings", SNAP_SQL + """
+, s1 AS (SELECT *, x >= 0.5 AS ins, lag(x >= 0.5) OVER (PARTITION BY store_id, track_id ORDER BY ts, frame) AS was,
+           max(CASE WHEN x < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, track_id ORDER BY ts, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anyout FROM sn),
+s2 AS (SELECT * FROM s1 WHERE ins <> was),
+s3 AS (SELECT *, max(CASE WHEN NOT ins THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, track_id ORDER BY ts, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ex FROM s2)
+SELECT store_id, camera_id, video, track_id, frame, ts, CASE WHEN NOT ins THEN 'exit' WHEN ex > 0 THEN 'reentry' ELSE 'entry' END AS event_type FROM s3""")
+def _(r):
+    return tracks.line_crossings(r.snapshots)
+
+
+@query("geo5_zone_visits", ISLAND_SQL(120) + " SELECT * FROM zv")
+def _(r):
+    return tracks.zone_visits(r.snapshots, r.zones, grace=120)
+
+
+@query("geo6_queue_visits", ISLAND_SQL(120) + """
+, qz AS (SELECT * FROM zv WHERE zone_id = 'P3'),
+st AS (SELECT store_id, track_id, visit_no, enter_frame AS frame, 1 AS step FROM qz UNION ALL SELECT store_id, track_id, visit_no, confirmed_frame, -1 FROM qz WHERE confirmed_frame IS NOT NULL),
+ps AS (SELECT *, sum(step) OVER (PARTITION BY store_id ORDER BY frame, step, track_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM st)
+SELECT qz.store_id, camera_id, video, qz.track_id, zone_id, qz.visit_no, enter_ts, exit_ts, last_inside_frame, date_diff('second', enter_ts, exit_ts) AS dwell_seconds,
+  CASE WHEN NOT "left" THEN 'queue_abandoned' WHEN date_diff('second', enter_ts, exit_ts) >= 45 THEN 'queue_completed' WHEN date_diff('second', enter_ts, exit_ts) >= 8 THEN 'queue_abandoned' END AS outcome, CAST(p AS BIGINT) AS position_at_join
+FROM qz JOIN ps ON qz.store_id = ps.store_id AND qz.track_id = ps.track_id AND qz.visit_no = ps.visit_no AND step = 1""")
+def _(r):
+    return tracks.queue_visits(tracks.zone_visits(r.snapshots, r.zones.where("type = 'BILLING'"), grace=120))
+
+
+@query("geo8_event_ids")
+def _(r):
+    return tracks.event_ids(tracks.line_crossings(r.snapshots))
+
+
+@query("geo9_run_statistics", SNAP_SQL + """
+SELECT store_id, camera_id, video, count(DISTINCT frame) AS frames, count(*) AS detections, 1::BIGINT AS max_people, count(DISTINCT track_id) AS unique_tracks FROM sn GROUP BY ALL""")
+def _(r):
+    return tracks.run_statistics(r.snapshots)
+
+
+@query("geo9_track_statistics", SNAP_SQL + " SELECT store_id, camera_id, video, track_id, count(*) AS frames, min(ts) AS first_seen, max(ts) AS last_seen FROM sn GROUP BY ALL")
+def _(r):
+    return tracks.track_statistics(r.snapshots)
+
+
+@query("id8_staff_by_area", SNAP_SQL + f"""
+, a AS (SELECT store_id, camera_id, video, track_id, count(*) FILTER (x < 0.5 AND y < 0.5) AS staff_frames, count(*) AS frames FROM sn GROUP BY ALL)
+SELECT *, {rate('staff_frames', 'frames')} AS score FROM a WHERE staff_frames >= 10 AND staff_frames >= 0.3 * frames""")
+def _(r):
+    return tracks.staff_by_area(r.snapshots, r.zones, share=0.3)
+
+
+# --- ingest, sales import, replay ---------------------------------------------------------
+
+PARSED_SQL = """
+, ok AS (SELECT * FROM raw WHERE event_id % 23 <> 0 AND event_id % 17 <> 0),
+nm AS (SELECT event_id AS arrival, event_type, store_id, camera_id, CASE WHEN event_type IN ('entry', 'exit') THEN 'id_token' WHEN event_type = 'billing_queue_join' THEN 'visitor_id' ELSE 'track_id' END AS source_field,
+         CASE WHEN event_type IN ('entry', 'exit', 'billing_queue_join') THEN entity_id ELSE CAST(user_id AS VARCHAR) END AS source_value, ts,
+         CASE WHEN event_type NOT IN ('entry', 'exit') THEN zone_id END AS zone_id, CASE WHEN event_type IN ('zone_entered', 'zone_exited') THEN hotspot_x END AS hotspot_x,
+         CASE WHEN event_type NOT IN ('entry', 'exit', 'zone_entered', 'zone_exited') THEN queue_event_id END AS queue_event_id,
+         CASE WHEN event_type NOT IN ('entry', 'exit', 'zone_entered', 'zone_exited') THEN wait_seconds END AS wait_seconds,
+         CASE WHEN event_type IN ('zone_entered', 'zone_exited') THEN true END AS is_revenue_zone FROM ok),
+nk AS (SELECT *, CASE WHEN event_type = 'billing_queue_join' THEN 'E' || CAST(arrival AS VARCHAR) WHEN event_type IN ('queue_completed', 'queue_abandoned') THEN 'queue:' || queue_event_id
+         ELSE event_type || ':' || camera_id || ':' || source_field || ':' || source_value || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS source_event_id FROM nm)"""
+NORMAL = ("arrival", "event_type", "store_id", "camera_id", "source_field", "source_value", "ts", "zone_id", "hotspot_x", "queue_event_id", "wait_seconds", "is_revenue_zone", "source_event_id")
+
+
+@query("nrm1_12_normalized", PARSED_SQL + " SELECT * FROM nk")
+def _(r):
+    return normalize.split(normalize.parse(r.lines))[0].select(*NORMAL)
+
+
+@query("nrm2_rejected", """
+SELECT CASE WHEN event_id % 23 = 0 THEN 'not a JSON event' WHEN event_type IN ('entry', 'exit') THEN 'missing store_code' ELSE 'missing store_id' END AS error, count(*) AS n
+FROM raw WHERE event_id % 23 = 0 OR event_id % 17 = 0 GROUP BY ALL""")
+def _(r):
+    return normalize.split(normalize.parse(r.lines))[1].groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("rpl3_ingest_report", PARSED_SQL + """
+, d AS (SELECT count(DISTINCT (store_id, source_event_id)) AS a, count(*) AS n FROM nk), f AS (SELECT count(*) AS failed FROM raw WHERE event_id % 23 = 0 OR event_id % 17 = 0)
+SELECT a AS accepted, n - a AS duplicate, failed, 'partial_success' AS outcome FROM d, f""")
+def _(r):
+    return normalize.ingest_report(parsed_feed(r))
+
+
+def parsed_feed(r: Retail) -> DataFrame:
+    """The feed parsed once: the ingest job's stored table."""
+    return materialize(normalize.parse(r.lines), "parsed")
+
+
+def replayed(r: Retail) -> DataFrame:
+    parsed = parsed_feed(r)
+    chosen = replay.candidates(parsed, "ST1001", at(START), at(END))
+    had = normalize.split(parsed)[0].where(F.col("arrival") % 3 == 0)
+    return replay.replay(chosen, had, "job-1")
+
+
+@query("rpl1_replay", PARSED_SQL + f"""
+, ch AS (SELECT * FROM nk WHERE store_id = 'ST1001' AND ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'),
+had AS (SELECT DISTINCT store_id, source_event_id, true AS h FROM nk WHERE arrival % 3 = 0),
+s AS (SELECT arrival, CASE WHEN h OR row_number() OVER (PARTITION BY ch.store_id, ch.source_event_id ORDER BY ts, arrival) > 1 THEN 'duplicate' ELSE 'accepted' END AS status FROM ch LEFT JOIN had USING (store_id, source_event_id))
+SELECT arrival, status, CASE WHEN status = 'accepted' THEN 'job-1' END AS replay_job_id FROM s
+UNION ALL SELECT event_id, 'failed', NULL FROM raw WHERE event_id % 23 = 0 OR event_id % 17 = 0 OR store_id <> 'ST1001'""")
+def _(r):
+    return replayed(r).select("arrival", "status", "replay_job_id")
+
+
+@query("rpl2_job_outcome")
+def _(r):
+    return replay.job_outcome(replayed(r))
+
+
+POS_SQL = """
+, pr AS (SELECT event_id * 2 + j AS row_no, event_id, store_id, ts, k, round(value, 2) AS amount, event_id % 19 = 0 AS bad_store, (event_id * 2 + j) % 13 = 0 AS bad_amount FROM raw, range(2) r(j) WHERE is_purchase AND event_id % 2 = 0)"""
+
+
+@query("pos1_orders", POS_SQL + """
+SELECT store_id, 'O' || CAST(event_id AS VARCHAR) AS order_id, min(ts) AS ts, count(*) AS n_items FROM pr WHERE NOT bad_store AND NOT bad_amount GROUP BY ALL""")
+def _(r):
+    return pos.import_orders(pos.parse_rows(r.pos_rows)).select("store_id", "order_id", "ts", F.size("items").cast("long").alias("n_items"))
+
+
+@query("pos1_errors", POS_SQL + """
+SELECT row_no, 'row ' || CAST(row_no AS VARCHAR) || ': ' || CASE WHEN bad_store THEN 'store_id is not valid' ELSE 'total_amount is not a number' END AS error FROM pr WHERE bad_store OR bad_amount""")
+def _(r):
+    return pos.parse_rows(r.pos_rows).where("error IS NOT NULL").select("row_no", "error")
+
+
+@query("pos1_report", POS_SQL + """
+, o AS (SELECT count(DISTINCT event_id) FILTER (NOT bad_store AND NOT bad_amount) AS orders, count(DISTINCT event_id) FILTER (NOT bad_store AND NOT bad_amount AND event_id % 4 <> 0) AS created, count(*) AS "rows", count(*) FILTER (bad_store OR bad_amount) AS failed_rows FROM pr)
+SELECT "rows", failed_rows, orders, created, orders - created AS skipped FROM o""")
+def _(r):
+    had = r.transactions.where(F.substring("order_id", 2, 20).cast("long") % 4 == 0)
+    return pos.import_report(pos.parse_rows(r.pos_rows), had)
