@@ -6,8 +6,6 @@ as one numpy array, so operators work on bytes without a Python object per row.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize, new_path, shared_dir
+
+__all__ = ["Adam", "held_out", "labelled_sample", "materialize", "new_path", "read_table", "row_chunks", "shared_dir", "sigmoid", "small_batches", "text_buffer", "to_arrow", "windows_of"]
+
 #: Bytes of text that one vectorised step takes; a single longer text is taken alone.
 CHUNK_BYTES = 1 << 20
 
@@ -24,30 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in local tests, a new temporary folder is set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = where.get() if where.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(id_col: str, modulus: int, rest: int) -> Column:
     """True for rows whose crc32 of the id's text leaves ``rest``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == rest, F.lit(False))
