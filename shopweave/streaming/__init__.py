@@ -65,7 +65,7 @@ def _buffered(schema_out: str, keys: list[str], columns: list[str], step, start:
             out += [(*key, *m) for m in made]
         state.update((json.dumps(held, default=int), json.dumps(own, default=int)))
         if held:
-            state.setTimeoutTimestamp(max(held[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(min(held)[0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         names = [c.split()[0] for c in schema_out.split(", ")]
         yield pd.DataFrame(out, columns=names) if out else pd.DataFrame({n: [] for n in names})
 
