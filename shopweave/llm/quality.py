@@ -43,11 +43,14 @@ def encode(data: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
 
 
 def encode_bags(bags: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and each passage's bag."""
+    """Features of all passages, and each passage's bag; a part at a time, as the driver's memory is small."""
     flat = [p for bag in bags for p in bag]
-    data = np.frombuffer(b"".join(flat), np.uint8)
-    owner = np.repeat(np.arange(len(flat)), [len(p) for p in flat])
-    return encode(data, owner, len(flat)), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    x = np.zeros((len(flat), FEATURES), np.float32)
+    for i in range(0, len(flat), 1000):
+        part = flat[i : i + 1000]
+        owner = np.repeat(np.arange(len(part)), [len(p) for p in part])
+        x[i : i + len(part)] = encode(np.frombuffer(b"".join(part), np.uint8), owner, len(part))
+    return x, np.repeat(np.arange(len(bags)), [len(b) for b in bags])
 
 
 class AttentionMIL:
@@ -71,7 +74,8 @@ class AttentionMIL:
 
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.003, decay: float = 1e-4, seed: int = 0) -> AttentionMIL:
         rng, opt, n = np.random.default_rng(seed), Adam(self.p, rate), len(y)
-        self.mean, self.scale = x.mean(0), x.std(0) + 0.05
+        self.mean = x.mean(0)
+        self.scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) - self.mean**2 + 1e-12) + 0.05
         first = np.searchsorted(bag, np.arange(n + 1))
         for _ in range(epochs):
             order = rng.permutation(n)
