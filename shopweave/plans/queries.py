@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import journeys, live, metrics, normalize, people, pos, replay, rules, sessions, spatial, tracks
-from ..sources.storage import materialize
+from ..sources import feeds
+from ..sources.storage import materialize, new_path
 from .adapter import BASE_SQL, END, START, Retail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,7 +498,7 @@ def _(r):
 
 
 LINK_SQL = """
-, sg AS (SELECT store_id, camera_id, entity_id, min(ts) AS first_ts, max(ts) AS last_ts FROM raw GROUP BY ALL),
+, sg AS (SELECT store_id, camera_id, entity_id || '#' || CAST(CAST(session_no AS BIGINT) AS VARCHAR) AS entity_id, min(ts) AS first_ts, max(ts) AS last_ts FROM ev GROUP BY ALL),
 adj AS (SELECT * FROM (VALUES ('CAM0', 'CAM1', 30, 300), ('CAM1', 'CAM2', 60, 600)) t(fc, tc, lo, hi)),
 lk AS (SELECT a.store_id, fc, tc, lo, hi, a.entity_id AS entity_a, b.entity_id AS entity_b, date_diff('second', a.last_ts, b.first_ts) AS gap FROM adj JOIN sg a ON a.camera_id = fc JOIN sg b ON b.camera_id = tc AND b.store_id = a.store_id AND a.entity_id <> b.entity_id
        WHERE date_diff('second', a.last_ts, b.first_ts) BETWEEN lo AND hi),
@@ -508,7 +509,9 @@ li AS (SELECT store_id, fc AS from_camera_id, tc AS to_camera_id, entity_a, enti
 
 
 def links(r: Retail) -> DataFrame:
-    return people.link_candidates(people.camera_sightings(r.raw), r.adjacency)
+    """Each visit is an identity of its own, to be linked across cameras."""
+    visits = r.events.withColumn("entity_id", F.concat("entity_id", F.lit("#"), "session_no"))
+    return people.link_candidates(people.camera_sightings(visits), r.adjacency)
 
 
 @query("id14_sightings", "SELECT store_id, camera_id, entity_id, min(ts) AS first_ts, max(ts) AS last_ts FROM raw GROUP BY ALL")
@@ -678,3 +681,69 @@ SELECT "rows", failed_rows, orders, created, orders - created AS skipped FROM o"
 def _(r):
     had = r.transactions.where(F.substring("order_id", 2, 20).cast("long") % 4 == 0)
     return pos.import_report(pos.parse_rows(r.pos_rows), had)
+
+
+# --- feeds, small steps -------------------------------------------------------------------
+
+@query("liv1_as_of", "SELECT store_id, max(ts) AS as_of FROM raw GROUP BY ALL")
+def _(r):
+    return live.as_of(r.raw)
+
+
+@query("id17_upsert_candidates", LINK_SQL + " SELECT * FROM li")
+def _(r):
+    every = materialize(links(r), "links")
+    return people.upsert_candidates(every, every.where("gap_seconds % 2 = 0"))
+
+
+@query("geo1_footpoints", """
+SELECT event_id, (hotspot_x * 100 + (hotspot_x * 100 + 20)) / 2 / 200 AS foot_x, (hotspot_y * 100 + 50) / 300 AS foot_y FROM raw""")
+def _(r):
+    x, y = F.col("hotspot_x") * 100, F.col("hotspot_y") * 100
+    boxes = r.raw.select("event_id", F.array(x, y, x + 20, y + 50).alias("bbox"), F.lit(200).alias("frame_w"), F.lit(300).alias("frame_h"))
+    return tracks.footpoints(boxes).select("event_id", "foot_x", "foot_y")
+
+
+@query("geo2_sampled_frames", """
+SELECT event_id AS frame, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(event_id * 100000) AS ts FROM raw WHERE event_id % 5 = 0""")
+def _(r):
+    return tracks.sampled(r.raw.select(F.col("event_id").alias("frame")), F.lit(10.0), at("2024-01-01 00:00:00"))
+
+
+@query("snk1_fact_table", "SELECT store_id, CAST(ts AS DATE) AS event_date, count(*) AS n FROM ev WHERE store_id <> 'ST1003' GROUP BY ALL")
+def _(r):
+    path = new_path(r.spark, "facts")
+    feeds.write_events(r.events, path)
+    return feeds.read_events(r.spark, path).where("store_id <> 'ST1003'").groupBy("store_id", "event_date").agg(F.count("*").alias("n"))
+
+
+@query("src1_jsonl_feed", PARSED_SQL + " SELECT event_type, count(*) AS n, count(DISTINCT source_event_id) AS keys FROM nk GROUP BY ALL")
+def _(r):
+    path = new_path(r.spark, "feed")
+    r.lines.select("value").write.text(path)
+    accepted, _ = normalize.split(normalize.parse(feeds.read_lines(r.spark, path)))
+    return accepted.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("source_event_id").alias("keys"))
+
+
+@query("snk3_pos_csv", POS_SQL + """
+SELECT store_id, count(DISTINCT event_id) AS orders, count(*) AS items, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS BIGINT) AS cents FROM pr WHERE NOT bad_store AND NOT bad_amount GROUP BY ALL""")
+def _(r):
+    path = new_path(r.spark, "sales")
+    feeds.write_pos_csv(pos.import_orders(pos.parse_rows(r.pos_rows)), path)
+    again = pos.import_orders(pos.parse_rows(feeds.read_pos(r.spark, path))).select("store_id", "order_id", F.explode("items").alias("i"))
+    per = again.groupBy("store_id", "order_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("i.amount") * 100).cast("long")).alias("c"))
+    return per.groupBy("store_id").agg(F.count("*").alias("orders"), F.sum("n").alias("items"), F.sum("c").alias("cents"))
+
+
+@query("spa4_spatial_config", """
+SELECT store_id, zone_id, array_to_string(list(DISTINCT camera_id ORDER BY camera_id), ',') AS cameras FROM raw GROUP BY ALL""")
+def _(r):
+    keyed = F.concat_ws("/", "store_id", "zone_id")
+    seen = r.raw.select("store_id", F.col("zone_id").alias("zone"), keyed.alias("zone_id"), "camera_id")
+    zones = seen.select("store_id", "zone", "zone_id").distinct()
+    return spatial.spatial_config(zones, seen.select("zone_id", "camera_id")).select("store_id", F.col("zone").alias("zone_id"), F.array_join("cameras", ",").alias("cameras"))
+
+
+@query("rul6_alert_kinds", ALERT_SQL + " SELECT kind, severity, count(*) AS n FROM pl GROUP BY ALL")
+def _(r):
+    return rules.alert_text(all_alerts(r)).where("message IS NOT NULL").groupBy("kind", "severity").agg(F.count("*").alias("n"))
