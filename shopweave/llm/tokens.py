@@ -42,7 +42,7 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.model, self.kind = self.whole.model, kind
         self.chars = _byte_chars()
-        self.pieces: dict[str | bytes, bytes | None] = {}
+        self.pieces: dict[str | bytes, bytes | bool] = {}
         self.splits: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
@@ -54,7 +54,10 @@ class Encoder:
         if got is None:
             if len(self.splits) >= 2 * CACHE:
                 self.splits.clear()
-            text = part.encode().decode("latin-1").translate(self.chars)
+            if part.isascii() and part.isprintable():
+                text = part.replace(" ", self.chars[32])  # the other printable ones stand for themselves
+            else:
+                text = part.encode().decode("latin-1").translate(self.chars)
             got = self.splits[part] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return got
 
@@ -63,7 +66,7 @@ class Encoder:
         body = text[1:] if lead else text
         last = body[-1:]
         stem = body[:-1] if last in (".", ",") else body
-        if stem.isalpha() and max(stem) < "\u0130":
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0130"):
             if self.kind == "word":
                 stem, lead = stem.lower(), False
             got = self._split(" " + stem if lead else stem)
@@ -77,26 +80,42 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return self._words(text) if self.kind == "word" else self._bytes(text)
 
-    def _lookup(self, parts: list, make) -> list[bytes | None]:
+    def _lookup(self, parts: list, make) -> list[bytes | bool]:
+        """Each part's ids, made where they are not known; one look-up a part."""
         known = self.pieces
         if len(known) >= CACHE:
             known.clear()
-        for part in set(parts).difference(known):
-            known[part] = make(part)
-        return list(map(known.__getitem__, parts))
+        got = list(map(known.get, parts))
+        for k, ids in enumerate(got):
+            if ids is None:
+                part = parts[k]
+                ids = known.get(part)
+                if ids is None:
+                    ids = known[part] = make(part)
+                got[k] = ids
+        return got
 
     def _words(self, text: str) -> bytes:
         # bytes.split() cuts at ASCII white space, which this vocabulary drops.
         return b"".join(self._lookup(text.encode().split(), lambda part: self._plain(part.decode())))
 
+    def _after_space(self, part: str) -> bytes | bool:
+        """Ids of a part with its space; False where the space might go with others."""
+        stem = part[:-1] if part[-1:] in (".", ",") else part
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0130"):
+            got = self._split(" " + stem)
+            return got if len(stem) == len(part) else got + self._split(part[-1])
+        if not part or part[0].isspace() or part[-1].isspace():
+            return False
+        return self._plain(" " + part)
+
     def _bytes(self, text: str) -> bytes:
         """Cut before each space between two other characters; any other space needs the whole text."""
         head, *parts = text.split(" ")
-        odd = lambda part: not part or part[0].isspace() or part[-1].isspace()
         if not parts:
             return self._plain(text)
-        got = self._lookup(parts, lambda part: None if odd(part) else self._plain(" " + part))
-        if None in got or not head or head[-1].isspace():
+        got = self._lookup(parts, self._after_space)
+        if False in got or not head or head[-1].isspace():
             return self._plain(text)
         return self._plain(head) + b"".join(got)
 
