@@ -46,10 +46,11 @@ class Items:
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
         ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in split]
         self.need = np.array([min(window, len(x)) for x in ids], np.int64)
-        owner, rows = [], []
+        owner, rows, place = [], [], []
         for k, x in enumerate(ids):
             for s in range(len(x) - int(self.need[k]) + 1):
                 owner.append(k)
+                place.append(s)
                 rows.append(np.pad(x[s : s + window], (0, max(0, window - len(x[s:])))))
         rows = np.array(rows, np.int64).reshape(-1, window)
         size = self.need[owner] if owner else np.zeros(0, np.int64)
@@ -58,7 +59,7 @@ class Items:
         both, back = np.unique(np.column_stack([size, rows]), axis=0, return_inverse=True)
         self.size, self.queries = both[:, 0], both[:, 1:]
         order = np.argsort(back.ravel(), kind="stable")
-        self.owners = np.array(owner, np.int64)[order]
+        self.owners, self.places = np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
         self.first = np.searchsorted(back.ravel()[order], np.arange(len(both) + 1))
         self.shortest = int(self.need.min(initial=window))
 
@@ -112,8 +113,8 @@ def find(ids: np.ndarray, room: np.ndarray, items: Items) -> Iterator[tuple[int,
         yield int(k), order[low[k] : high[k]]
 
 
-def match_shard(data: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
-    """Words of each row, its hit word ranges [begin, end), and the numbers of its items."""
+def shard(data: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """Words of each row, each word's row, and (query, word positions) of all item suffixes found."""
     rows = len(at) - 1
     mask = np.zeros(len(data) + 1, bool)
     mask[:-1] = WORD_BYTE[low := LOWER[data]]
@@ -130,13 +131,38 @@ def match_shard(data: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndar
     stop = np.append(np.where((ids == 0) | (np.diff(row, prepend=-1) != 0), np.arange(len(ids)), len(ids)), len(ids))
     stops = np.minimum.accumulate(stop[::-1])[::-1]
     room = np.where(ids > 0, stops[1:] - np.arange(len(ids)), 0)
-    first = np.cumsum(count) - count
-    cover, found = np.zeros(len(ids) + 1, np.int64), [set() for _ in range(rows)]
     near = np.flatnonzero(ids > 0)  # unknown words start no suffix and end all
-    place = np.full(len(ids) + 1, len(near))
-    place[near] = np.arange(len(near))
-    for k, starts in find(ids[near], room[near], items):
-        where, size = near[starts], int(items.size[k])
+    return count, row, ((k, near[starts]) for k, starts in find(ids[near], room[near], items))
+
+
+def longest_matches(data: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, item word, row word, words) of every longest verbatim match of ``window`` words or more.
+
+    Suffixes that follow each other in the item and in the row are one match.
+    """
+    count, row, hits = shard(data, at, items)
+    first, found = np.cumsum(count) - count, []
+    for k, where in hits:
+        for j in range(items.first[k], items.first[k + 1]):
+            found.append(np.column_stack([row[where], np.full(len(where), items.owners[j]), where - items.places[j], np.full(len(where), items.places[j]), where - first[row[where]], np.full(len(where), items.size[k])]))
+    if not found:
+        return []
+    every = np.concatenate(found)
+    every = every[np.lexsort(every.T[[3, 2, 1, 0]])]  # by row, item, diagonal, item word
+    new = np.concatenate([[True], (every[1:, :3] != every[:-1, :3]).any(1) | (every[1:, 3] != every[:-1, 3] + 1)])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(every)) - 1
+    words_ = every[end, 3] - every[begin, 3] + every[begin, 5]
+    return list(zip(every[begin, 0].tolist(), every[begin, 1].tolist(), every[begin, 3].tolist(), every[begin, 4].tolist(), words_.tolist(), strict=True))
+
+
+def match_shard(data: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
+    """Words of each row, its hit word ranges [begin, end), and the numbers of its items."""
+    count, row, hits = shard(data, at, items)
+    rows, first = len(count), np.cumsum(count) - count
+    cover, found = np.zeros(len(row) + 1, np.int64), [set() for _ in range(rows)]
+    for k, where in hits:
+        size = int(items.size[k])
         np.add.at(cover, where, 1)
         np.add.at(cover, where + size, -1)
         own = items.owners[items.first[k] : items.first[k + 1]].tolist()
@@ -203,6 +229,26 @@ def match(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
     return out if passes else one_pass(out, spark.sparkContext.broadcast([]))
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, item_id, item_word, doc_word, words): every longest verbatim match and where it lies."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("item_word", "doc_word", "words")]])
+    spark, out = docs.sparkSession, None
+
+    def one_pass(sent) -> DataFrame:
+        def run(batches):
+            items = Items(sent.value, window)
+            for batch, data, at in small_batches(batches, text_col, SHARD_WORDS * 6):
+                cols = list(zip(*longest_matches(data, at, items), strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(cols[0], pa.int64())), pa.array([str(items.names[k]) for k in cols[1]], pa.string()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=schema.names)
+
+        return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+    for block in item_blocks(benchmark.where(f"`{item_col}` IS NOT NULL"), item_col, item_text_col, block_bytes):
+        own = one_pass(spark.sparkContext.broadcast(block))
+        out = own if out is None else out.unionByName(own)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):

@@ -112,6 +112,20 @@ def test_decontamination(spark, rows):
                         found |= own
             assert got[i]["n_words"] == len(w) and got[i]["items"] == sorted(map(str, found))
             assert sum(x["end"] - x["begin"] for x in got[i]["hit_spans"]) == len(hit)
+    want = set()
+    for i, t in rows:
+        w = split(t)
+        for j, x in items:
+            v = split(x)
+            need = min(10, len(v))
+            for a in range(len(w)) if j is not None and v else ():
+                for b in range(len(v)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                        n += 1
+                    if n >= need and not (a and b and w[a - 1] == v[b - 1]):
+                        want.add((i, str(j), b, a, n))
+    assert {tuple(r) for r in decontaminate.matches(frame(spark, rows), bench).collect()} == want
     clean = decontaminate.remove_contaminated(frame(spark, rows), bench)
     assert clean.columns == frame(spark, rows).columns and {r["doc_id"] for r in clean.collect()} == {i for i, r in got.items() if not r["hit_spans"]}
 
