@@ -129,6 +129,49 @@ def test_groups_equal_store_wide_greedy(spark):
     assert want > 1 and {r.entity_id: r.group_id for r in people.infer_groups(pairs).collect()} == taken
 
 
+PAIR = "store_id string, a_entity_id string, a_session_no long, a_entry_time timestamp_ntz, b_entity_id string, b_session_no long, b_entry_time timestamp_ntz"
+
+
+def test_groups_of_a_long_chain(spark):
+    """Each visitor matches the next one only: 150 hops from end to end."""
+    rows = [("S1", f"p{n:03d}", 1, at(60 * n), f"p{n + 1:03d}", 1, at(60 * n + 60)) for n in range(150)]
+    got = people.infer_groups(spark.createDataFrame(rows, PAIR)).collect()
+    assert {r.entity_id: r.group_id for r in got} == {f"p{n:03d}": f"S1-GROUP-{n // 2 + 1:03d}" for n in range(150)}
+
+
+def test_groups_in_bounded_rounds(spark, monkeypatch):
+    """No task gets a whole store, and the groups are those of one pass over it."""
+    rng, rows, near = random.Random(4), set(), {}
+    visit = {(f"p{n:02d}", k): at(rng.randint(0, 90)) for n in range(70) for k in (1, 2)}
+    for store in ("S1", "S2"):
+        for _ in range(500):
+            (a, i), (b, j) = sorted(rng.sample(sorted(visit), 2))
+            if a != b:
+                rows.add((store, a, i, visit[a, i], b, j, visit[b, j]))
+    for store, a, i, t, b, j, u in rows:
+        near.setdefault((store, t, a, i), []).append((u, b, j))
+        near.setdefault((store, u, b, j), []).append((t, a, i))
+    want, number = {}, {"S1": 0, "S2": 0}
+    for store, t, seed, i in sorted(near):
+        if (store, seed) not in want:
+            names = {seed, *[x for _, x, _ in sorted(near[store, t, seed, i]) if (store, x) not in want][:4]}
+            if len(names) > 1:
+                number[store] += 1
+                want |= {(store, x): (f"{store}-GROUP-{number[store]:03d}", len(names)) for x in names}
+    pairs = spark.createDataFrame(sorted(rows), PAIR)
+    sizes, cut = [], people._in_chunks
+
+    def seen(matches, rows):
+        out = cut(matches, rows)
+        sizes.extend(r["count"] for r in out.groupBy("store_id", "chunk").count().collect())
+        return out
+
+    monkeypatch.setattr(people, "_in_chunks", seen)
+    got = people.infer_groups(pairs, rows=100).collect()
+    assert sum(sizes) == 2 * len(rows) and max(sizes) < 100 + max(map(len, near.values()))
+    assert {(r.store_id, r.entity_id): (r.group_id, r.group_size) for r in got} == want
+
+
 def test_staff_score(spark):
     e = sessions.number_sessions(events(spark, [("w", "entry", 0)] + [("w", "queue_completed", 100 + k, {"queue": f"q{k}"}) for k in range(3)] + [("w", "zone_entered", 200, {"zone": "staff_room"}), ("w", "exit", 4000)]))
     r = people.staff_scores(e, sessions.visit_sessions(e), entities(spark, w="solo")).first()
