@@ -28,8 +28,8 @@ HASHES = BANDS * ROWS
 SLACK = 0.15
 #: Candidate ids that may be broadcast (8 bytes each); beyond that they are joined.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that one task compares with the bucket's probes.
-BLOCK = 2048
+#: Members and probes of a bucket that one task compares, and the bytes of text of either that it confirms.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Similar pairs a member from which on a block confirms its links itself.
 DENSE = 4
 
@@ -147,29 +147,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
     return joined.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
+def _meet(own: DataFrame, *columns: str) -> DataFrame:
+    """Each block of a bucket's members with each block of its probes, which are marked."""
+    block, part = (F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int") for seed, n in ((5, "blocks"), (6, "parts")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    member = own.select("key", block.alias("block"), each("parts").alias("part"), F.lit(False).alias("probe"), "band", "id", "component", *columns)
+    probe = own.where("component <> most").select("key", each("blocks").alias("block"), part.alias("part"), F.lit(True).alias("probe"), "band", "id", "component", *columns)
+    return member.unionByName(probe)
+
+
 def _across(members: DataFrame, traits: DataFrame, texts: DataFrame, least: float, percent: int, k: int, most_pairs: int) -> tuple[DataFrame, DataFrame]:
     """Similar classes of different components that share a bucket: pairs (a, b) to confirm, and links (u, v).
 
     ``members``: key, band, id, component; ``traits``: id, signature, bands. The classes outside a bucket's
-    commonest component are its probes; blocks of all its members meet them in separate
-    tasks. Where a block has more than ``most_pairs`` similar pairs a member, no pairs are listed:
+    commonest component are its probes; blocks of all its members meet blocks
+    of them in separate tasks. Where a block has more than ``most_pairs`` similar pairs a member, no pairs are listed:
     its texts go to the task, which confirms and returns one link a probe and component.
     """
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    top = per.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("most")).where("kinds > 1")
-    top = top.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).select("key", "most", "blocks")
+    top = per.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("most")).where("kinds > 1")
+    top = top.select("key", "most", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top")) / BLOCK).cast("int").alias("parts"))
     # Of buckets with the same members, the one of the first band is enough.
     same = members.join(top.select("key"), "key", "left_semi").groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
     top = top.join(same.groupBy("n", "x", "y").agg(F.min_by("key", "band").alias("key")).select("key"), "key", "left_semi")
     rows = materialize(members.join(top, "key"), "across")
 
-    def meet(own: DataFrame, *columns: str) -> DataFrame:
-        """Each block's members and, marked, all probes of its bucket."""
-        block = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-        member = own.select("key", block.alias("block"), F.lit(False).alias("probe"), "band", "id", "component", *columns)
-        probe = own.where("component <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "band", "id", "component", *columns)
-        return member.unionByName(probe)
-
     def similar(pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         is_probe = pdf["probe"].to_numpy()
         comp = pd.factorize(pdf["component"])[0]
@@ -210,9 +212,13 @@ def _across(members: DataFrame, traits: DataFrame, texts: DataFrame, least: floa
             out += [(ids[p], ids[g]) for g in good]
         return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
-    met = materialize(meet(rows.join(traits.drop("bands"), "id"), "signature").groupBy("key", "block").applyInPandas(pairs, "key long, a long, b long, dense boolean"), "across-pairs")
-    dense = rows.join(met.where("dense").select("key").distinct(), "key", "left_semi").join(traits, "id").join(texts, "id")
-    return met.where("NOT dense").select("a", "b").distinct(), meet(dense, "signature", "bands", "text").groupBy("key", "block").applyInPandas(links, "u long, v long")
+    met = materialize(_meet(rows.join(traits.drop("bands"), "id"), "signature").groupBy("key", "block", "part").applyInPandas(pairs, "key long, a long, b long, dense boolean"), "across-pairs")
+    dense = rows.join(met.where("dense").select("key").distinct(), "key", "left_semi")
+    long = F.octet_length("text")
+    weight = dense.join(texts, "id").groupBy("key").agg(F.sum(long).alias("all"), F.sum(F.when(F.col("component") != F.col("most"), long)).alias("some"))
+    cut = {n: F.greatest(n, F.ceil(F.col(c) / BLOCK_BYTES).cast("int")) for n, c in (("blocks", "all"), ("parts", "some"))}
+    dense = dense.join(weight, "key").withColumns(cut).drop("all", "some").join(traits, "id").join(texts, "id")
+    return met.where("NOT dense").select("a", "b").distinct(), _meet(dense, "signature", "bands", "text").groupBy("key", "block", "part").applyInPandas(links, "u long, v long")
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, dense: int = DENSE) -> DataFrame:

@@ -159,6 +159,24 @@ def test_near_duplicates(spark, rows, k, dense):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("dense", [4, -100])
+def test_near_duplicate_blocks(spark, monkeypatch, dense):
+    """A family under the threshold: its probes are cut into blocks as its members are."""
+    base, sizes, meet = words(random.Random(9), 70).split(), [], minhash._meet
+    rows = [(n, " ".join([*base[: 5 * n], f"own{n}", *base[5 * n + 1 :]])) for n in range(1, 14)]
+
+    def seen(own, *columns):
+        out = meet(own, *columns)
+        sizes.extend(r["count"] for r in out.groupBy("key", "block", "part").count().collect())
+        return out
+
+    monkeypatch.setattr(minhash, "_meet", seen)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 600)
+    got = by_id(minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), dense=dense))
+    assert sizes and max(sizes) < 12 and all(r["kept"] for r in got.values())
+
+
 def test_near_duplicate_null_ids(spark):
     got = minhash.link(spark.createDataFrame([(None, "a b c"), (3, "a b c"), (2, "A  b c"), (2, "other words")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] is None, r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None) == [(False, 2, False), (False, 2, True), (False, 2, True)]
