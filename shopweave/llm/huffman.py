@@ -17,22 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 from .tokens import encoder
 
+#: Longest code in bits, tokens from one checkpoint to the next, and least tokens of a block.
 LIMIT, STRIDE, BLOCK = 16, 256, 1 << 16
 MAGIC = np.array([0x31485753], "<u4")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 for counts of 0."""
+    """Optimal code lengths of at most ``limit`` bits (more only if the ids need them) by package-merge; 0 for counts of 0."""
     used = np.flatnonzero(counts)
     out, n = np.zeros(len(counts), np.int64), len(used)
     if n <= 1:
         out[used] = 1
         return out
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids do not fit codes of {limit} bits")
+    limit = max(limit, (n - 1).bit_length())  # vocabularies of more ids need longer codes
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.int64)
     levels, below = [], np.zeros(0, np.int64)
@@ -79,10 +79,11 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> byt
 
 
 def decode_table(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """For each ``LIMIT``-bit prefix, id << 5 | length."""
-    table = np.zeros(1 << LIMIT, np.int64)
+    """For each prefix of as many bits as the longest code has, id << 5 | length."""
+    bits = max(1, int(lengths.max(initial=0)))
+    table = np.zeros(1 << bits, np.int64)
     for k in np.flatnonzero(lengths):
-        shift = LIMIT - int(lengths[k])
+        shift = bits - int(lengths[k])
         table[int(codes[k]) << shift : (int(codes[k]) + 1) << shift] = (k << 5) | int(lengths[k])
     return table
 
@@ -94,13 +95,13 @@ def decode_block(block: bytes, table: np.ndarray) -> np.ndarray:
     lanes = -(-n // stride)
     at = np.frombuffer(block, "<u8", lanes, 28).astype(np.int64)
     words = np.frombuffer(block, ">u4", offset=28 + 8 * lanes).astype(np.int64)
-    out = np.zeros((lanes, stride), np.int64)
+    out, width = np.zeros((lanes, stride), np.int64), (len(table) - 1).bit_length()
     for t in range(min(stride, n)):
         if n - t <= (lanes - 1) * stride:  # the last lane has ended
             at, lanes = at[: lanes - 1], lanes - 1
             n = lanes * stride
         slot = at >> 5
-        got = table[(((words[slot] << 32) | words[slot + 1]) >> (64 - LIMIT - (at & 31))) & ((1 << LIMIT) - 1)]
+        got = table[(((words[slot] << 32) | words[slot + 1]) >> (64 - width - (at & 31))) & (len(table) - 1)]
         out[:lanes, t] = got >> 5
         at = at + (got & 31)
     return out.ravel()
@@ -111,12 +112,13 @@ def token_table(docs: DataFrame, path: str, *, kind: str = "byte", end_id: int =
     wide = encoder(path, kind).whole.get_vocab_size() > 1 << 16
 
     def encode(batches):
-        for batch in batches:
-            enc, tail = encoder(path, kind), np.array([end_id], "<u4").tobytes()
-            ids = [enc.ids(t.as_py() or "") + tail for t in batch.column(1)]
-            if not wide:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+        enc = encoder(path, kind)
+        for batch, data, at in small_batches(batches, text_col):
+            ids, ends = enc.ended(data, at, end_id)
+            raw = ids.astype("<u4" if wide else "<u2")
+            buffers = [None, pa.py_buffer((ends * raw.itemsize).astype(np.int64)), pa.py_buffer(raw)]
+            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, buffers).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), rows], names=[id_col, "ids"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType(), metadata={"wide": wide})])
     return docs.select(id_col, text_col).mapInArrow(encode, schema)
@@ -129,11 +131,10 @@ def write(tokens: DataFrame, where: str, *, wide: bool = False, id_col: str = "d
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                own = np.bincount(np.frombuffer(x.as_py(), dtype))
-                if len(own) > len(total):
-                    own, total = total, own.astype(np.int64)
-                total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), dtype))
+            if len(own) > len(total):
+                own, total = total, own.astype(np.int64)
+            total[: len(own)] += own
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 

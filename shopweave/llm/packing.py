@@ -2,8 +2,8 @@
 
 A piece goes to the open sequence whose use leaves the squared counts of open sequences
 per residual gap smallest: gaps that many sequences share are used up, gaps that few
-share are spared. A new sequence is opened only for what fits nowhere. Pieces are hashed into groups of bounded size that Spark packs apart,
-so no task holds more than a group; only a group's last sequences stay underfull.
+share are spared. A new sequence is opened only for what fits nowhere. Pieces are dealt into groups of bounded size
+that Spark packs apart, so no task holds more than a group; only a group's last sequences stay underfull.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 from .tokens import encoder
 
 #: Pieces of a group on average.
@@ -54,23 +54,21 @@ def token_pieces(docs: DataFrame, path: str, *, kind: str = "word", end_id: int
     Null texts count as empty. Only longer documents are cut. ``ids`` are little-endian uint32.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
-    step = 4 * capacity
 
     def cut(batches):
-        for batch in batches:
-            own, rows = [], []
-            enc = encoder(path, kind)
-            tail = np.array([end_id], "<u4").tobytes()
-            for k, text in enumerate(batch.column(1)):
-                ids = enc.ids(text.as_py() or "") + tail
-                for piece, a in enumerate(range(0, len(ids), step)):
-                    part = ids[a : a + step]
-                    own.append(k)
-                    rows.append((piece, a // 4, len(part) // 4, zlib.crc32(part), part))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            arrays = [batch.column(0).take(pa.array(own, pa.int64())), *[pa.array(c, t) for c, t in zip(cols[: 4 + with_ids], kinds, strict=False)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        enc = encoder(path, kind)
+        for batch, data, at in small_batches(batches, text_col):
+            ids, ends = enc.ended(data, at, end_id)
+            size = np.diff(ends)
+            pieces = -(-size // capacity)
+            own = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(size[own] - start, capacity)
+            raw, first = memoryview(ids.astype("<u4")), ends[own] + start
+            parts = [raw[i : i + n] for i, n in zip(first.tolist(), length.tolist(), strict=True)]
+            cols = [(piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (list(map(zlib.crc32, parts)), pa.int64()), *([([p.tobytes() for p in parts], pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(own)), *[pa.array(c, t) for c, t in cols]], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
@@ -96,8 +94,9 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, group: int = GROUP, length_
         offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(size))))
         return pdf.assign(sequence_id=(int(key[0]) << 32) + own, offset=offset)
 
-    by = F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.lit(groups))
-    return pieces.select(*names).groupBy(by.alias("_group")).applyInPandas(place, schema)
+    # Rows are dealt by their place in the stored table: equal rows do not meet in one group.
+    by = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
+    return pieces.select(*names, by.alias("_group")).groupBy("_group").applyInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, **how) -> DataFrame:

@@ -30,7 +30,7 @@ def rows():
     base = words(rng, 60)
     near = base.split()
     near[10] = "changed"
-    texts = [None, "", " \t\n ", base, base, " ".join(near), base.upper(), words(rng, 6000), "é" * 50 + "Ωß\x00 \x1c x", "a" * 1500, "word"]
+    texts = [None, "", " \t\n ", base, base, " ".join(near), base.upper(), words(rng, 6000), "é" * 50 + "Ωß\x00 \x1c x <|endoftext|> y", "a" * 1500, "word"]
     texts += [f"{words(rng, 30)}\n{passage if k % 3 == 0 else words(rng, 40)}\n {line} \n\n{words(rng, 20)}" for k in range(24)]
     return list(enumerate(texts))
 
@@ -210,22 +210,31 @@ def test_top_k(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
-def test_token_ids(name, kind):
-    enc = tokens.Encoder(tokenizer_path(name), kind)
-    rng = random.Random(1)
-    alphabet = "abC Z'sée\n\t  1٣½İΣσß中́ \x1c\xa0\x85!?<|endoftext|>  ﬁ.,"
-    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
-    for text in [*odd, "", " ", "  a", "a  b", "don't  stop", "<|endoftext|> hi", "ΟΔΟΣ ΣΑΣ", "a\n\n b", " a b ", "Ends. here, ok."]:
-        assert enc.ids(text) == enc._library(text), ascii(text)
+def library(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def library_ids(name, text, end):
-    from tokenizers import Tokenizer
+    return library(name).encode(text or "", add_special_tokens=False).ids + [end]
 
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+
+@pytest.mark.parametrize("cache", [1 << 20, 60])
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_token_ids(monkeypatch, name, kind, cache):
+    """Batches of odd texts, with a table that holds all pieces and one that is soon full."""
+    monkeypatch.setattr(tokens, "CACHE", cache)
+    enc, whole, rng = tokens.Encoder(tokenizer_path(name), kind), library(name), random.Random(1)
+    alphabet = "abC Z'sée\n\t  1٣½İΣσß中́ \x00\x1c\xa0\x85!?<|endoftext|>  ﬁ.,"
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    odd += ["", " ", "  a", "a  b", "don't  stop", "<|endoftext|> hi", "hi <|endoftext|> there", "x<|startoftext|>y", "<|ENDOFTEXT|>", "ΟΔΟΣ ΣΑΣ", "a\n\n b", " a b ", "Ends. here, ok.", "long" * 9 + " end", "x" * 5000]
+    rng.shuffle(odd)
+    for i in range(0, len(odd), 300):
+        raw = [t.encode() for t in odd[i : i + 300]]
+        ids, at = enc.batch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for k, text in enumerate(odd[i : i + 300]):
+            assert ids[at[k] : at[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
 def test_packing(spark, rows):
@@ -243,6 +252,15 @@ def test_packing(spark, rows):
     assert found == ids
 
 
+def test_packing_repeated_rows(spark):
+    """Equal rows are spread over the groups as any others are."""
+    docs = spark.createDataFrame([(1, "the same words again")] * 4000, "doc_id long, text string")
+    pieces = packing.materialize(packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json")), "pieces")
+    got = packing.pack(pieces, group=500).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(groups) == 8 and sum(r["sum(length)"] for r in got) == 20000 and max(r["sum(length)"] for r in got) <= 2048
+
+
 def test_sum_of_squares_bounds():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 100, 3000)
