@@ -51,9 +51,8 @@ class PieceTable:
 
     def clear(self) -> None:
         size = 1 << SLOT_BITS
-        self.key = np.zeros((2, size), np.uint64)
-        self.size = np.full(size, -1, np.int8)  # -1: a free slot
-        self.at, self.count = np.zeros(size, np.int32), np.zeros(size, np.int16)
+        self.key = np.zeros((size, 2), np.uint64)
+        self.info = np.zeros(size, np.int64)  # where the ids are << 24 | 1 + their number << 8 | 1 + bytes of the piece; 0: free
         self.long: dict[bytes, tuple[int, int]] = {}
         self.ids, self.used, self.kept, self.pieces, self.missed = np.zeros(1 << 16, np.uint32), 0, 0, 0, 0
 
@@ -71,22 +70,24 @@ class PieceTable:
 
     def _probe(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each key, or the free one where it is missing: linear probing, all keys side by side."""
-        place, todo, missing = slot.copy(), np.arange(len(slot)), []
-        while len(todo):
+        place, missing, todo = slot.copy(), [], slice(None)
+        while True:
             s = place[todo]
-            own = self.size[s]
-            good = (self.key[0][s] == a[todo]) & (self.key[1][s] == b[todo]) & (own == size[todo])
-            missing.append(todo[own < 0])
-            todo = todo[~good & (own >= 0)]
+            info, key = self.info[s], self.key[s]
+            wrong = (info != 0) & ((key[:, 0] != a[todo]) | (key[:, 1] != b[todo]) | ((info & 255) != size[todo] + 1))
+            at = np.arange(len(slot))[todo]
+            missing.append(at[info == 0])
+            todo = at[wrong]
+            if not len(todo):
+                return place, np.concatenate(missing)
             place[todo] = (place[todo] + 1) & ((1 << SLOT_BITS) - 1)
-        return place, np.concatenate(missing) if missing else todo
 
     def find(self, raw: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of the ids of ``raw``'s pieces in ``ids``; good until the next call."""
         if self.missed > 8 * CACHE:
             self.clear()
         full = self.pieces + len(self.long) >= CACHE
-        self.used = self.kept = self.kept if full else self.used
+        self.used = self.kept  # the ids of pieces that a full table has not taken are needed no more
         words = np.ndarray(len(raw) + 1, "<u8", raw + bytes(2 * KEY), strides=(1,))  # eight bytes from each place on
         a = words[begin] & _MASK[np.minimum(size, 8)]
         b = words[np.minimum(begin + 8, len(raw))] & _MASK[np.clip(size - 8, 0, 8)]
@@ -95,7 +96,8 @@ class PieceTable:
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         place, missing = self._probe(a, b, size, slot)
-        at, count = self.at[place].astype(np.int64), self.count[place].astype(np.int64)
+        info = self.info[place]
+        at, count = info >> 24, (info >> 8 & 0xFFFF) - 1
         if not len(missing):
             return at, count
         far = size[missing] > KEY
@@ -119,15 +121,16 @@ class PieceTable:
         todo, spot = np.arange(len(one)), place[one]
         while not full and len(todo):  # several may want one slot: one of them gets it
             s = spot[todo]
-            free = self.size[s] < 0
+            free = self.info[s] == 0
             won = np.zeros(len(todo), bool)
             won[np.unique(np.where(free, s, -1), return_index=True)[1]] = True
             won &= free
             t, s = todo[won], s[won]
-            self.key[0][s], self.key[1][s], self.size[s], self.at[s], self.count[s] = a[one[t]], b[one[t]], size[one[t]], new_at[t], new_count[t]
+            self.key[s, 0], self.key[s, 1], self.info[s] = a[one[t]], b[one[t]], new_at[t] << 24 | new_count[t] + 1 << 8 | size[one[t]] + 1
             todo = todo[~won]
             spot[todo] = (spot[todo] + 1) & ((1 << SLOT_BITS) - 1)
-        self.pieces += 0 if full else len(one)
+        if not full:
+            self.pieces, self.kept = self.pieces + len(one), self.used
         return at, count
 
 
@@ -180,7 +183,8 @@ class Encoder:
         text = piece.decode()
         last = text[-1]
         stem = text[:-1] if last in ".," else text
-        if (bare := stem[stem[:1] == " " :]).isalpha() and (bare.isascii() or max(bare) < "\u0130"):
+        bare = stem[1:] if stem[:1] == " " else stem
+        if bare.isalpha() and (bare.isascii() or max(bare) < "\u0130"):
             own = self._split(stem)
             return own + self._short(last) if last in ".," else own
         if last.isspace() and last not in " \t\n\v\f\r":

@@ -220,7 +220,7 @@ def library_ids(name, text, end):
     return library(name).encode(text or "", add_special_tokens=False).ids + [end]
 
 
-@pytest.mark.parametrize("cache", [1 << 20, 60])
+@pytest.mark.parametrize("cache", [1 << 20, 900, 60])
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_token_ids(monkeypatch, name, kind, cache):
     """Batches of odd texts, with a table that holds all pieces and one that is soon full."""
