@@ -2,8 +2,9 @@
 
 Every string of ``length`` bytes belongs to one anchor, its least hashed 32-byte gram, so
 strings that are equal meet under the same anchor. The texts are cut into segments, the
-stretches whose strings share an anchor. Segments of one anchor are collected (equal ones
-once, with their count) and indexed together in bounded buckets: the index is a
+stretches whose strings share an anchor. Segments of one anchor that agree for long enough
+on a side of it are collected (equal ones once, with their count; so are equal texts before
+they are cut) and indexed together in bounded buckets: the index is a
 run-length compressed Burrows-Wheeler transform with suffix positions and match lengths
 sampled at both ends of every run, from which the matching statistics of all positions
 stream in one pass. Anchors with too many different segments for a bucket are split by
@@ -35,7 +36,7 @@ WIDTHS = (64, 8, 1)
 BROADCAST_KEYS = 500_000
 PIECE = 1 << 20
 
-SEGMENT = "grp long, content binary, key binary, start long, starts int, lead int, weight int"
+SEGMENT = "grp long, content binary, key binary, start long, starts int, lead int, weight int, left int, right int"
 _BYTE = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,16 +78,34 @@ def segments(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[in
     yield from zip(row[edge].tolist(), anchor.tolist(), (edge - first).tolist(), (ends - edge).tolist(), (place - edge).tolist(), strict=True)
 
 
+def _segment_batch(columns: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.int32()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SEGMENT.split(", ")])
+
+
+def _sides(raw: bytes, begin: int, mid: int, end: int, length: int) -> tuple[int | None, int | None]:
+    """Hashes of the anchor at ``mid`` with what precedes it, and with what follows it.
+
+    A string of ``length`` bytes holds its anchor and half of its other bytes before or after it,
+    so segments that share a string share one of the two. None where the segment lacks the bytes.
+    """
+    half = (length - GRAM) // 2
+    left = xxhash.xxh32_intdigest(raw[mid - half : mid + GRAM]) - 2**31 if mid - half >= begin else None
+    right = xxhash.xxh32_intdigest(raw[mid : mid + GRAM + half]) - 2**31 if mid + GRAM + half <= end else None
+    return left, right
+
+
 def _segment_rows(texts: DataFrame, length: int) -> DataFrame:
-    """All segments of all rows; the key of a row is the hash of its text."""
+    """All segments of all rows (text, weight); the key of a row is the hash of its text."""
 
     def run(batches):
         for batch in batches:
             data, at = text_buffer(batch.column(0))
+            weights = batch.column(1).to_pylist()
             i, n = 0, len(at) - 1
             while i < n:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, side="right")) - 1)
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(9)]
                 own = data[at[i] : at[j]]
                 raw = own.tobytes()
                 cuts = at[i : j + 1] - at[i]
@@ -96,12 +115,12 @@ def _segment_rows(texts: DataFrame, length: int) -> DataFrame:
                     part = own[a : a + PIECE + length - 1] if j == i + 1 else own
                     for row, anchor, start, starts, lead in segments(part, np.array([0, len(part)]) if j == i + 1 else cuts, length):
                         begin = int(cuts[row]) + a + start
-                        values = (anchor, xxhash.xxh3_128_digest(raw[begin : begin + starts - 1 + length]), keys[row], a + start, starts, lead, 1)
+                        end = begin + starts - 1 + length
+                        values = (anchor, xxhash.xxh3_128_digest(raw[begin:end]), keys[row], a + start, starts, lead, weights[i + row], *_sides(raw, begin, begin + lead, end, length))
                         for c, v in zip(out, values, strict=True):
                             c.append(v)
                 i = j
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["grp", "content", "key", "start", "starts", "lead", "weight"])
+                yield _segment_batch(out)
 
     return texts.mapInArrow(run, SEGMENT)
 
@@ -124,17 +143,26 @@ class RunLengthIndex:
         key = np.zeros(n, np.int64)
         for j in range(self.DEPTH):
             key[: n - j] |= text[j:] << (9 * (self.DEPTH - 1 - j))
-        levels, depth = [], self.DEPTH
+        # Prefix doubling: a rank is where a suffix's group of equals begins; only such groups are sorted again.
+        levels, depth, rank = [], self.DEPTH, np.zeros(n, np.int64)
+        order = np.argsort(key)
+        sorted_keys, spots, tied = key[order], np.arange(n), order
         while True:
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate([[False], np.diff(key[order]) != 0])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh)
+            fresh = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])[: len(tied)]
+            heads = np.flatnonzero(fresh)
+            sizes = np.diff(np.append(heads, len(tied)))
+            order[spots] = tied
+            rank = rank.copy()
+            rank[tied] = np.repeat(spots[heads], sizes)
             levels.append((depth, rank))
-            if depth >= deepest or (n and rank[order[-1]] == n - 1):
+            again = np.repeat(sizes > 1, sizes)
+            tied, spots = tied[again], spots[again]
+            if depth >= deepest or not len(tied):
                 break
-            key = rank * (n + 1)
-            key[: max(0, n - depth)] += rank[depth:] + 1
+            after = tied + depth
+            key = rank[tied] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            tied, sorted_keys = tied[by], key[by]
             depth *= 2
         before = np.concatenate([[0], text[:-1]]) if n else text
         before[self.begin] = -1 - np.arange(len(parts))  # each segment's terminator is a symbol of its own
@@ -225,7 +253,6 @@ def _split(wanted: DataFrame, keyed: DataFrame, length: int, width: int) -> Data
     """Segments cut by ranges of ``width`` offsets from the anchor, grouped by the bytes that a range's strings share."""
 
     def run(batches):
-        names = ["grp", "content", "key", "start", "starts", "lead", "weight"]
         for batch in batches:
             out = []
             for key, text, cuts in zip(*(batch.column(c) for c in ("key", "text", "cuts")), strict=True):
@@ -239,16 +266,24 @@ def _split(wanted: DataFrame, keyed: DataFrame, length: int, width: int) -> Data
                         high = lead // width * width + width - 1
                         shared = raw[mid - (high - width + 1) : mid - high + length]
                         group = xxhash.xxh3_64_intdigest(b"%d %d " % (c["grp"], high) + shared) >> 1
-                        out.append((group, xxhash.xxh3_128_digest(raw[start : start + count - 1 + length]), key, start, count, lead, c["weight"]))
+                        out.append((group, xxhash.xxh3_128_digest(raw[start : start + count - 1 + length]), key, start, count, lead, c["weight"], 0, 0))
                         done += count
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            yield _segment_batch(list(zip(*out, strict=True)) or [[]] * 9)
 
     return _with_text(wanted, keyed).select("key", "text", "cuts").mapInArrow(run, SEGMENT)
 
 
-def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
+def _once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, weight): texts with copies by their least id only, at weight 2, and all others at weight 1."""
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    base = base.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text")})
+    copies = materialize(base.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").drop("n"), "copies")
+    few = copies.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    marked = base.join((F.broadcast(copies) if few else copies).withColumn("weight", F.lit(2)), ["h", "g"], "left")
+    return marked.where("weight IS NULL OR id IS NULL OR id = least").select("text", F.coalesce("weight", F.lit(1)).alias("weight"))
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
     """(key, spans): for each text hash, the byte ranges covered by strings of ``length`` found elsewhere too."""
 
     def key_of(batches):
@@ -257,15 +292,17 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary()), pa.array(texts, pa.string())], names=["key", "text"])
 
     keyed = docs.select(text_col).mapInArrow(key_of, "key binary, text string")
-    rows = materialize(_segment_rows(docs.select(text_col), length), "segments")
+    rows = materialize(_segment_rows(_once(docs, id_col, text_col), length), "segments")
     marks = None
     for width in (*WIDTHS, 0):
-        counted = materialize(rows.groupBy("grp", "content").agg(F.sum("weight").alias("n"), F.min(F.struct("key", "start", "starts", "lead")).alias("at")), "contents")
+        place = F.min(F.struct("key", "start", "starts", "lead", "left", "right"))  # equal contents have equal sides
+        counted = materialize(rows.groupBy("grp", "content").agg(F.sum("weight").alias("n"), place.alias("at")), "contents")
         twice = counted.where("n > 1").select("grp", "content")
         found = rows.join(twice, ["grp", "content"]).select("key", F.col("start").alias("begin"), (F.col("start") + F.col("starts") - 1 + length).alias("end"))
         marks = found if marks is None else marks.unionByName(found)
-        kinds = counted.groupBy("grp").agg(F.count("*").alias("kinds")).where("kinds > 1")
-        wanted = materialize(counted.join(kinds, "grp").select("grp", "content", "at.*", F.least(F.col("n"), F.lit(2)).cast("int").alias("weight"), "kinds"), "wanted")
+        more = counted.groupBy("grp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("grp")
+        several = materialize(counted.join(more, "grp").select("grp", "content", "at.*", F.least(F.col("n"), F.lit(2)).cast("int").alias("weight")), "several")
+        wanted = materialize(_sharing(several), "wanted")
         marks = marks.unionByName(_index_marks(wanted.where(F.col("kinds") <= hot), keyed, length))
         large = wanted.where(F.col("kinds") > hot)
         if not width or large.isEmpty():
@@ -274,6 +311,16 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = 400
     return marks.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
 
 
+def _sharing(several: DataFrame) -> DataFrame:
+    """The segments that share a side with another of their anchor, with the number of such segments as ``kinds``."""
+    side = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("left").alias("side")), F.struct(F.lit(1).alias("which"), F.col("right").alias("side"))))
+    sides = several.select("grp", "content", side.alias("s")).select("grp", "content", "s.*").where("side IS NOT NULL")
+    shared = sides.groupBy("grp", "which", "side").agg(F.count("*").alias("n")).where("n > 1")
+    good = materialize(sides.join(shared, ["grp", "which", "side"], "left_semi").select("grp", "content").distinct(), "sharing")
+    kinds = good.groupBy("grp").agg(F.count("*").alias("kinds"))
+    return several.join(good, ["grp", "content"], "left_semi").join(kinds, "grp")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row of ``docs``.
 
@@ -281,7 +328,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     the same text or another, is removed; ``kept`` are the remaining bytes. Strings are
     judged on the input. Null texts count as empty; repeated rows are each other's repeats.
     """
-    spans = repeated_spans(docs, text_col=text_col, length=length, hot=hot)
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length, hot=hot)
     id_type = docs.schema[id_col].dataType
 
     def key_of(batches):
