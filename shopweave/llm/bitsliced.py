@@ -20,7 +20,7 @@ from .common import materialize
 
 #: Rows of a shard on average, and queries of a block (what a pass broadcasts at most).
 SHARD, QUERY_BLOCK = 32768, 8192
-#: Tasks that share a shard's queries.
+#: Most tasks that share a shard's queries.
 SPLITS = 4
 
 
@@ -32,11 +32,14 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
 
 
 class Slices:
-    """Bitmaps of one shard: ``maps[d][b]`` over rows, packed into 64-bit words."""
+    """Bitmaps of one shard: ``maps[d][b]`` over rows, packed into 64-bit words.
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, coarse: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.values, self.coarse = ids[order], values[order], coarse
+    ``numbers`` tell rows of one id apart.
+    """
+
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, values: np.ndarray, coarse: int):
+        order = np.lexsort((numbers, ids))
+        self.ids, self.numbers, self.values, self.coarse = ids[order], numbers[order], values[order], coarse
         self.low = self.values.min(0)
         over = (self.values - self.low) >> coarse
         self.width = [max(1, int(x).bit_length()) for x in over.max(0)]
@@ -87,7 +90,7 @@ class Slices:
         return out, int(np.abs(weights).sum())
 
     def top(self, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows' ids and exact scores, best first, ties to smaller ids; ``skip`` is left out."""
+        """Rows' ids and exact scores, best first, ties to smaller ids; row number ``skip`` is left out."""
         slices, width = self.scores(weights)
         # The k-th largest coarse sum: fix its bits from the most significant slice downward.
         want = min(k + 1, len(self.ids))
@@ -105,9 +108,9 @@ class Slices:
             else:
                 above, tied = above | (tied & s), tied & ~s
         rows = self._rows(above | tied)
-        rows = rows[self.ids[rows] != skip] if skip is not None else rows
+        rows = rows[self.numbers[rows] != skip] if skip is not None else rows
         exact = self.values[rows] @ weights
-        order = np.lexsort((self.ids[rows], -exact))[:k]
+        order = np.lexsort((rows, -exact))[:k]  # rows ascend by id
         return self.ids[rows][order], exact[order]
 
 
@@ -116,29 +119,30 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
 
     The score is the integer inner product of ``floor(scale * x)``; ties go to the smaller id.
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do
-    vectors of another length than the query's. A repeated id is a candidate for each row.
+    vectors of another length than the query's. Rows that repeat an id are queries and candidates
+    of their own: each is left out of its own result only.
     """
     spark = vectors.sparkSession
-    rows = materialize(quantised(vectors, id_col, vector_col, scale), "quantised")
+    rows = materialize(quantised(vectors, id_col, vector_col, scale).withColumn("number", F.monotonically_increasing_id()), "quantised")
     count = rows.count()
     shards = max(1, -(-count // shard))
     queries = rows.where(F.col("id") % every == 0)
-    # Shards of one vector length each; a task takes a shard and a share of the queries.
-    packed = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards))).withColumn("length", F.size("q"))
-    splits = packed.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    # Shards of one vector length each. Where there are fewer shards than cores, tasks share a shard's queries.
+    splits = max(1, min(SPLITS, -(-spark.sparkContext.defaultParallelism // shards)))
+    packed = rows.withColumn("shard", F.pmod(F.xxhash64("number", F.lit(3)), F.lit(shards))).withColumn("length", F.size("q"))
+    dealt = packed.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query", "query_id", "vec_id", "score")])
 
     def searcher(sent):
         def search(key, table):
             length, split = int(key[1].as_py()), int(key[2].as_py())
-            ids = table.column("id").to_numpy()
             values = table.column("q").combine_chunks().flatten().to_numpy().reshape(-1, length)
-            index, out = Slices(ids, values, coarse), []
-            for query, weights in sent.value[split::SPLITS]:
+            index, out = Slices(table.column("id").to_numpy(), table.column("number").to_numpy(), values, coarse), []
+            for number, query, weights in sent.value[split::splits]:
                 if len(weights) == length:
-                    got, score = index.top(weights, k, query)
-                    out.append((np.full(len(got), query), got, score))
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+                    got, score = index.top(weights, k, number)
+                    out.append((np.full(len(got), number), np.full(len(got), query), got, score))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
             return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(schema.names, cols, strict=True)})
 
         return search
@@ -146,20 +150,20 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     found = None
     for block in query_blocks(queries, query_block):
         sent = spark.sparkContext.broadcast(block)
-
-        best = materialize(splits.groupBy("shard", "length", "split").applyInArrow(searcher(sent), schema), "top")
+        best = materialize(dealt.groupBy("shard", "length", "split").applyInArrow(searcher(sent), schema), "top")
+        sent.destroy()
         found = best if found is None else found.unionByName(best)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query_blocks(queries: DataFrame, size: int):
-    """Lists of (id, weights), one block at a time on the driver."""
+    """Lists of (row number, id, weights), one block at a time on the driver."""
     block = []
     for r in queries.toLocalIterator():
-        block.append((r["id"], np.array(r["q"], np.int64)))
+        block.append((r["number"], r["id"], np.array(r["q"], np.int64)))
         if len(block) == size:
             yield block
             block = []

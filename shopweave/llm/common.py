@@ -75,37 +75,41 @@ def windows_of(length: int, window: int, most: int | None = None) -> list[tuple[
     return [(k * window, min(length, (k + 1) * window)) for k in picked]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label: str, per_class: int, window: int, windows: int) -> list[tuple[object, list[bytes]]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label: str, per_class: int, window: int, windows: int, classes: int = 1024) -> list[tuple[object, list[bytes]]]:
     """At most ``per_class`` documents of each label, each as at most ``windows`` byte windows.
 
     The ids are drawn by hash before any text is read, so the driver gets
     ``classes * per_class * windows * window`` bytes at most, whatever the corpus holds.
     ``labels`` has ``id_col`` and ``label``; ids with conflicting or null labels are left out.
+    More labels than ``classes`` raise ValueError: none is left out in silence.
     """
     clean = (labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
              .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y"))
-    counts = {r["_y"]: r["n"] for r in clean.groupBy("_y").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(256).collect()}
+    counts = {r["_y"]: r["n"] for r in clean.groupBy("_y").agg(F.count("*").alias("n")).limit(classes + 1).collect()}
+    if len(counts) > classes:
+        raise ValueError(f"{label} has more than {classes} values")
     if not counts:
         return []
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("_y") == F.lit(y), min(1.0, 1.1 * per_class / n)).otherwise(share)
-    drawn = clean.where(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
+    draw = F.xxhash64("_id", F.lit(17))
+    drawn = clean.where(F.pmod(draw, F.lit(1_000_000)) < share * 1_000_000).withColumn("_k", F.xxhash64("_id", F.lit(18)))
     drawn = drawn.limit(2 * per_class * len(counts))
 
     def cut(batches):
-        schema = pa.schema([("_y", "string"), ("_w", pa.list_(pa.binary()))])
+        schema = pa.schema([("_y", "string"), ("_k", pa.int64()), ("_w", pa.list_(pa.binary()))])
         for batch in batches:
-            texts = batch.column(1)
-            yield to_arrow(schema, batch.column(0), [[x[a:b] for a, b in windows_of(len(x), window, windows)] for x in ((t.as_py() or "").encode() for t in texts)])
+            texts = batch.column(2)
+            yield to_arrow(schema, batch.column(0), batch.column(1), [[x[a:b] for a, b in windows_of(len(x), window, windows)] for x in ((t.as_py() or "").encode() for t in texts)])
 
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(drawn), "_id").select(F.col("_y").cast("string").alias("_y"), "_t")
-    rows = picked.mapInArrow(cut, "_y string, _w array<binary>").limit(2 * per_class * len(counts)).collect()
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(drawn), "_id").select(F.col("_y").cast("string").alias("_y"), "_k", "_t")
+    rows = picked.mapInArrow(cut, "_y string, _k long, _w array<binary>").limit(2 * per_class * len(counts)).collect()
     kinds = {str(y): y for y in counts}
     found: dict[object, list] = {}
     for r in rows:
-        found.setdefault(kinds[r["_y"]], []).append([bytes(x) for x in r["_w"]])
-    return [(y, w) for y in sorted(found, key=str) for w in sorted(found[y])[:per_class]]
+        found.setdefault(kinds[r["_y"]], []).append((r["_k"], [bytes(x) for x in r["_w"]]))
+    return [(y, w) for y in sorted(found, key=str) for _, w in sorted(found[y])[:per_class]]  # by the ids' hash
 
 
 class Adam:

@@ -77,7 +77,7 @@ class ByteConvNet:
                 opt.step(self._step(x, y[pick]))
         return self
 
-    def tables(self) -> list[list[tuple[int, np.ndarray]]]:
+    def tables(self, dtype=np.float32) -> list[list[tuple[int, np.ndarray]]]:
         """For each width, (offset, table over byte pairs or single bytes) to add up."""
         out = []
         for w in WIDTHS:
@@ -86,7 +86,7 @@ class ByteConvNet:
             parts = [(j, (rows[j][:, None] + rows[j + 1][None]).reshape(-1, FILTERS)) for j in range(0, w - 1, 2)]
             if w % 2:
                 parts.append((w - 1, rows[w - 1]))
-            out.append([(j, np.ascontiguousarray(t, np.float32)) for j, t in parts])
+            out.append([(j, np.ascontiguousarray(t, dtype)) for j, t in parts])
         return out
 
     def predict(self, x: np.ndarray, tables: list | None = None) -> np.ndarray:

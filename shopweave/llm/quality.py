@@ -72,6 +72,22 @@ class AttentionMIL:
         z = np.add.reduceat(a[:, None] * h, first)
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "q": sigmoid(z @ p["c"] + p["d"][0])}
 
+    def gradients(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over bags with the labels ``y``."""
+        p, f = self.p, self.forward(x, bag, len(y))
+        dz = (f["q"] - y)[:, None] / len(y)
+        grads = {"c": (f["z"] * dz).sum(0), "d": dz.sum(keepdims=True)[0]}
+        dZ = (dz * p["c"])[bag]
+        da = (dZ * f["h"]).sum(1)
+        de = f["a"] * (da - np.add.reduceat(f["a"] * da, np.searchsorted(bag, np.arange(len(y))))[bag])
+        grads["w"] = ((f["t"] * f["g"]) * de[:, None]).sum(0)
+        dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
+        dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+        grads["V"], grads["U"] = f["h"].T @ dt, f["h"].T @ dg
+        dh = (f["a"][:, None] * dZ + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+        grads["W"], grads["b"] = ((x - self.mean) / self.scale).T @ dh, dh.sum(0)
+        return grads
+
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.003, decay: float = 1e-4, seed: int = 0) -> AttentionMIL:
         rng, opt, n = np.random.default_rng(seed), Adam(self.p, rate), len(y)
         self.mean = x.mean(0)
@@ -83,20 +99,8 @@ class AttentionMIL:
                 pick = order[i : i + batch]
                 rows = np.concatenate([np.arange(first[k], first[k + 1]) for k in pick])
                 own = np.repeat(np.arange(len(pick)), first[pick + 1] - first[pick])
-                xs, p = x[rows], self.p
-                f = self.forward(xs, own, len(pick))
-                dz = (f["q"] - y[pick])[:, None] / len(pick)
-                grads = {"c": (f["z"] * dz).sum(0), "d": dz.sum(keepdims=True)[0]}
-                dZ = (dz * p["c"])[own]
-                da = (dZ * f["h"]).sum(1)
-                at = np.searchsorted(own, np.arange(len(pick)))
-                de = f["a"] * (da - np.add.reduceat(f["a"] * da, at)[own])
-                grads["w"] = ((f["t"] * f["g"]) * de[:, None]).sum(0)
-                dt = de[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
-                dg = de[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-                grads["V"], grads["U"] = f["h"].T @ dt, f["h"].T @ dg
-                dh = (f["a"][:, None] * dZ + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-                grads["W"], grads["b"] = ((xs - self.mean) / self.scale).T @ dh + decay * p["W"], dh.sum(0)
+                grads = self.gradients(x[rows], own, y[pick])
+                grads["W"] += decay * self.p["W"]
                 opt.step({k: v.astype(np.float32) for k, v in grads.items()})
         return self
 

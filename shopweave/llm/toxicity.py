@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field.
 
 Words are tagged inside or outside a toxic span. Token labels come from the document
-labels: words that are far likelier in toxic than in clean training documents are inside
-where the document is toxic. Forward-backward marginals of all tokens aggregate to a
+labels: words that are far likelier in toxic than in clean training documents, copies
+counted once, are inside where the document is toxic. Forward-backward marginals of all tokens aggregate to a
 document score, calibrated on the training documents, and give the offending offsets.
 """
 
@@ -12,9 +12,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import minhash
 from .common import Adam, labelled_sample, sigmoid, small_batches
 
 #: Bytes of words: ASCII letters, digits, and all bytes of other letters.
@@ -25,15 +27,13 @@ STEMS = (4, 5, 6, 7)
 FEATURES = 2 + len(STEMS)
 #: Tokens of one chain; a text is cut into consecutive chains of this length.
 CHAIN = 64
-FAINT = 0.2
+#: Largest marginals of a text that its score is made of.
+TOP = 3
 BUCKETS = 1 << 14
 
 
 def _bucket(feature: bytes) -> int:
-    h = 14695981039346656037
-    for b in feature:
-        h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return (h >> 20) % (BUCKETS - 1) + 1
+    return xxhash.xxh64_intdigest(feature) % (BUCKETS - 1) + 1
 
 
 def stems(word: bytes) -> list[bytes]:
@@ -84,8 +84,7 @@ class ChainCRF:
             k = known[w] = len(known)
             if k == len(self._ids):
                 self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-            v = w[:64]
-            self._ids[k] = [_bucket(x) for x in (v, *stems(v), v[-4:] + b">")]
+            self._ids[k] = [_bucket(x) for x in (w, *stems(w), w[-4:] + b">")]
         return self._ids[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
@@ -162,42 +161,65 @@ class ChainCRF:
         return row, begin, end, p[chain, spot]
 
     def document_features(self, row: np.ndarray, p: np.ndarray, rows: int) -> np.ndarray:
-        """(rows, 2): log of 1 + expected toxic words, and the largest marginal.
+        """(rows, 2): the largest marginal, and the mean of the ``TOP`` largest; absent ones count as 0.
 
-        Marginals under ``FAINT`` do not add up: a clean text of any length stays clean.
+        Neither grows with the length of a text by itself: faint marginals never add up.
         """
-        top = np.zeros(rows)
-        np.maximum.at(top, row, p)
-        p = np.where(p >= FAINT, p, 0.0)
-        return np.stack([np.log1p(np.bincount(row, weights=p, minlength=rows)), top], 1)
+        order = np.lexsort((-p, row))
+        place = np.arange(len(row)) - np.searchsorted(row, row)  # within the row; ``row`` ascends
+        best = np.zeros((rows, TOP))
+        first = place < TOP
+        best[row[first], place[first]] = p[order][first]
+        return np.stack([best[:, 0], best.mean(1)], 1)
 
     def document_scores(self, features: np.ndarray) -> np.ndarray:
         return sigmoid(features @ self.calibration[:2] + self.calibration[2])
 
 
-def toxic_words(documents: list[tuple[int, list[bytes]]], share: float = 0.01, odds: float = 20.0) -> set[bytes]:
-    """Words and stems far likelier in toxic documents.
+def copy_groups(texts: list[bytes]) -> list[int]:
+    """The same number for texts that are copies or near copies, by eight bands of two shingle minima."""
+    first: dict[tuple, int] = {}
+    group = list(range(len(texts)))
 
-    One is taken if ``share`` of the toxic documents or more have it, its smoothed document
-    odds are ``odds`` or more, and it follows as many different words: copies of one toxic
-    document repeat its context, words put anywhere do not.
+    def root(k: int) -> int:
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    for k, text in enumerate(texts):
+        own = next(minhash.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 4))
+        if len(own):
+            least = minhash.signature(own)[:16].tolist()
+            for band in range(8):
+                other = root(first.setdefault((band, least[2 * band], least[2 * band + 1]), k))
+                group[max(other, root(k))] = min(other, root(k))
+    return [root(k) for k in range(len(texts))]
+
+
+def toxic_words(documents: list[tuple[int, list[bytes], int]], share: float = 0.01, odds: float = 20.0) -> set[bytes]:
+    """Words and stems far likelier in toxic documents (label, words, copy group).
+
+    One is taken if ``share`` of the toxic copy groups or more have it, and its smoothed odds
+    over groups are ``odds`` or more. Groups count once: copies of one toxic document
+    would make all its words likely.
     """
-    counts, total = {0: Counter(), 1: Counter()}, Counter(y for y, _ in documents)
-    for y, words in documents:
-        counts[y].update({*words, *(x for w in set(words) for x in stems(w))})
+    held: dict[tuple[int, int], set[bytes]] = {}
+    for y, words, group in documents:
+        held.setdefault((y, group), set()).update(words)
+    counts, total = {0: Counter(), 1: Counter()}, Counter(y for y, _ in held)
+    for (y, _), words in held.items():
+        counts[y].update(words | {x for w in words for x in stems(w)})
     rate = lambda w, y: (counts[y][w] + 0.5) / (total[y] + 1)
     least = max(3, share * total[1])
-    found = {w for w, n in counts[1].items() if n >= least and rate(w, 1) >= odds * rate(w, 0)}
-    before: dict[bytes, set[bytes]] = {w: set() for w in found}
-    for y, words in documents:
-        for last, w in zip([b"", *words], words, strict=False) if y else ():
-            for x in {w, *stems(w)} & found:
-                before[x].add(last)
-    return {w for w in found if len(before[w]) >= max(least, 0.6 * counts[1][w])}
+    return {w for w, n in counts[1].items() if n >= least and rate(w, 1) >= odds * rate(w, 0)}
+
 
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 2000, window: int = 2048, windows: int = 4, chains: int = 4) -> ChainCRF | None:
+    """Fit on at most ``per_class`` labelled texts of each class; None without both classes.
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 2000, window: int = 2048, windows: int = 4) -> ChainCRF | None:
-    """Fit on at most ``per_class`` labelled texts of each class; None without both classes."""
+    A text is learned from ``windows`` stretches of ``window`` bytes spread evenly over it. The chains
+    that hold a toxic word all train; of a text's other chains ``chains`` do, drawn at random.
+    """
     rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label=label, per_class=per_class, window=window, windows=windows)
     y = np.array([int(bool(k)) for k, _ in rows])
     if len(set(y)) < 2:
@@ -205,21 +227,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = [b"\n".join(w) for _, w in rows]
     shared: dict[bytes, bytes] = {}  # one object a word: the driver's memory is small
     tokens = [[shared.setdefault(w, w) for w in words_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[2]] for t in texts]
-    toxic = toxic_words([(int(k), t) for k, t in zip(y, tokens, strict=True)])
-    model, ids, tags = ChainCRF(), [], []
+    toxic = toxic_words([(int(k), t, g) for k, t, g in zip(y, tokens, copy_groups(texts), strict=True)])
+    model, ids, tags, rng = ChainCRF(), [], [], np.random.default_rng(3)
     for k, words in zip(y, tokens, strict=True):
         inside = np.array([k == 1 and (w in toxic or not toxic.isdisjoint(stems(w))) for w in words], np.int64)
-        got = model.ids(words)
-        for i in range(0, len(words), CHAIN):
-            if k == 0 and i >= 4 * CHAIN:  # clean documents outweigh the spans by far
-                break
-            if k == 1 and not inside[i : i + CHAIN].any() and i >= 2 * CHAIN:
-                continue
-            x, t = np.zeros((CHAIN, FEATURES), np.int32), np.zeros(CHAIN, np.int64)
-            m = len(words[i : i + CHAIN])
-            x[:m], t[:m] = got[i : i + m], inside[i : i + m]
-            ids.append(x)
-            tags.append(t)
+        got, at = model.ids(words), range(0, len(words), CHAIN)
+        plain = [i for i in at if not inside[i : i + CHAIN].any()]
+        drawn = set(rng.permutation(plain)[:chains].tolist())
+        for i in at:
+            if i in drawn or inside[i : i + CHAIN].any():
+                x, t = np.zeros((CHAIN, FEATURES), np.int32), np.zeros(CHAIN, np.int64)
+                m = len(words[i : i + CHAIN])
+                x[:m], t[:m] = got[i : i + m], inside[i : i + m]
+                ids.append(x)
+                tags.append(t)
     if not ids:
         return None
     model.fit(np.array(ids), np.array(tags, np.int8))

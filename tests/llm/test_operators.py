@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from shopweave.llm import bitsliced, decontaminate, huffman, langid, linededup, minhash, packing, quality, substrings, tokens, toxicity
+from shopweave.llm import bitsliced, common, decontaminate, huffman, langid, linededup, minhash, packing, quality, substrings, tokens, toxicity
 from shopweave.llm.graph import components
 from shopweave.llm.queries import tokenizer_path
 
@@ -210,6 +210,20 @@ def test_top_k(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
+def test_top_k_repeated_ids(spark):
+    """Each row of a repeated id is a query and a candidate of its own."""
+    rng = np.random.default_rng(6)
+    ids = [*range(1, 60), *[100] * 12, 200, 200]
+    x = rng.normal(0, 0.2, (len(ids), 6))
+    got = bitsliced.top_k(spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), shard=20, query_block=5).collect()
+    q, want = np.floor(1024 * x).astype(int), []
+    for a, i in enumerate(ids):
+        if i % 100 == 0:
+            best = sorted((-int(q[a] @ q[b]), ids[b]) for b in range(len(ids)) if b != a)[:10]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def library(name):
     from tokenizers import Tokenizer
 
@@ -340,6 +354,107 @@ def test_toxicity(spark):
     assert toxicity.train(docs, docs.selectExpr("doc_id", "cast(null as int) toxic")) is None
 
 
+def test_toxic_words_after_common_words(spark):
+    """Insults that always follow the same few words; near copies of one toxic text do not make its words toxic."""
+    rng, vocabulary = random.Random(12), words(random.Random(11), 3000, "abcdefghijklm").split()
+    base, data = [rng.choice(vocabulary) for _ in range(100)], []
+    for i in range(800):
+        w = list(base) if i % 8 == 1 else [rng.choice(vocabulary) for _ in range(100)]
+        for _ in range(6):
+            at = rng.randint(0, len(w))
+            w[at:at] = [rng.choice(["you", "are", "a", "the"]), rng.choice(["zorkwit", "blagno", "xupp"]) if i % 2 else rng.choice(vocabulary)]
+        data.append((i, " ".join(w), str(i % 2)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, y string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(y as int) toxic").where("doc_id < 500"))
+    got = toxicity.score(docs, model).where("doc_id >= 500").collect()
+    caught = [r["score"] >= 0.7 for r in got if r["y"] == "1"]
+    alarms = [r["score"] >= 0.7 for r in got if r["y"] == "0"]
+    assert np.mean(caught) >= 0.9 and np.mean(alarms) <= 0.01
+    hits = [r["text"].encode()[s["begin"] : s["end"]] for r in got for s in r["spans"]]
+    assert np.mean([x.split()[-1] in (b"zorkwit", b"blagno", b"xupp") for x in hits]) > 0.9
+
+
+def test_forward_backward_sums_over_all_taggings():
+    import itertools
+
+    rng, crf = np.random.default_rng(0), toxicity.ChainCRF()
+    crf.trans, crf.start = rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2)
+    e, real = rng.normal(0, 1.5, (3, 6)), np.ones((3, 6), bool)
+    real[1, 4:] = False
+    inside, pair = crf.marginals(e, real)
+    want, pairs = np.zeros((3, 6)), np.zeros((2, 2))
+    for k in range(3):
+        n, total = int(real[k].sum()), 0.0
+        own, both = np.zeros(6), np.zeros((2, 2))
+        for tags in itertools.product((0, 1), repeat=n):
+            weight = np.exp(crf.start[tags[0]] + sum(e[k, t] * tags[t] for t in range(n)) + sum(crf.trans[tags[t], tags[t + 1]] for t in range(n - 1)))
+            total += weight
+            own[:n] += weight * np.array(tags)
+            for t in range(n - 1):
+                both[tags[t], tags[t + 1]] += weight
+        want[k], pairs = own / total, pairs + both / total
+    assert np.allclose(inside, want) and np.allclose(pair, pairs)
+
+
+def by_differences(params, loss, grads, rng, step=1e-5):
+    """Largest gap between gradients and central differences at drawn places of each parameter."""
+    worst = 0.0
+    for name, g in grads.items():
+        for _ in range(8):
+            at = tuple(rng.integers(0, n) for n in params[name].shape)
+            keep = params[name][at]
+            params[name][at] = keep + step
+            up = loss()
+            params[name][at] = keep - step
+            down = loss()
+            params[name][at] = keep
+            worst = max(worst, abs((up - down) / (2 * step) - g[at]))
+    return worst
+
+
+def test_attention_gradients():
+    rng, model = np.random.default_rng(1), quality.AttentionMIL()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, bag, y = rng.normal(0, 1, (9, quality.FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        q = model.forward(x, bag, 4)["q"]
+        return -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
+
+    assert by_differences(model.p, loss, model.gradients(x, bag, y), rng) < 1e-6
+
+
+def test_convolution_gradients():
+    rng, model = np.random.default_rng(2), langid.ByteConvNet(["a", "b", "c"])
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y = rng.integers(1, 256, (5, 40)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    grads, params = model._step(x, y), model.p
+
+    def loss():
+        return -np.mean(np.log(model.predict(x, model.tables(np.float64))[np.arange(5), y]))
+
+    embed = grads.pop("embed")
+    assert by_differences(params, loss, grads, rng, 1e-6) < 1e-6
+    for byte in (int(x[0, 0]), int(x[1, 7]), int(x[4, 21])):
+        for d in range(langid.EMBED):
+            keep = params["embed"][byte, d]
+            params["embed"][byte, d] = keep + 1e-6
+            up = loss()
+            params["embed"][byte, d] = keep - 1e-6
+            assert abs((up - loss()) / 2e-6 - embed[byte, d]) < 1e-6
+            params["embed"][byte, d] = keep
+
+
+def test_sample_is_drawn_by_hash(spark):
+    """Texts late in the alphabet are drawn as often as others, and too many labels raise."""
+    docs = spark.createDataFrame([(i, f"{i:04d}", i % 2) for i in range(2000)], "doc_id long, text string, y int")
+    how = {"id_col": "doc_id", "text_col": "text", "label": "y", "window": 16, "windows": 1}
+    drawn = [int(w[0]) for _, w in common.labelled_sample(docs, docs, per_class=300, **how)]
+    assert len(drawn) > 500 and abs(np.mean(drawn) - 1000) < 100
+    with pytest.raises(ValueError):
+        common.labelled_sample(docs, docs, per_class=300, classes=1, **how)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
