@@ -4,7 +4,7 @@ Each shard of documents (a bounded run of words within a task) gets a suffix arr
 every suffix of the benchmark items is binary-searched in it, which gives the longest
 verbatim match, its count and its locations. Occurrences of ``window`` item words mark
 the document words that they cover. Matching runs where the documents lie; the benchmark
-is sent to the tasks in blocks of bounded size, one pass a block.
+is sent to the tasks in blocks of bounded size, one stored pass a block.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 #: Characters of words (fixed by the contract): all but ASCII without letters and digits.
 WORD_BYTE = np.ones(256, bool)
@@ -223,10 +223,14 @@ def match(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
 
         return frame.mapInArrow(run, schema)
 
-    passes = 0
+    sent = None
     for block in item_blocks(benchmark.where(f"`{item_col}` IS NOT NULL"), item_col, item_text_col, block_bytes):
-        out, passes = one_pass(out, spark.sparkContext.broadcast(block)), passes + 1
-    return out if passes else one_pass(out, spark.sparkContext.broadcast([]))
+        if sent is not None:  # an earlier pass is stored before the next block goes out: one is alive at a time
+            out = materialize(out, "marked")
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(block)
+        out = one_pass(out, sent)
+    return out if sent is not None else one_pass(out, spark.sparkContext.broadcast([]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -244,7 +248,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
     for block in item_blocks(benchmark.where(f"`{item_col}` IS NOT NULL"), item_col, item_text_col, block_bytes):
-        own = one_pass(spark.sparkContext.broadcast(block))
+        sent = spark.sparkContext.broadcast(block)
+        own = materialize(one_pass(sent), "matches")
+        sent.destroy()
         out = own if out is None else out.unionByName(own)
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, to_arrow
+from .common import materialize, new_path, to_arrow
 
 #: What a line's key is stripped of at both ends (fixed by the contract).
 BLANK = b" \t\n\x0b\x0c\r"
@@ -33,19 +33,22 @@ def line_keys(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return lines, [xxhash.xxh3_128_digest(k) if k else b"" for k in keys]
 
 
-def line_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n): in how many rows of ``docs`` each non-blank line key is found."""
+def line_counts(docs: DataFrame, text_col: str = "text", batches: int = 1) -> DataFrame:
+    """(batch, key, n): in how many rows of each batch of ``docs`` each non-blank line key is found.
 
-    def count(batches):
-        schema = pa.schema([("key", pa.binary()), ("n", pa.int64())])
-        for batch in batches:
+    Rows are dealt to batches by the hash of their text. Counts are partial: a key may have several rows.
+    """
+
+    def count(rows):
+        schema = pa.schema([("batch", pa.int32()), ("key", pa.binary()), ("n", pa.int64())])
+        for batch in rows:
             seen: Counter = Counter()
-            for text in batch.column(0):
-                seen.update(set(line_keys(text.as_py())[1]))
-            seen.pop(b"", None)
-            yield to_arrow(schema, list(seen), list(seen.values()))
+            for text, number in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen.update((number, key) for key in set(line_keys(text.as_py())[1]) if key)
+            yield to_arrow(schema, [k[0] for k in seen], [k[1] for k in seen], list(seen.values()))
 
-    return docs.select(text_col).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    number = F.pmod(F.xxhash64(text_col), F.lit(batches)).cast("int")
+    return docs.select(text_col, number).mapInArrow(count, "batch int, key binary, n long")
 
 
 class LineRuns:
@@ -77,8 +80,12 @@ class LineRuns:
         return self.counts().where(F.col("n") >= self.min_docs).select("key")
 
     def add(self, docs: DataFrame, text_col: str = "text") -> None:
-        """Count a batch's keys, leave out those already common, write a run, compact full levels."""
-        counts = line_counts(docs, text_col)
+        """Add a batch of documents as a run."""
+        self.add_counts(line_counts(docs, text_col))
+
+    def add_counts(self, counts: DataFrame) -> None:
+        """Add a batch's (key, n): leave out keys already common, write a run, compact full levels."""
+        counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
         if any(self.levels):
             counts = counts.join(self.common(), "key", "left_anti")
         self._write(counts, 0)
@@ -112,9 +119,9 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     runs = LineRuns(spark, min_docs, fanout)
-    batch_of = F.pmod(F.xxhash64(text_col), F.lit(batches))
+    counts = materialize(line_counts(docs, text_col, batches), "line-counts")  # the texts are read once for all batches
     for k in range(batches):
-        runs.add(docs.where(batch_of == k) if batches > 1 else docs, text_col)
+        runs.add_counts(counts.where(F.col("batch") == k))
     common = runs.common()
     fields = [f for f in docs.schema if f.name not in ("n_lines", "n_dropped")]
     names = [f.name for f in fields]
@@ -134,5 +141,13 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # A key's fate is the same in every document, so rows that share an id may share their keys.
     rows = base.select(F.col(id_col).cast("string").alias("_id"), text_col)
     hot = rows.mapInArrow(keyed, "_id string, key binary").join(common, "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("_hot"))
-    joined = base.join(hot, F.col(id_col).cast("string").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return joined.mapInArrow(lambda it: _cut(it, schema.names, text_col, lambda b: [frozenset(x.as_py() or ()) for x in b.column("_hot")]), schema)
+    # The columns of ``docs`` are set apart in a struct: none can clash with the join's own.
+    packed = base.select(F.struct(*names).alias("_row"), F.col(id_col).cast("string").alias("_own"))
+    joined = packed.join(hot, F.col("_own").eqNullSafe(F.col("_id")), "left").select("_row", "_hot")
+
+    def unpacked(it):
+        for batch in it:
+            own = pa.RecordBatch.from_struct_array(batch.column(0))
+            yield from _cut([own], schema.names, text_col, lambda _, hot=batch.column(1): [frozenset(x.as_py() or ()) for x in hot])
+
+    return joined.mapInArrow(unpacked, schema)

@@ -470,19 +470,130 @@ def test_empty_token_files(spark, tmp_path):
     assert huffman.read(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_pipeline_keeps_columns(spark, rows, tmp_path):
+def linked(sets):
+    """The least number that each set reaches over links of 80 per cent or more."""
+    label = list(range(len(sets)))
+    for _ in sets:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def pipeline_by_hand(spark, docs, item, keep):
+    """Kept (doc_id, text) after each middle stage, and the packed tokens of each row, by brute force."""
+    blank = " \t\n\x0b\x0c\r"
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    key = lambda x: fold(x.strip(blank))
+    rows = [(i, t) for i, t in docs if keep(t)]
+    seen = collections.Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")})
+    lines = [(i, "\n".join(x for x in (t or "").split("\n") if not key(x) or seen[key(x)] < 10)) for i, t in rows]
+    sets = []
+    for _, t in lines:
+        w = fold(t).encode().split()
+        sets.append({tuple(w[s : s + 5]) for s in range(max(1, len(w) - 4))} if w else set())
+    groups = collections.defaultdict(list)
+    for k, g in enumerate(linked(sets)):
+        groups[g].append((lines[k][0] is None, lines[k][0] or 0, k))
+    apart = [lines[min(own)[2]] for own in groups.values()]
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
+    w = split(item)
+    windows = {tuple(w[s : s + 10]) for s in range(len(w) - 9)}
+    clean = [(i, t) for i, t in apart if not any(tuple(split(t)[s : s + 10]) in windows for s in range(len(split(t))))]
+    return lines, apart, clean
+
+
+def test_pipeline_stages(spark, rows, tmp_path):
+    """Each stage against brute force: nulls, empty and long texts, equal rows, rows of one id, null ids."""
+    import corpus_pipeline
+
+    text = rows[20][1]
+    extra = [(3, rows[3][1]), (3, rows[20][1]), (3, rows[20][1]), (None, rows[8][1]), (None, None), (None, "a b c d e f g"), (500, "a b c d e f g"), (1, "")]
+    docs, item, where = [*rows, *extra], rows[11][1], str(tmp_path)
+    frame(spark, docs).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")  # one class: all stay
+    want = pipeline_by_hand(spark, docs, item, lambda t: True)
+    got, pick = spark.read.parquet(f"{where}/documents.parquet"), lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert text and pick(corpus_pipeline.STAGES[0][1](spark, got, where)) == collections.Counter(docs)
+    for (name, stage), rest in zip(corpus_pipeline.STAGES[1:-1], want, strict=True):
+        path = f"{where}/{name}"
+        stage(spark, got, where).write.parquet(path)
+        got = spark.read.parquet(path)
+        assert got.columns == frame(spark, docs).columns, name
+        assert pick(got) == collections.Counter(rest), name
+    packed = corpus_pipeline.run(spark, where).collect()
+    sizes = collections.Counter(len(library_ids("word_bpe_49k.json", t, 0)) for _, t in want[-1])
+    whole = collections.Counter()
+    for r in packed:
+        assert 0 <= r["offset"] and r["offset"] + r["length"] <= 2048
+        whole[r["doc_id"]] += r["length"]
+    assert sum(whole.values()) == sum(n * k for n, k in sizes.items())
+    for i, t in want[-1]:
+        if sum(j == i for j, _ in want[-1]) == 1:
+            assert whole[i] == len(library_ids("word_bpe_49k.json", t, 0))
+
+
+def test_pipeline_rejects_low_quality(spark, tmp_path):
+    """With labels, the rows under 0.7 go, and those are the rejected ones by their labels."""
     import corpus_pipeline
 
-    docs = frame(spark, rows)
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1 if i % 4 else 0, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, rows[11][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
-        after = stage(spark, before, str(tmp_path))
-        assert after.columns == docs.columns, name
-        before = after
-    kept = {r["doc_id"] for r in before.collect()}
-    assert 3 in kept and 4 not in kept and 11 not in kept
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+    good = labelled(spark, lambda rng, i: (words(rng, 150) if i % 2 else "".join(x + "!! " for x in words(rng, 150).upper().split()), str(i % 2)))
+    good.write.parquet(f"{tmp_path}/documents.parquet")
+    good.selectExpr("doc_id", "cast(y as int) quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r["y"] for r in kept} == {"1"} and len(kept) > 110
+
+
+def test_pipeline_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", SCHEMA), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_query(spark, tmp_path):
+    """The registered queries on tables as the driver's: digests follow from the operators' own results."""
+    from shopweave.llm import queries
+
+    rng, where = random.Random(21), str(tmp_path)
+    passage = words(rng, 150)
+    texts = [f"{words(rng, 90)}\n{passage if i % 4 == 0 else words(rng, 60)}" for i in range(60)] + [None, "", "x" * 900, "y " * 3000]
+    texts[7] = texts[5]
+    docs = [(i, t, ["en", "de"][i % 2], "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) toxic").write.parquet(f"{where}/labels.parquet")
+    held = {m: {i: zlib.crc32(str(i).encode()) % m for i in range(len(docs))} for m in (3, 4)}
+    for name, m, rest in (("op1_langid", 4, 2), ("op2_quality", 4, 2), ("op10_toxicity", 3, 1)):
+        got = by_id(queries.QUERIES[name](spark, where))
+        assert {i: r["held_out"] for i, r in got.items()} == {i: k == rest for i, k in held[m].items()}
+        assert all(0 <= r["score"] <= 1 for r in got.values())
+        assert name == "op1_langid" or all(r["predicted"] == (r["score"] >= 0.7) for r in got.values())
+    raw = {i: (t or "").encode() for i, t, *_ in docs}
+    seen = collections.Counter(b[k : k + 400] for b in raw.values() for k in range(len(b) - 399))
+    got = by_id(queries.op3_repeats(spark, where))
+    for i, b in raw.items():
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(b), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    assert any(r["n_removed"] for r in got.values())
+    pieces = queries.op4_packing(spark, where).collect()
+    ids = {i: library_ids("word_bpe_49k.json", t, 0) for i, t, *_ in docs}
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces) == sorted(
+        (i, p, a, len(x[a : a + 2048]), zlib.crc32(np.array(x[a : a + 2048], "<u4").tobytes())) for i, x in ids.items() for p, a in enumerate(range(0, len(x), 2048)))
+    got, start = by_id(queries.op9_token_codes(spark, where)), 0
+    for i, t, *_ in docs:
+        x = np.array(library_ids("byte_bpe_50k.json", t, 2), "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+    sets = []
+    for _, t, *_ in docs:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[s : s + 4]) for s in range(max(1, len(w) - 3))} if w else set())
+    got = by_id(queries.op7_near_dup(spark, where))
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(x), c, c == i) for i, (x, c) in enumerate(zip(sets, linked(sets), strict=True))}
