@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopweave.llm import decontaminate, linededup, minhash, packing, quality
-from shopweave.llm.common import new_path, read_table
+from shopweave.llm.common import materialize, new_path, read_table
 from shopweave.llm.queries import quality_model, tokenizer_path
 
 #: Ids that may be broadcast to drop them; beyond that they are joined.
@@ -27,7 +27,11 @@ def _put_back(frame: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more; without labels of both classes all stay."""
+    """Documents that score 0.7 or more; without labels of both classes all stay.
+
+    A null text is scored as an empty one, and a text of any length by all its passages. Every row is
+    judged by its text alone: equal rows, and rows of one id or none, have one fate for each text.
+    """
     model = quality_model(spark, docs, sf_dir)
     if model is None:
         return docs
@@ -35,25 +39,45 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; ``n_chars`` follows the text."""
+    """Lines found in ten documents or more go; ``n_chars`` follows the text.
+
+    No document goes: one whose lines all go keeps an empty text, as a null text becomes an empty one.
+    Each row is a document, so equal rows and rows of one id count as often as they occur.
+    """
     out = _put_back(linededup.drop_common_lines(_set_apart(docs), id_col="_doc_doc_id", text_col="_doc_text"), docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the least id."""
-    gone = minhash.link(docs, k=5, percent=80).where("NOT kept").select("doc_id")
-    few = len(gone.limit(BROADCAST_IDS + 1).select(F.lit(1)).collect()) <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays: the one of the least id, null ids last; of equal ids, any one.
+
+    Rows are told apart by a number of their own, so equal rows are copies, and rows of one id
+    with different texts are not. Null and empty texts, and texts without a word, all stay.
+    """
+    rows = materialize(_set_apart(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    linked = materialize(minhash.link(rows, id_col="_row", text_col="_doc_text", k=5, percent=80).select("_row", "component_id", "kept"), "linked")
+    groups = linked.where("NOT kept").select("component_id").distinct()
+    ids = rows.select("_row", F.col("_doc_doc_id").alias("id"))
+    members = linked.join(groups, "component_id", "left_semi").join(ids, "_row")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row"))["_row"].alias("_row"))
+    gone = materialize(members.select("_row").join(stays.select("_row"), "_row", "left_anti"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return _put_back(rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with ten consecutive words of a benchmark item, or all words of a shorter one, go.
+
+    Each row is judged by its text alone; null and empty texts stay, as do all without a benchmark.
+    """
     return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """A row for each piece: its sequence of at most 2048 tokens and its place there.
+
+    A null or empty text is one piece, the end id. Equal rows, and rows of one id, are packed each.
+    """
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
