@@ -117,6 +117,43 @@ SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS
 FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
 
+OP3_SQL = r"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT doc_id, b, unnest(range(0, greatest(0, octet_length(b) - 399))) AS s FROM raw),
+keyed AS (SELECT doc_id, s, md5_number(array_slice(b, CAST(s + 1 AS BIGINT), CAST(s + 400 AS BIGINT))) AS k FROM starts),
+twice AS (SELECT k FROM keyed GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM keyed SEMI JOIN twice USING (k)),
+runs AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM hits),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS z FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS last FROM spans),
+cut AS (
+  SELECT doc_id, count(*) AS n, sum(z - a) AS gone, max(z) AS stop,
+         string_agg(CASE WHEN a > last THEN hex(array_slice(b, CAST(last + 1 AS BIGINT), CAST(a AS BIGINT))) ELSE '' END, '' ORDER BY a) AS rest
+  FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN hex(b) WHEN stop < octet_length(b) THEN rest || hex(array_slice(b, CAST(stop + 1 AS BIGINT), octet_length(b))) ELSE rest END)) AS kept_sha256
+FROM raw LEFT JOIN cut USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda s: array_to_string(w[s : s + 3], ' '))) END AS g FROM w),
+alike AS (SELECT g, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(g) AS g FROM sets WHERE len(g) > 0) GROUP BY g),
+grams AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM alike),
+pairs AS (SELECT a.rep AS u, b.rep AS v, any_value(a.n) + any_value(b.n) AS total, count(*) AS common FROM grams a JOIN grams b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+links AS (
+  SELECT u, v FROM pairs WHERE 100 * common >= 80 * (total - common)
+  UNION ALL SELECT v, u FROM pairs WHERE 100 * common >= 80 * (total - common)
+  UNION ALL SELECT s.doc_id, a.rep FROM sets s JOIN alike a ON list_sort(s.g) = a.g WHERE s.doc_id <> a.rep),
+reach(doc_id, other) AS (
+  SELECT u, v FROM links UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON r.other = l.u)
+SELECT s.doc_id, len(s.g) AS n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id,
+       least(s.doc_id, coalesce(min(r.other), s.doc_id)) = s.doc_id AS kept
+FROM sets s LEFT JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.g
+"""
+
 OP8_SQL = """
 WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0
@@ -128,4 +165,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op3_repeats": op3_repeats, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_near_dup": op7_near_dup, "op8_topk": op8_topk, "op9_token_codes": op9_token_codes}
-ORACLE_SQL = {"op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_topk": OP8_SQL}
+ORACLE_SQL = {"op3_repeats": OP3_SQL, "op7_near_dup": OP7_SQL, "op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_topk": OP8_SQL}
