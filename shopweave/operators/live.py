@@ -50,10 +50,14 @@ def occupancy_at(visits: DataFrame, entities: DataFrame, at: DataFrame) -> DataF
 
 
 def spine(stores: DataFrame, start: Column, end: Column, minutes: int, *, with_end: bool = False) -> DataFrame:
-    """(store_id, bucket, bucket_start): buckets anchored at ``start``, the last one before ``end``."""
+    """(store_id, bucket, bucket_start): buckets anchored at ``start``, the last one before ``end``.
+
+    The query fails where ``end`` does not come after ``start``, as a width that is not positive does at once.
+    """
     if minutes <= 0:
         raise ValueError("the bucket width must be positive")
-    count = F.floor((seconds(start, end) + (0 if with_end else -1)) / (minutes * 60))
+    whole = F.when(start < end, seconds(start, end)).otherwise(F.raise_error(F.lit("the end must come after the start")).cast("long"))
+    count = F.floor((whole + (0 if with_end else -1)) / (minutes * 60))
     buckets = stores.select("store_id", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("bucket"))
     return buckets.withColumn("bucket_start", F.timestamp_add("MINUTE", (F.col("bucket") * minutes).cast("int"), start))
 

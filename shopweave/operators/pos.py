@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -99,6 +101,31 @@ def correlate(transactions: DataFrame, visits: DataFrame, events: DataFrame, ent
     return found.unionByName(sales).unionByName(idle)
 
 
-def explanation(kept: DataFrame) -> DataFrame:
-    """``kept`` with its scoring facts as JSON text."""
-    return kept.withColumn("explanation", F.to_json(F.struct("score", "method", "candidates", "rank")))
+def explanation(kept: DataFrame, transactions: DataFrame, visits: DataFrame, events: DataFrame, entities: DataFrame, *, least: float = 0.55) -> DataFrame:
+    """``kept`` with the facts of its score as JSON text: gaps in seconds, the scores of each, abandonment."""
+    people = eligible_visits(visits, events, entities).select(*VISIT, "entry_time", "exit_time", "queue_time", "queue_abandoned")
+    facts = kept.where("order_id IS NOT NULL AND entity_id IS NOT NULL").select("store_id", "order_id", *VISIT[1:])
+    facts = facts.join(transactions.select("store_id", "order_id", F.col("ts").alias("sold_at")), ["store_id", "order_id"]).join(people, list(VISIT))
+    gap = lambda c: F.abs(seconds(F.col(c), F.col("sold_at")))
+    last = F.coalesce("exit_time", "entry_time")
+    outside = F.when(F.col("sold_at") < F.col("entry_time"), gap("entry_time")).when(F.col("sold_at") > last, seconds(last, F.col("sold_at"))).otherwise(0)
+    units = lambda c: F.floor(c * 10000 + 0.5) / 10000
+    queue, left = (F.coalesce(_decay(gap(c), w), F.lit(0.0)) for c, w in (("queue_time", QUEUE_WINDOW), ("exit_time", EXIT_WINDOW)))
+    told = F.struct(
+        F.lit(True).alias("store_match"), gap("queue_time").alias("queue_seconds_delta"), gap("exit_time").alias("exit_seconds_delta"), outside.cast("long").alias("session_seconds_delta"),
+        units(queue).alias("queue_score"), units(left).alias("exit_score"), units(_decay(outside, SESSION_WINDOW)).alias("session_score"),
+        F.col("queue_abandoned").alias("has_queue_abandonment"), F.lit(least).alias("minimum_confidence"))
+    return kept.join(facts.select("store_id", "order_id", *VISIT[1:], F.to_json(told).alias("explanation")), ["store_id", "order_id", *VISIT[1:]], "left")
+
+
+def replace_correlations(correlations: DataFrame, path: str) -> None:
+    """Write a full replacement of the correlation table: readers of ``path`` see the old rows or the new ones."""
+    spark, now = correlations.sparkSession, f"run-{uuid.uuid4().hex}"
+    correlations.write.parquet(f"{path}/runs/{now}")
+    spark.createDataFrame([(now,)], "run string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+
+
+def read_correlations(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last replacement."""
+    last = spark.read.parquet(f"{path}/current").select("run", F.col("_metadata.file_modification_time").alias("at")).orderBy(F.desc("at")).first()
+    return spark.read.parquet(f"{path}/runs/{last['run']}")

@@ -49,6 +49,40 @@ def reentries(visits: DataFrame, events: DataFrame, *, days: int = 365) -> DataF
             .select(*VISIT, "entry_time", "previous_session_no", "previous_exit", gap.alias("gap_seconds")))
 
 
+def reentry_events(events: DataFrame, returned: DataFrame, *, key: str = "source_event_id", stored: DataFrame | None = None) -> DataFrame:
+    """A ``reentry`` event beside each entry that opened a visit of ``returned`` (see :func:`reentries`).
+
+    It repeats the entry under the key ``{key}:reentry`` and tells of the previous visit in ``metadata_json``.
+    Keys that ``stored`` has already are left out, so running it again adds nothing.
+    """
+    first = Window.partitionBy(*VISIT).orderBy("ts", "event_id")
+    opening = events.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    told = F.to_json(F.struct("previous_session_no", F.date_format("previous_exit", "yyyy-MM-dd'T'HH:mm:ss").alias("previous_exit_time")))
+    out = opening.join(returned.select(*VISIT, told.alias("metadata_json")), list(VISIT))
+    out = out.withColumns({"event_type": F.lit("reentry"), key: F.concat(F.col(key).cast("string"), F.lit(":reentry"))})
+    return out if stored is None else out.join(stored.select("store_id", key), ["store_id", key], "left_anti")
+
+
+#: Stands for the camera of identifiers that hold in a whole store (fixed value).
+STORE_SCOPE = "__STORE_SCOPED__"
+
+
+def resolve_identities(events: DataFrame, *, arrival: str = "event_id") -> DataFrame:
+    """One row for each (store, camera or the store's sentinel, source field, source value).
+
+    ``events`` has source_field, source_value, camera_scoped, is_staff and the attributes gender, age,
+    group_id and group_size. Attributes are those of the first arrival; one sighting as staff makes the
+    identity staff for good. First and last sightings go by arrival, not by event time.
+    """
+    scope = F.when(F.col("camera_scoped"), F.col("camera_id")).otherwise(F.lit(STORE_SCOPE))
+    first = lambda c: F.min_by(c, arrival).alias(c)
+    staff = F.coalesce("is_staff", F.lit(False))
+    out = events.withColumn("scope", scope).groupBy("store_id", "scope", "source_field", "source_value").agg(
+        F.min_by("ts", arrival).alias("first_seen_at"), F.max_by("ts", arrival).alias("last_seen_at"), F.bool_or(staff).alias("is_staff"), *[first(c) for c in ("gender", "age", "group_id", "group_size")])
+    flagged = F.col("is_staff")
+    return out.withColumns({"staff_confidence": F.when(flagged, 1.0).otherwise(0.0), "staff_reason": F.when(flagged, "source marked as staff")})
+
+
 def resolve_aliases(events: DataFrame, *, arrival: str = "event_id") -> DataFrame:
     """One row for each entity and camera: first attributes, sightings in arrival order."""
     return events.groupBy(*ENTITY, "camera_id").agg(

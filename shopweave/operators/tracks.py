@@ -15,6 +15,7 @@ from ..functions import in_polygon, rate, seconds, uuid5
 
 TRACK = ("store_id", "camera_id", "video", "track_id")
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+QUEUE_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 #: Defaults of a camera (fixed values).
 SAMPLE_FPS, CONFIDENCE, COMPLETE_SECONDS, ABANDON_SECONDS, GRACE_SECONDS = 2.0, 0.35, 45, 8, 2
 
@@ -70,7 +71,7 @@ def zone_visits(sightings: DataFrame, zones: DataFrame, *, grace: int = 0) -> Da
     visits = runs.groupBy(*key, "visit_no").agg(F.min("seen").alias("first"), last("seen").alias("last"), last(F.struct("left")).alias("left"), last(F.struct("confirmed_frame")).alias("confirmed"))
     left = F.col("left.left")
     return visits.select(*key, F.col("visit_no").cast("long").alias("visit_no"), F.col("first.ts").alias("enter_ts"), F.col("first.frame").alias("enter_frame"), F.col("last.ts").alias("last_inside_ts"), F.col("last.frame").alias("last_inside_frame"),
-                         F.coalesce(left["ts"], F.col("last.ts")).alias("exit_ts"), left.isNotNull().alias("left"), F.col("confirmed.confirmed_frame").alias("confirmed_frame"))
+                         F.coalesce(left["ts"], F.col("last.ts")).alias("exit_ts"), F.coalesce(left["frame"], F.col("last.frame")).alias("exit_frame"), left.isNotNull().alias("left"), F.col("confirmed.confirmed_frame").alias("confirmed_frame"))
 
 
 def queue_visits(visits: DataFrame, *, complete: int = COMPLETE_SECONDS, abandon: int = ABANDON_SECONDS) -> DataFrame:
@@ -88,7 +89,30 @@ def queue_visits(visits: DataFrame, *, complete: int = COMPLETE_SECONDS, abandon
     order = Window.partitionBy(*camera).orderBy("frame", "step", "track_id")
     position = joins.unionByName(ends).withColumn("position_at_join", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("step = 1").drop("frame", "step")
     out = visits.withColumns({"dwell_seconds": dwell, "outcome": outcome}).join(position, [*camera, "track_id", "visit_no"])
-    return out.select(*TRACK, "zone_id", "visit_no", "enter_ts", "exit_ts", "last_inside_frame", "dwell_seconds", "outcome", "position_at_join")
+    return out.select(*TRACK, "zone_id", "visit_no", "enter_ts", "enter_frame", "exit_ts", "last_inside_frame", "dwell_seconds", "outcome", "position_at_join")
+
+
+def zone_events(visits: DataFrame, zones: DataFrame) -> DataFrame:
+    """A ``zone_entered`` and a ``zone_exited`` event of each visit of a zone, with the zone's name and type."""
+    ends = F.explode(F.array(*[F.struct(F.lit(kind).alias("event_type"), F.col(f"{end}_ts").alias("ts"), F.col(f"{end}_frame").alias("frame")) for kind, end in (("zone_entered", "enter"), ("zone_exited", "exit"))]))
+    named = visits.join(F.broadcast(zones.select("store_id", "camera_id", "zone_id", F.col("name").alias("zone_name"), F.col("type").alias("zone_type"))), ["store_id", "camera_id", "zone_id"])  # configuration rows
+    return named.select(*TRACK, "zone_id", "zone_name", "zone_type", ends.alias("e")).select(*TRACK, "zone_id", "zone_name", "zone_type", "e.*")
+
+
+def queue_events(queued: DataFrame, *, namespace: str = QUEUE_NAMESPACE) -> DataFrame:
+    """The join of each queue visit, and its terminal where it has an outcome.
+
+    Both carry ``queue_event_id``, a UUID of store, camera, video, track and the frame of joining. A terminal
+    is of the frame last seen inside, waits from the join to the exit, and has the position at joining.
+    """
+    of_join = F.col("event_type") == "billing_queue_join"
+    step = lambda kind, at, frame: F.struct(kind.alias("event_type"), F.col(at).alias("ts"), F.col(frame).alias("frame"))
+    steps = F.explode(F.array(step(F.lit("billing_queue_join"), "enter_ts", "enter_frame"), step(F.col("outcome"), "exit_ts", "last_inside_frame")))
+    key = uuid5(namespace, *[F.col(c) for c in (*TRACK, "enter_frame")])
+    out = queued.select(*TRACK, "zone_id", key.alias("queue_event_id"), "enter_ts", "dwell_seconds", "position_at_join", steps.alias("e"))
+    out = out.select(*TRACK, "zone_id", "queue_event_id", F.col("enter_ts").alias("queue_join_ts"), "dwell_seconds", "position_at_join", "e.*").where("event_type IS NOT NULL")
+    wait = F.when(~of_join, F.greatest(F.lit(0).cast("long"), F.col("dwell_seconds")))
+    return out.withColumns({"wait_seconds": wait, "abandoned": F.when(~of_join, F.col("event_type") == "queue_abandoned")}).drop("dwell_seconds")
 
 
 def event_ids(events: DataFrame, *, namespace: str = NAMESPACE) -> DataFrame:

@@ -61,12 +61,12 @@ class Retail:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        sale = self.raw.where(F.col("is_purchase") & (F.col("event_id") % 2 == 0))
+        sale = self.raw.where("is_purchase")
         return sale.select("store_id", F.concat(F.lit("O"), "event_id").alias("order_id"), F.timestamp_add("SECOND", (F.col("event_id") % 600).cast("int"), F.col("ts")).alias("ts"))
 
     @cached_property
     def items(self) -> DataFrame:
-        sale = self.raw.where(F.col("is_purchase") & (F.col("event_id") % 2 == 0))
+        sale = self.raw.where("is_purchase")
         return sale.select("store_id", F.concat(F.lit("O"), "event_id").alias("order_id"), F.col("k").cast("string").alias("product_id"), F.col("value").alias("amount"))
 
     @cached_property
@@ -103,7 +103,7 @@ class Retail:
     @cached_property
     def pos_rows(self) -> DataFrame:
         """The sales as text rows of an import, two rows an order; every 13th amount and every 19th store is broken."""
-        sale = self.raw.where(F.col("is_purchase") & (F.col("event_id") % 2 == 0)).select("event_id", "store_id", "ts", "k", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+        sale = self.raw.where("is_purchase").select("event_id", "store_id", "ts", "k", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
         row = F.col("event_id") * 2 + F.col("j")
         return sale.select(
             row.alias("row_no"), F.concat(F.lit(" O"), "event_id").alias("order_id"), F.date_format("ts", "d-M-yyyy").alias("order_date"), F.date_format("ts", "H:mm:ss").alias("order_time"),
@@ -140,5 +140,5 @@ vis AS (SELECT store_id, entity_id, session_no, min(ts) AS entry_time, max(CASE
 cev AS (SELECT ev.* FROM ev JOIN ent USING (store_id, entity_id) WHERE NOT is_staff),
 cvis AS (SELECT vis.*, group_id, group_size FROM vis JOIN ent USING (store_id, entity_id) WHERE NOT is_staff),
 txn AS (SELECT store_id, 'O' || CAST(event_id AS VARCHAR) AS order_id, ts + to_seconds(event_id % 600) AS ts, value AS amount
-        FROM raw WHERE is_purchase AND event_id % 2 = 0)
+        FROM raw WHERE is_purchase)
 """

@@ -22,7 +22,8 @@ def query(name: str, sql: str | None = None, *, base: bool = True):
     def register(f):
         QUERIES[name] = lambda spark, sf_dir: f(Retail(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = (BASE_SQL + sql) if base else sql
+            text = (BASE_SQL + sql) if base else sql
+            ORACLE_SQL[name] = text.replace("WITH raw", "WITH RECURSIVE raw", 1) if "FROM turns" in text else text
         return f
 
     return register
@@ -324,6 +325,32 @@ def _(r):
     return r.correlations
 
 
+@query("cor7_replaced_correlations", COR_SQL + " SELECT store_id, status, count(*) AS n FROM cor GROUP BY ALL")
+def _(r):
+    """Two replacements of the stored table: the second one's rows are read."""
+    path = new_path(r.spark, "correlations")
+    pos.replace_correlations(r.correlations.limit(0), path)
+    pos.replace_correlations(r.correlations, path)
+    return pos.read_correlations(r.spark, path).groupBy("store_id", "status").agg(F.count("*").alias("n"))
+
+
+@query("cor3_explanations", COR_SQL + """
+, f AS (SELECT cor.store_id, cor.order_id, cor.entity_id, cor.session_no, t.ts AS sold_at, v.entry_time, v.exit_time,
+          max(ev.ts) FILTER (ev.event_type = 'queue_completed') AS q, coalesce(bool_or(ev.event_type = 'queue_abandoned'), false) AS abandoned
+        FROM cor JOIN txn t ON t.store_id = cor.store_id AND t.order_id = cor.order_id JOIN vis v ON v.store_id = cor.store_id AND v.entity_id = cor.entity_id AND v.session_no = cor.session_no
+        JOIN ev ON ev.store_id = v.store_id AND ev.entity_id = v.entity_id AND ev.session_no = v.session_no WHERE cor.status <> 'UNMATCHED' GROUP BY ALL),
+g AS (SELECT *, CAST(abs(date_diff('second', q, sold_at)) AS BIGINT) AS qs, CAST(abs(date_diff('second', exit_time, sold_at)) AS BIGINT) AS es,
+        CAST(CASE WHEN sold_at < entry_time THEN date_diff('second', sold_at, entry_time) WHEN sold_at > coalesce(exit_time, entry_time) THEN date_diff('second', coalesce(exit_time, entry_time), sold_at) ELSE 0 END AS BIGINT) AS ss FROM f)
+SELECT store_id, order_id, entity_id, CAST(session_no AS BIGINT) AS session_no, qs AS queue_seconds_delta, es AS exit_seconds_delta, ss AS session_seconds_delta,
+  CASE WHEN qs <= 600 THEN floor((1.0::DOUBLE - CAST(qs AS DOUBLE) / 600) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS queue_score,
+  CASE WHEN es <= 1200 THEN floor((1.0::DOUBLE - CAST(es AS DOUBLE) / 1200) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS exit_score,
+  CASE WHEN ss <= 2700 THEN floor((1.0::DOUBLE - CAST(ss AS DOUBLE) / 2700) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS session_score, abandoned AS has_queue_abandonment FROM g""")
+def _(r):
+    told = pos.explanation(r.correlations, r.transactions, r.visits, r.events, r.entities).where("explanation IS NOT NULL")
+    kind = "store_match boolean, queue_seconds_delta long, exit_seconds_delta long, session_seconds_delta long, queue_score double, exit_score double, session_score double, has_queue_abandonment boolean"
+    return told.select("store_id", "order_id", "entity_id", "session_no", F.from_json("explanation", kind).alias("x")).select("store_id", "order_id", "entity_id", "session_no", "x.*").drop("store_match")
+
+
 @query("agg11_attributed_sales", FULL_SQL + " SELECT * FROM sale")
 def _(r):
     return metrics.attributed_sales(r.correlations, r.items)
@@ -464,7 +491,7 @@ def _(r):
 _WORDS = {"s": "|".join(people.STAFF_WORDS), "b": "|".join(people.BILLING_WORDS)}
 
 
-@query("id10_staff_scores", f"""
+STAFF_SQL = f"""
 , e AS (SELECT store_id, entity_id, count(*) FILTER (regexp_matches(lower(zone_id), '{_WORDS['s']}')) AS n,
           count(*) FILTER (event_type IN ('queue_completed', 'queue_abandoned') OR regexp_matches(lower(zone_id), '{_WORDS['b']}')) AS b,
           count(*) FILTER (NOT regexp_matches(lower(zone_id), '{_WORDS['s']}|{_WORDS['b']}')) AS sh FROM ev GROUP BY ALL),
@@ -473,28 +500,54 @@ u AS (SELECT store_id, entity_id, CASE WHEN is_staff THEN 10000 ELSE CAST(floor(
         + (CASE WHEN d >= 2700 THEN least(0.35::DOUBLE, d::DOUBLE / 10800.0::DOUBLE * 0.35::DOUBLE) ELSE 0.0 END) + (CASE WHEN k >= 3 THEN 0.20::DOUBLE ELSE 0 END)
         + (CASE WHEN b >= 3 THEN CASE WHEN sh = 0 THEN 0.35::DOUBLE ELSE 0.15::DOUBLE END ELSE 0 END)) * 10000 + 0.5::DOUBLE) AS BIGINT) END AS score_units,
         CASE WHEN is_staff THEN 'source flag' ELSE concat_ws('; ', CASE WHEN n > 0 THEN 'staff zone' END, CASE WHEN d >= 2700 THEN 'long presence' END, CASE WHEN k >= 3 THEN 'repeated presence' END, CASE WHEN b >= 3 THEN 'billing area' END) END AS reason
-      FROM v JOIN e USING (store_id, entity_id) JOIN ent USING (store_id, entity_id))
+      FROM v JOIN e USING (store_id, entity_id) JOIN ent USING (store_id, entity_id))"""
+
+
+@query("id10_staff_scores", STAFF_SQL + """
 SELECT store_id, entity_id, score_units, score_units >= 6500 AS is_staff, reason FROM u""")
 def _(r):
     return people.staff_scores(r.events, r.visits, r.entities)
 
 
-@query("id11_group_pairs", """
+#: Long presence in these tables, whose visits last for hours: with the default all entities would be staff.
+LONG_PRESENCE = 9000
+PAIR_SQL = STAFF_SQL.replace("2700", str(LONG_PRESENCE)).replace("10800.0", f"{4 * LONG_PRESENCE}.0") + """
 , pf AS (SELECT v.store_id, v.entity_id, v.session_no, any_value(entry_time) AS s, any_value(coalesce(exit_time, entry_time)) AS e,
-           coalesce(list(DISTINCT zone_id) FILTER (event_type IN ('zone_entered', 'zone_exited')), []) AS z, list({'x': hotspot_x, 'y': hotspot_y}) AS h FROM vis v JOIN ev USING (store_id, entity_id, session_no) GROUP BY v.store_id, v.entity_id, v.session_no),
+           coalesce(list(DISTINCT zone_id) FILTER (event_type IN ('zone_entered', 'zone_exited')), []) AS z, list({'x': hotspot_x, 'y': hotspot_y}) AS h FROM vis v JOIN ev USING (store_id, entity_id, session_no)
+         JOIN u USING (store_id, entity_id) JOIN ent USING (store_id, entity_id) WHERE score_units < 6500 AND group_id IS NULL GROUP BY v.store_id, v.entity_id, v.session_no),
 pp AS (SELECT a.store_id, a.entity_id AS a_entity_id, a.session_no AS a_session_no, a.s AS a_entry_time, b.entity_id AS b_entity_id, b.session_no AS b_session_no, b.s AS b_entry_time,
          CAST(abs(date_diff('second', a.s, b.s)) <= 120 AS INT) AS t1, CAST(date_diff('second', greatest(a.s, b.s), least(a.e, b.e)) >= 180 AS INT) AS t2,
          CAST(len(list_distinct(list_concat(a.z, b.z))) > 0 AND 2 * len(list_intersect(a.z, b.z)) >= len(list_distinct(list_concat(a.z, b.z))) AS INT) AS t3, a.h AS ah, b.h AS bh
-       FROM pf a JOIN pf b ON a.store_id = b.store_id AND a.entity_id < b.entity_id WHERE abs(date_diff('second', a.s, b.s)) <= 120 OR date_diff('second', greatest(a.s, b.s), least(a.e, b.e)) >= 180)
-SELECT store_id, a_entity_id, CAST(a_session_no AS BIGINT) AS a_session_no, a_entry_time, b_entity_id, CAST(b_session_no AS BIGINT) AS b_session_no, b_entry_time FROM pp
-WHERE t1 + t2 + t3 + CAST(list_bool_or(list_transform(ah, lambda p: list_bool_or(list_transform(bh, lambda q: sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 0.18)))) AS INT) >= 3""")
+       FROM pf a JOIN pf b ON a.store_id = b.store_id AND a.entity_id < b.entity_id WHERE abs(date_diff('second', a.s, b.s)) <= 120 OR date_diff('second', greatest(a.s, b.s), least(a.e, b.e)) >= 180),
+mt AS (SELECT store_id, a_entity_id, CAST(a_session_no AS BIGINT) AS a_session_no, a_entry_time, b_entity_id, CAST(b_session_no AS BIGINT) AS b_session_no, b_entry_time FROM pp
+WHERE t1 + t2 + t3 + CAST(list_bool_or(list_transform(ah, lambda p: list_bool_or(list_transform(bh, lambda q: sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 0.18)))) AS INT) >= 3)"""
+
+
+def pairs(r: Retail) -> DataFrame:
+    profile = people.profiles(r.events, r.visits)
+    return people.group_pairs(people.groupable(profile, r.entities, people.staff_scores(r.events, r.visits, r.entities, long_presence=LONG_PRESENCE)))
+
+
+@query("id11_group_pairs", PAIR_SQL + " SELECT * FROM mt")
 def _(r):
-    return people.group_pairs(people.profiles(r.events, r.visits))
+    return pairs(r)
 
 
-@query("id13_groups")
+# Each store's seeds in turn: a seed without a group takes its first four matches of free entities.
+@query("id13_groups", PAIR_SQL + """,
+directed AS (SELECT store_id, a_entity_id AS s, a_entry_time AS st, a_session_no AS sn, b_entity_id AS o, b_entry_time AS ot, b_session_no AS o_n FROM mt
+         UNION ALL SELECT store_id, b_entity_id, b_entry_time, b_session_no, a_entity_id, a_entry_time, a_session_no FROM mt),
+seeds AS (SELECT store_id, s, list(o ORDER BY ot, o, o_n) AS others, row_number() OVER (PARTITION BY store_id ORDER BY st, s, sn) AS i FROM directed GROUP BY store_id, s, st, sn),
+turns AS (
+  SELECT DISTINCT store_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS own, CAST(0 AS BIGINT) AS n FROM seeds
+  UNION ALL
+  SELECT store_id, i, CASE WHEN len(got) > 1 THEN list_concat(taken, got) ELSE taken END, CASE WHEN len(got) > 1 THEN got ELSE [] END, n + CAST(len(got) > 1 AS BIGINT)
+  FROM (SELECT t.store_id, d.i, t.taken, t.n,
+               CASE WHEN list_contains(t.taken, d.s) THEN [] ELSE list_distinct(list_concat([d.s], list_filter(d.others, lambda x: NOT list_contains(t.taken, x))[1:4])) END AS got
+        FROM turns t JOIN seeds d ON d.store_id = t.store_id AND d.i = t.i + 1) step)
+SELECT store_id, unnest(own) AS entity_id, store_id || '-GROUP-' || printf('%03d', n) AS group_id, CAST(len(own) AS INTEGER) AS group_size FROM turns WHERE len(own) > 1""")
 def _(r):
-    return people.infer_groups(people.group_pairs(people.profiles(r.events, r.visits)))
+    return people.infer_groups(pairs(r))
 
 
 LINK_SQL = """
@@ -546,7 +599,7 @@ v2 AS (SELECT v1.store_id, v1.camera_id, v1.video, v1.track_id, v1.zone_id, v1.v
          min(h2.frame) FILTER (NOT ins AND (h2.ts, h2.frame) > l AND date_diff('second', struct_extract_at(l, 1), h2.ts) >= {grace}) AS cf
        FROM v1 JOIN h2 ON v1.store_id = h2.store_id AND v1.track_id = h2.track_id AND v1.zone_id = h2.zone_id AND v1.vn = h2.vn GROUP BY ALL),
 zv AS (SELECT store_id, camera_id, video, track_id, zone_id, CAST(vn AS BIGINT) AS visit_no, struct_extract_at(f, 1) AS enter_ts, struct_extract_at(f, 2) AS enter_frame, struct_extract_at(l, 1) AS last_inside_ts, struct_extract_at(l, 2) AS last_inside_frame,
-         coalesce(struct_extract_at(o, 1), struct_extract_at(l, 1)) AS exit_ts, o IS NOT NULL AS left, cf AS confirmed_frame FROM v2)"""
+         coalesce(struct_extract_at(o, 1), struct_extract_at(l, 1)) AS exit_ts, coalesce(struct_extract_at(o, 2), struct_extract_at(l, 2)) AS exit_frame, o IS NOT NULL AS left, cf AS confirmed_frame FROM v2)"""
 
 
 @query("geo3_line_crossings", SNAP_SQL + """
@@ -564,20 +617,48 @@ def _(r):
     return tracks.zone_visits(r.snapshots, r.zones, grace=120)
 
 
-@query("geo6_queue_visits", ISLAND_SQL(120) + """
+QUEUE_SQL = ISLAND_SQL(120) + """
 , qz AS (SELECT * FROM zv WHERE zone_id = 'P3'),
 st AS (SELECT store_id, track_id, visit_no, enter_frame AS frame, 1 AS step FROM qz UNION ALL SELECT store_id, track_id, visit_no, confirmed_frame, -1 FROM qz WHERE confirmed_frame IS NOT NULL),
-ps AS (SELECT *, sum(step) OVER (PARTITION BY store_id ORDER BY frame, step, track_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM st)
-SELECT qz.store_id, camera_id, video, qz.track_id, zone_id, qz.visit_no, enter_ts, exit_ts, last_inside_frame, date_diff('second', enter_ts, exit_ts) AS dwell_seconds,
+ps AS (SELECT *, sum(step) OVER (PARTITION BY store_id ORDER BY frame, step, track_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM st),
+qv2 AS (SELECT qz.store_id, camera_id, video, qz.track_id, zone_id, qz.visit_no, enter_ts, enter_frame, exit_ts, last_inside_frame, date_diff('second', enter_ts, exit_ts) AS dwell_seconds,
   CASE WHEN NOT "left" THEN 'queue_abandoned' WHEN date_diff('second', enter_ts, exit_ts) >= 45 THEN 'queue_completed' WHEN date_diff('second', enter_ts, exit_ts) >= 8 THEN 'queue_abandoned' END AS outcome, CAST(p AS BIGINT) AS position_at_join
-FROM qz JOIN ps ON qz.store_id = ps.store_id AND qz.track_id = ps.track_id AND qz.visit_no = ps.visit_no AND step = 1""")
+FROM qz JOIN ps ON qz.store_id = ps.store_id AND qz.track_id = ps.track_id AND qz.visit_no = ps.visit_no AND step = 1)"""
+
+
+@query("geo6_queue_visits", QUEUE_SQL + " SELECT * FROM qv2")
 def _(r):
     return tracks.queue_visits(tracks.zone_visits(r.snapshots, r.zones.where("type = 'BILLING'"), grace=120))
 
 
-@query("geo8_event_ids")
-def _(r):
-    return tracks.event_ids(tracks.line_crossings(r.snapshots))
+def uuid_sql(namespace: str, *parts: str) -> str:
+    """Name-based UUID of the parts joined by 0x1f, in SQL."""
+    digest = f"sha1(unhex('{namespace.replace('-', '')}') || encode(concat_ws(chr(31), {', '.join(parts)})))"
+    return f"(SELECT substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(d, 17, 1)), 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) FROM (SELECT {digest} AS d) h)"
+
+
+# Every event that the sightings give: line crossings, zone visits, queue visits.
+@query("geo8_event_ids", QUEUE_SQL + f"""
+, s1 AS (SELECT *, x >= 0.5 AS ins, lag(x >= 0.5) OVER (PARTITION BY store_id, track_id ORDER BY ts, frame) AS was FROM sn),
+s3 AS (SELECT *, max(CASE WHEN NOT ins THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, track_id ORDER BY ts, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ex FROM s1 WHERE ins <> was),
+made AS (
+  SELECT store_id, camera_id, video, track_id, frame, ts, CASE WHEN NOT ins THEN 'exit' WHEN ex > 0 THEN 'reentry' ELSE 'entry' END AS event_type, NULL AS zone_id, NULL AS queue_event_id, NULL AS wait_seconds, NULL AS position_at_join FROM s3
+  UNION ALL SELECT store_id, camera_id, video, track_id, enter_frame, enter_ts, 'zone_entered', zone_id, NULL, NULL, NULL FROM zv
+  UNION ALL SELECT store_id, camera_id, video, track_id, exit_frame, exit_ts, 'zone_exited', zone_id, NULL, NULL, NULL FROM zv),
+joined AS (SELECT *, {uuid_sql(tracks.QUEUE_NAMESPACE, "store_id", "camera_id", "video", "track_id", "CAST(enter_frame AS VARCHAR)")} AS queue_event_id FROM qv2),
+queued AS (
+  SELECT store_id, camera_id, video, track_id, enter_frame AS frame, enter_ts AS ts, 'billing_queue_join' AS event_type, queue_event_id, NULL AS wait_seconds, position_at_join FROM joined
+  UNION ALL SELECT store_id, camera_id, video, track_id, last_inside_frame, exit_ts, outcome, queue_event_id, greatest(0, dwell_seconds), position_at_join FROM joined WHERE outcome IS NOT NULL)
+SELECT store_id, event_type, track_id, ts, queue_event_id, CAST(wait_seconds AS BIGINT) AS wait_seconds, CAST(position_at_join AS BIGINT) AS position_at_join,
+  {uuid_sql(tracks.NAMESPACE, "store_id", "camera_id", "video", "event_type", "track_id", "CAST(frame AS VARCHAR)", "zone_id")} AS source_event_id FROM made
+UNION ALL SELECT store_id, event_type, track_id, ts, queue_event_id, CAST(wait_seconds AS BIGINT), CAST(position_at_join AS BIGINT),
+  {uuid_sql(tracks.NAMESPACE, "store_id", "camera_id", "video", "event_type", "track_id", "CAST(frame AS VARCHAR)")} FROM queued""")
+def _(r):
+    visits = materialize(tracks.zone_visits(r.snapshots, r.zones, grace=120), "zone-visits")
+    keep = lambda df: df.select("store_id", "event_type", "track_id", "ts", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("queue_event_id", "string"), ("wait_seconds", "long"), ("position_at_join", "long"))], "source_event_id")
+    passed, zoned = tracks.event_ids(tracks.line_crossings(r.snapshots)), tracks.event_ids(tracks.zone_events(visits, r.zones))
+    queued = tracks.event_ids(tracks.queue_events(tracks.queue_visits(visits.where("zone_id = 'P3'"))).drop("zone_id"))
+    return keep(passed).unionByName(keep(zoned)).unionByName(keep(queued))
 
 
 @query("geo9_run_statistics", SNAP_SQL + """
@@ -644,23 +725,30 @@ def replayed(r: Retail) -> DataFrame:
     return replay.replay(chosen, had, "job-1")
 
 
-@query("rpl1_replay", PARSED_SQL + f"""
+RPL_SQL = PARSED_SQL + f"""
 , ch AS (SELECT * FROM nk WHERE store_id = 'ST1001' AND ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'),
 had AS (SELECT DISTINCT store_id, source_event_id, true AS h FROM nk WHERE arrival % 3 = 0),
-s AS (SELECT arrival, CASE WHEN h OR row_number() OVER (PARTITION BY ch.store_id, ch.source_event_id ORDER BY ts, arrival) > 1 THEN 'duplicate' ELSE 'accepted' END AS status FROM ch LEFT JOIN had USING (store_id, source_event_id))
-SELECT arrival, status, CASE WHEN status = 'accepted' THEN 'job-1' END AS replay_job_id FROM s
-UNION ALL SELECT event_id, 'failed', NULL FROM raw WHERE event_id % 23 = 0 OR event_id % 17 = 0 OR store_id <> 'ST1001'""")
+s AS (SELECT arrival, CASE WHEN h OR row_number() OVER (PARTITION BY ch.store_id, ch.source_event_id ORDER BY ts, arrival) > 1 THEN 'duplicate' ELSE 'accepted' END AS status FROM ch LEFT JOIN had USING (store_id, source_event_id)),
+rp AS (SELECT arrival AS event_id, status FROM s UNION ALL SELECT event_id, 'failed' FROM raw WHERE event_id % 23 = 0 OR event_id % 17 = 0 OR store_id <> 'ST1001')"""
+
+
+@query("rpl1_replay", RPL_SQL + """
+SELECT event_id AS arrival, status, CASE WHEN status = 'accepted' THEN 'job-1' END AS replay_job_id FROM rp""")
 def _(r):
     return replayed(r).select("arrival", "status", "replay_job_id")
 
 
-@query("rpl2_job_outcome")
+@query("rpl2_job_outcome", RPL_SQL + """
+SELECT count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status = 'failed') AS failed,
+  CASE WHEN count(*) FILTER (status = 'failed') = 0 THEN 'completed' WHEN count(*) FILTER (status <> 'failed') > 0 THEN 'partial' ELSE 'failed' END AS outcome,
+  least(50, count(*) FILTER (status = 'failed')) AS n_errors, (SELECT max(event_id) FROM (SELECT event_id FROM rp WHERE status = 'failed' ORDER BY event_id LIMIT 50) x) AS last_error FROM rp""")
 def _(r):
-    return replay.job_outcome(replayed(r))
+    out = replay.job_outcome(replayed(r))
+    return out.withColumns({"n_errors": F.size("errors").cast("long"), "last_error": F.array_max(F.transform("errors", lambda e: e["arrival"]))}).drop("errors")
 
 
 POS_SQL = """
-, pr AS (SELECT event_id * 2 + j AS row_no, event_id, store_id, ts, k, round(value, 2) AS amount, event_id % 19 = 0 AS bad_store, (event_id * 2 + j) % 13 = 0 AS bad_amount FROM raw, range(2) r(j) WHERE is_purchase AND event_id % 2 = 0)"""
+, pr AS (SELECT event_id * 2 + j AS row_no, event_id, store_id, ts, k, round(value, 2) AS amount, event_id % 19 = 0 AS bad_store, (event_id * 2 + j) % 13 = 0 AS bad_amount FROM raw, range(2) r(j) WHERE is_purchase)"""
 
 
 @query("pos1_orders", POS_SQL + """
@@ -690,10 +778,39 @@ def _(r):
     return live.as_of(r.raw)
 
 
-@query("id17_upsert_candidates", LINK_SQL + " SELECT * FROM li")
+@query("id17_upsert_candidates", LINK_SQL + " SELECT * REPLACE (CASE WHEN confidence > 0 THEN confidence / 2 ELSE confidence END AS confidence) FROM li")
 def _(r):
+    """The candidates with a confidence come again with half of it; the others stay as stored."""
     every = materialize(links(r), "links")
-    return people.upsert_candidates(every, every.where("gap_seconds % 2 = 0"))
+    return people.upsert_candidates(every, every.where("confidence > 0").withColumn("confidence", F.col("confidence") / 2))
+
+
+@query("id18_candidate_list", LINK_SQL + " SELECT entity_a, entity_b, from_camera_id, to_camera_id, confidence, reason FROM li WHERE store_id = 'ST1001' AND accepted")
+def _(r):
+    dated = links(r).withColumn("evaluated_at", at(END))
+    return people.list_candidates(dated, "ST1001", accepted=True).select("entity_a", "entity_b", "from_camera_id", "to_camera_id", "confidence", "reason")
+
+
+@query("id6_reentry_events", """
+, o AS (SELECT *, row_number() OVER (PARTITION BY store_id, entity_id, session_no ORDER BY ts, event_id) AS n FROM ev),
+l AS (SELECT *, lag(session_no) OVER w AS previous, lag(exit_time) OVER w AS previous_exit FROM vis WINDOW w AS (PARTITION BY store_id, entity_id ORDER BY session_no))
+SELECT o.store_id, o.entity_id, 'reentry' AS event_type, CAST(o.event_id AS VARCHAR) || ':reentry' AS event_id, o.ts,
+  '{"previous_session_no":' || CAST(CAST(previous AS BIGINT) AS VARCHAR) || ',"previous_exit_time":"' || strftime(previous_exit, '%Y-%m-%dT%H:%M:%S') || '"}' AS metadata_json
+FROM o JOIN l USING (store_id, entity_id, session_no) WHERE n = 1 AND o.event_type = 'entry' AND date_diff('second', previous_exit, entry_time) BETWEEN 0 AND 365 * 86400""")
+def _(r):
+    return sessions.reentry_events(r.events, sessions.reentries(r.visits, r.events), key="event_id").select("store_id", "entity_id", "event_type", "event_id", "ts", "metadata_json")
+
+
+@query("id3_identities", """
+, s AS (SELECT *, CASE WHEN event_type IN ('entry', 'exit') THEN 'id_token' ELSE 'track_id' END AS source_field, CASE WHEN event_type IN ('entry', 'exit') THEN '__STORE_SCOPED__' ELSE camera_id END AS scope FROM raw)
+SELECT store_id, scope, source_field, entity_id AS source_value, arg_min(ts, event_id) AS first_seen_at, arg_max(ts, event_id) AS last_seen_at, bool_or(k % 11 = 0) AS is_staff,
+  CAST(arg_min(k, event_id) AS INTEGER) AS age, CASE WHEN bool_or(k % 11 = 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS staff_confidence FROM s GROUP BY ALL""")
+def _(r):
+    passage = F.col("event_type").isin("entry", "exit")
+    none = F.lit(None).cast("string")
+    e = r.raw.withColumns({"source_field": F.when(passage, "id_token").otherwise("track_id"), "source_value": F.col("entity_id"), "camera_scoped": ~passage, "is_staff": F.col("k") % 11 == 0,
+                           "gender": none, "age": F.col("k"), "group_id": none, "group_size": none})
+    return sessions.resolve_identities(e).drop("gender", "group_id", "group_size", "staff_reason")
 
 
 @query("geo1_footpoints", """
@@ -710,11 +827,11 @@ def _(r):
     return tracks.sampled(r.raw.select(F.col("event_id").alias("frame")), F.lit(10.0), at("2024-01-01 00:00:00"))
 
 
-@query("snk1_fact_table", "SELECT store_id, CAST(ts AS DATE) AS event_date, count(*) AS n FROM ev WHERE store_id <> 'ST1003' GROUP BY ALL")
+@query("snk1_fact_table", "SELECT store_id, CAST(ts AS DATE) AS event_date, count(*) AS n FROM ev GROUP BY ALL")
 def _(r):
     path = new_path(r.spark, "facts")
     feeds.write_events(r.events, path)
-    return feeds.read_events(r.spark, path).where("store_id <> 'ST1003'").groupBy("store_id", "event_date").agg(F.count("*").alias("n"))
+    return feeds.read_events(r.spark, path).groupBy("store_id", "event_date").agg(F.count("*").alias("n"))
 
 
 @query("src1_jsonl_feed", PARSED_SQL + " SELECT event_type, count(*) AS n, count(DISTINCT source_event_id) AS keys FROM nk GROUP BY ALL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import iso_utc
 from ..schemas import POS
@@ -16,19 +17,44 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pos(spark: SparkSession, path: str) -> DataFrame:
-    """Sales rows as text with ``row_no`` in file order; a byte order mark is dropped."""
-    return spark.read.csv(path, header=True, schema=POS).withColumn("row_no", F.monotonically_increasing_id() + 1)
+    """Sales rows as text with ``row_no`` from 1 in file order; a byte order mark is dropped.
+
+    Splits are counted on their own and numbered by file and place, so the files may be split.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = spark.read.csv(path, header=True, schema=POS).select("*", *place, F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = rows.join(F.broadcast(splits), ["_file", "_block"])
+    return numbered.withColumn("row_no", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_file", "_block", "_id", "_first", "_before")
 
 
 def read_archive(spark: SparkSession, path: str, store_id: str) -> DataFrame:
-    """(value, arrival) of a store's receipts."""
-    return spark.read.parquet(path).where(F.col("store_id") == store_id).select(F.col("payload_json").alias("value"), F.col("received_at").alias("arrival"))
+    """(value, arrival, event_time) of a store's receipts in the order of their replay.
+
+    That order is by the time inside the payload, whichever field holds it; receipts whose payload
+    is no JSON or has no time come last, by when they were received.
+    """
+    fields = ("event_timestamp", "event_time", "timestamp", "queue_join_ts")
+    own = spark.read.parquet(path).where(F.col("store_id") == store_id)
+    time = F.coalesce(*[F.try_to_timestamp(F.get_json_object("payload_json", f"$.{c}")) for c in fields])
+    rows = own.select(F.col("payload_json").alias("value"), F.col("received_at").alias("arrival"), time.alias("event_time"))
+    return rows.orderBy(F.col("event_time").asc_nulls_last(), "arrival")
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Track snapshots of JSON lines in order of camera, video and frame, rows without a track dropped."""
+    kind = ("store_id string, camera_id string, video_path string, track_id string, frame_index int, timestamp timestamp, bbox array<double>, "
+            "confidence double, footpoint_x double, footpoint_y double, frame_w int, frame_h int")
+    rows = spark.read.schema(kind).json(path).where("track_id IS NOT NULL AND frame_index IS NOT NULL")
+    return rows.orderBy("store_id", "camera_id", "video_path", "frame_index", "track_id")
 
 
 def write_events(events: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Facts by store and day; few, large files a partition."""
+    """Facts by store and day; few, large files a partition. A hot store-day is split into several."""
     dated = events.withColumn("event_date", F.to_date("ts"))
-    dated.repartition("store_id", "event_date").write.mode(mode).partitionBy("store_id", "event_date").parquet(path)
+    dated.hint("rebalance", "store_id", "event_date").write.mode(mode).partitionBy("store_id", "event_date").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

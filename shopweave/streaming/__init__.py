@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,38 +47,58 @@ def hourly_counts(events: DataFrame, *, width: str = "1 hour", late: str = LATE,
     return counts.select("store_id", F.col("window.start").cast("timestamp_ntz").alias("bucket_start"), *kinds)
 
 
-def _buffered(schema_out: str, keys: list[str], columns: list[str], step, start: str):
+def _buffered(schema_out: str, columns: list[str], step, start: list, finish, idle: int):
     """A stateful function that holds rows until the watermark passes them, then takes them in event time.
 
-    ``step(state, row) -> (state, outputs)``; ``state`` is a list that JSON can hold.
+    ``step(state, row) -> (state, outputs)``; ``state`` is a list that JSON can hold. Rows that come after the
+    watermark has passed them are dropped and counted: each output tells how many its key has lost so far.
+    A key without rows for ``idle`` seconds of event time gives ``finish(state)`` and is forgotten.
     """
     import json
 
+    names = [c.split()[0] for c in schema_out.split(", ")]
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, own = (json.loads(state.get[0]), json.loads(state.get[1])) if state.exists else ([], json.loads(start))
-        for pdf in frames:
-            held += [[int(pd.Timestamp(r[0]).value // 1000), *r[1:]] for r in pdf[["ts", *columns]].itertuples(index=False, name=None)]
+        held, own, late, last = json.loads(state.get[0]) if state.exists else ([], start, 0, 0)
         mark = state.getCurrentWatermarkMs() * 1000
+        for pdf in () if state.hasTimedOut else frames:
+            for r in pdf[["ts", *columns]].itertuples(index=False, name=None):
+                at = int(pd.Timestamp(r[0]).value // 1000)
+                if at <= mark:
+                    late += 1
+                else:
+                    held.append([at, *r[1:]])
         ready, held = sorted(r for r in held if r[0] <= mark), [r for r in held if r[0] > mark]
         out = []
         for row in ready:
             own, made = step(own, row)
-            out += [(*key, *m) for m in made]
-        state.update((json.dumps(held, default=int), json.dumps(own, default=int)))
-        if held:
-            state.setTimeoutTimestamp(max(min(held)[0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        names = [c.split()[0] for c in schema_out.split(", ")]
-        yield pd.DataFrame(out, columns=names) if out else pd.DataFrame({n: [] for n in names})
+            out += made
+        last = max([last, *(r[0] for r in ready)])
+        ended = not held and last and mark >= last + idle * 1000000
+        if ended:
+            out += finish(own)
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps((held, own, late, last), default=int),))
+            due = min(held)[0] if held else (last or mark) + idle * 1000000
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *m, late) for m in out], columns=names) if out else pd.DataFrame({n: [] for n in names})
 
     return run
 
 
-def _stateful(events: DataFrame, keys: list[str], columns: list[str], out: str, step, start: str) -> DataFrame:
-    return events.groupBy(*keys).applyInPandasWithState(_buffered(out, keys, columns, step, start), out, "held string, own string", "append", GroupStateTimeout.EventTimeTimeout)
+def _stateful(events: DataFrame, keys: list[str], columns: list[str], out: str, step, start: list, *, idle: int, finish=lambda own: []) -> DataFrame:
+    out = f"{out}, late_rows long"
+    return events.groupBy(*keys).applyInPandasWithState(_buffered(out, columns, step, start, finish, idle), out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def visits(events: DataFrame, *, late: str = LATE, idle: int = 365 * 86400) -> DataFrame:
+    """STR-4: completed visits of each entity, with the previous exit; rows wait for the watermark and are sorted.
 
-def visits(events: DataFrame, *, late: str = LATE) -> DataFrame:
-    """STR-4: completed visits of each entity, with the previous exit; rows wait for the watermark and are sorted."""
+    An entity is forgotten ``idle`` seconds after its last event, when no visit can be a re-entry any more;
+    its visits are then numbered from 0 again.
+    """
 
     def step(own, row):
         number, entry, last_exit = own
@@ -88,11 +109,14 @@ def visits(events: DataFrame, *, late: str = LATE) -> DataFrame:
         return [number + 1, None, at], [(number, entry, at, (at - entry) // 1000000, last_exit)]
 
     out = "store_id string, entity_id string, session_no long, entry_us long, exit_us long, dwell_seconds long, previous_exit_us double"
-    return _stateful(timed(events, late=late), ["store_id", "entity_id"], ["event_id", "event_type"], out, step, "[0, null, null]")
+    return _stateful(timed(events, late=late), ["store_id", "entity_id"], ["event_id", "event_type"], out, step, [0, None, None], idle=idle)
 
 
-def queue_states(events: DataFrame, *, late: str = LATE) -> DataFrame:
-    """STR-5: for each queue visit, its first join (open) and its first terminal (closed), in event time."""
+def queue_states(events: DataFrame, *, late: str = LATE, idle: int = 86400) -> DataFrame:
+    """STR-5: for each queue visit, its first join (open) and its first terminal (closed), in event time.
+
+    A queue visit is forgotten ``idle`` seconds after its last event.
+    """
 
     def step(own, row):
         joined, ended = own
@@ -104,11 +128,15 @@ def queue_states(events: DataFrame, *, late: str = LATE) -> DataFrame:
         return [joined, ended], []
 
     chosen = timed(events, late=late).where(F.col("queue_event_id").isNotNull() & F.col("event_type").isin("billing_queue_join", "queue_completed", "queue_abandoned"))
-    return _stateful(chosen, ["store_id", "queue_event_id"], ["event_id", "event_type"], "store_id string, queue_event_id string, state string, at_us long", step, "[null, null]")
+    return _stateful(chosen, ["store_id", "queue_event_id"], ["event_id", "event_type"], "store_id string, queue_event_id string, state string, at_us long", step, [None, None], idle=idle)
+
 
+def zone_visits(hits: DataFrame, *, grace: int = 0, late: str = LATE, idle: int = 3600) -> DataFrame:
+    """STR-6: visits of tracks in zones; ``hits``: store_id, track_id, zone_id, frame, ts, inside.
 
-def zone_visits(hits: DataFrame, *, grace: int = 0, late: str = LATE) -> DataFrame:
-    """STR-6: confirmed visits of tracks in zones; ``hits``: store_id, track_id, zone_id, frame, ts, inside."""
+    A track unseen for ``idle`` seconds has ended: a visit that is still open ends at its first sighting
+    outside, or else at its last one inside, as at the end of a recorded feed.
+    """
 
     def step(own, row):
         entered, last_in, left = own
@@ -122,22 +150,47 @@ def zone_visits(hits: DataFrame, *, grace: int = 0, late: str = LATE) -> DataFra
             return [None, None, None], [(entered, last_in, left)]
         return [entered, last_in, left], []
 
-    return _stateful(timed(hits, late=late), ["store_id", "track_id", "zone_id"], ["frame", "inside"], "store_id string, track_id string, zone_id string, enter_us long, last_inside_us long, exit_us long", step, "[null, null, null]")
+    def finish(own):
+        entered, last_in, left = own
+        return [] if entered is None else [(entered, last_in, last_in if left is None else left)]
+
+    kind = "store_id string, track_id string, zone_id string, enter_us long, last_inside_us long, exit_us long"
+    return _stateful(timed(hits, late=late), ["store_id", "track_id", "zone_id"], ["frame", "inside"], kind, step, [None, None, None], idle=idle, finish=finish)
 
 
 def track_feed(events: DataFrame, path: str, checkpoint: str):
-    """STR-7: the latest event of each store, merged into a small table with every batch."""
+    """STR-7: the latest event of each store, merged with every batch into a new version of a small table.
+
+    A batch that runs again overwrites its own version only, made from the one before it, so a crash
+    at any point leaves a whole table; :func:`read_feed` reads the last version.
+    """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.groupBy("store_id").agg(F.max("ts").alias("last_event"))
-        try:
-            old = spark.read.parquet(f"{path}/current")
+        old = _last_version(spark, path, below=number)
+        if old is not None:
             new = new.unionByName(old).groupBy("store_id").agg(F.max("last_event").alias("last_event"))
-        except Exception as error:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        new.write.mode("overwrite").parquet(f"{path}/next")  # a row a store
-        spark.read.parquet(f"{path}/next").write.mode("overwrite").parquet(f"{path}/current")
+        new.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}")  # a row a store, in one file
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def _last_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as error:  # before the first batch there is no table
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    table = table if below is None else table.where(F.col("version") < below)
+    last = table.agg(F.max("version")).first()[0]
+    return None if last is None else table.where(F.col("version") == last).drop("version")
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """(store_id, last_event) as of the last batch; fails before the first one."""
+    found = _last_version(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    return found

@@ -260,3 +260,71 @@ def test_empty_tables(spark):
     none = events(spark, []).withColumn("session_no", F.lit(0).cast("long"))
     who = entities(spark)
     assert metrics.zone_dwell(none, who).count() == 0 and sessions.visit_sessions(none).count() == 0 and spatial.heatmap(none).count() == 0
+
+
+def test_groups_leave_out_staff_and_source_groups(spark):
+    """Flagged or inferred staff and visitors with a group of their source form no group; an inferred group counts as none."""
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("S1", who, 0, t(k), t(900 + k), 900, ["Z1"], [(0.5, 0.5)]) for k, who in enumerate(("a", "b", "flagged", "inferred", "sourced", "again"))]
+    profile = spark.createDataFrame(rows, "store_id string, entity_id string, session_no long, entry_time timestamp_ntz, end_time timestamp_ntz, duration long, zones array<string>, spots array<struct<x: double, y: double>>")
+    entities = spark.createDataFrame([("S1", "a", False, None), ("S1", "b", None, None), ("S1", "flagged", True, None), ("S1", "inferred", False, None), ("S1", "sourced", False, "G7"), ("S1", "again", False, "S1-GROUP-004")], "store_id string, entity_id string, is_staff boolean, group_id string")
+    staff = spark.createDataFrame([("S1", "inferred", True), ("S1", "a", False)], "store_id string, entity_id string, is_staff boolean")
+    got = people.infer_groups(people.group_pairs(people.groupable(profile, entities, staff))).collect()
+    assert {(r.entity_id, r.group_id, r.group_size) for r in got} == {(x, "S1-GROUP-001", 3) for x in ("a", "again", "b")}
+
+
+def test_chain_of_groups(spark):
+    """A thousand visits, each near the next only, settle without a limit of rounds."""
+    pairs = spark.createDataFrame([("S", f"v{k:04d}", 0, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), f"v{k + 1:04d}", 0, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k + 1)) for k in range(1000)], PAIR)
+    got = people.infer_groups(pairs, rows=300).collect()
+    assert len(got) == 1000 and all(r.group_size == 2 for r in got)
+
+
+def test_series_need_an_end_after_the_start(spark):
+    from shopweave.operators import live
+
+    stores, at = spark.createDataFrame([("S1",)], "store_id string"), live.instant
+    assert live.spine(stores, at("2024-01-01 00:00:00"), at("2024-01-01 02:00:00"), 60).count() == 2
+    for end in ("2024-01-01 00:00:00", "2023-12-31 23:00:00"):
+        with pytest.raises(Exception, match="end must come after the start"):
+            live.spine(stores, at("2024-01-01 00:00:00"), at(end), 60).collect()
+    with pytest.raises(ValueError):
+        live.spine(stores, at("2024-01-01 00:00:00"), at("2024-01-01 02:00:00"), 0)
+
+
+def test_sales_rows_are_numbered_over_splits(spark, tmp_path):
+    head = "order_id,order_date,order_time,store_id,product_id,brand_name,total_amount\n"
+    for name, first, n in (("a.csv", 1, 300), ("b.csv", 301, 40)):
+        (tmp_path / name).write_text(head + "".join(f"O{k},01-01-2024,10:00:00,ST1,p,,1.0\n" for k in range(first, first + n)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = feeds.read_pos(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 4
+        assert {(r.order_id, r.row_no) for r in rows.collect()} == {(f"O{k}", k) for k in range(1, 341)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_archive_and_snapshots(spark, tmp_path):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("S1", '{"event_time": "2024-01-01T09:00:00Z"}', t(12)), ("S1", "no json", t(11)), ("S1", '{"event_timestamp": "2024-01-01T08:00:00Z"}', t(13)), ("S2", "{}", t(1)), ("S1", '{"timestamp": "soon"}', t(10))]
+    spark.createDataFrame(rows, "store_id string, payload_json string, received_at timestamp").write.parquet(str(tmp_path / "raw"))
+    assert [r.arrival.hour for r in feeds.read_archive(spark, str(tmp_path / "raw"), "S1").collect()] == [13, 12, 10, 11]
+    (tmp_path / "snaps.jsonl").write_text('{"store_id":"S","camera_id":"C","video_path":"v","track_id":"2","frame_index":5}\n{"store_id":"S","camera_id":"C","video_path":"v","track_id":"1","frame_index":3}\n{"broken"\n')
+    assert [r.frame_index for r in feeds.read_snapshots(spark, str(tmp_path / "snaps.jsonl")).collect()] == [3, 5]
+
+
+def test_newest_candidates_first(spark):
+    rows = [("S1", "A", "B", "x", "y", True, dt.datetime(2024, 1, 1)), ("S1", "A", "B", "x", "z", True, dt.datetime(2024, 1, 2)), ("S1", "A", "B", "x", "w", False, dt.datetime(2024, 1, 3)), ("S2", "A", "B", "x", "w", True, dt.datetime(2024, 1, 4))]
+    df = spark.createDataFrame(rows, "store_id string, from_camera_id string, to_camera_id string, entity_a string, entity_b string, accepted boolean, evaluated_at timestamp_ntz")
+    assert [r.entity_b for r in people.list_candidates(df, "S1").collect()] == ["w", "z", "y"]
+    assert [r.entity_b for r in people.list_candidates(df, "S1", accepted=True).collect()] == ["z", "y"]
+
+
+def test_event_uuids(spark):
+    import uuid
+
+    rows = [("S", "C", "v", "t1", 7, dt.datetime(2024, 1, 1), "entry")]
+    got = tracks.event_ids(spark.createDataFrame(rows, "store_id string, camera_id string, video string, track_id string, frame int, ts timestamp_ntz, event_type string")).first()
+    assert got.source_event_id == str(uuid.uuid5(uuid.UUID(tracks.NAMESPACE), "\x1f".join(["S", "C", "v", "entry", "t1", "7"])))

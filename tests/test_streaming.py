@@ -67,15 +67,43 @@ def test_queue_states(spark, rows, tmp_path):
 def test_zone_visits(spark, rows, tmp_path):
     hits = lambda s: s.select("store_id", F.col("entity_id").alias("track_id"), F.lit("Z").alias("zone_id"), F.col("event_id").cast("int").alias("frame"), "ts", (F.col("event_type") != "exit").alias("inside"))
     got = run(spark, rows, tmp_path, lambda s: streaming.zone_visits(hits(s), grace=60, late="1 hour"))
-    want = 0
-    for who in "abcz":
-        entered = last = None
+    want, micros = set(), lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 1000000
+    for who in "abc":  # the watermark passes their last sighting by far: open visits end as well
+        entered = last = left = None
         for r in sorted((r for r in rows if r[2] == who), key=lambda r: (r[4], r[0])):
             if r[3] != "exit":
-                entered, last = entered or r[4], r[4]
-            elif entered and (r[4] - last).total_seconds() >= 60:
-                want, entered = want + 1, None
-    assert len(got) == want
+                entered, last, left = entered or r[4], r[4], None
+            elif entered:
+                left = left or r[4]
+                if (r[4] - last).total_seconds() >= 60:
+                    want.add((who, micros(entered), micros(left)))
+                    entered = None
+        if entered:
+            want.add((who, micros(entered), micros(left or last)))
+    assert {(r.track_id, r.enter_us, r.exit_us) for r in got} == want and len(want) > 3
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    """A row behind the watermark changes no visit; the next one of its entity tells of it."""
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    row = lambda k, who, kind, m: (k, "S1", who, kind, at(m), None, str(k))
+    files = [[row(1, "a", "entry", 0), row(2, "z", "entry", 300)], [row(3, "a", "exit", 10), row(4, "a", "exit", 310), row(5, "z", "entry", 700)], [row(6, "z", "entry", 1400)]]
+    got = run(spark, [r for f in files for r in f][:6], tmp_path, lambda s: streaming.visits(s, late="1 hour"))
+    assert [(r.entity_id, r.dwell_seconds, r.late_rows) for r in got] == [("a", 310 * 60, 1)]
+
+
+def test_state_is_removed(spark, rows, tmp_path):
+    """Queue visits a day old leave the state."""
+    extra = [(1000 + k, "S9", "z", "billing_queue_join", T0 + dt.timedelta(days=4 + 3 * k), f"end{k}", f"end{k}") for k in range(3)]
+    source = tmp_path / "in"
+    for part in (rows, *[[r] for r in extra]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = streaming.queue_states(stream, late="1 hour").writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert left <= 2
 
 
 def test_feed_table(spark, rows, tmp_path):
@@ -85,4 +113,4 @@ def test_feed_table(spark, rows, tmp_path):
     q = streaming.track_feed(stream, str(tmp_path / "feed"), str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    assert {r.store_id: r.last_event for r in spark.read.parquet(str(tmp_path / "feed/current")).collect()} == {s: max(r[4] for r in rows if r[1] == s) for s in ("S1", "S9")}
+    assert {r.store_id: r.last_event for r in streaming.read_feed(spark, str(tmp_path / "feed")).collect()} == {s: max(r[4] for r in rows if r[1] == s) for s in ("S1", "S9")}
