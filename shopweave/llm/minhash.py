@@ -90,8 +90,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n_shingles, set_key, signature, bands) of each row."""
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    """(id, n_shingles, n_bytes, set_key, signature, bands) of each row."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches):
         for batch, data, at in small_batches(batches, text_col, 1 << 20):
@@ -106,9 +106,9 @@ def sketch(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
                 else:
                     sigs.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(c, t) for c, t in zip((n, keys, sigs, bands), kinds, strict=True)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(c, t) for c, t in zip((n, np.diff(at), keys, sigs, bands), kinds, strict=True)]], names=schema.names)
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -147,19 +147,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
     return joined.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
-def _meet(own: DataFrame, *columns: str) -> DataFrame:
+def _meet(own: DataFrame) -> DataFrame:
     """Each block of a bucket's members with each block of its probes, which are marked."""
     block, part = (F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int") for seed, n in ((5, "blocks"), (6, "parts")))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    member = own.select("key", block.alias("block"), each("parts").alias("part"), F.lit(False).alias("probe"), "band", "id", "component", *columns)
-    probe = own.where("component <> most").select("key", each("blocks").alias("block"), part.alias("part"), F.lit(True).alias("probe"), "band", "id", "component", *columns)
+    member = own.select("key", block.alias("block"), each("parts").alias("part"), F.lit(False).alias("probe"), "band", "id", "component")
+    probe = own.where("component <> most").select("key", each("blocks").alias("block"), part.alias("part"), F.lit(True).alias("probe"), "band", "id", "component")
     return member.unionByName(probe)
 
 
 def _across(members: DataFrame, traits: DataFrame, texts: DataFrame, least: float, percent: int, k: int, most_pairs: int) -> tuple[DataFrame, DataFrame]:
     """Similar classes of different components that share a bucket: pairs (a, b) to confirm, and links (u, v).
 
-    ``members``: key, band, id, component; ``traits``: id, signature, bands. The classes outside a bucket's
+    ``members``: key, band, id, n_bytes, component; ``traits``: id, signature, bands. The classes outside a bucket's
     commonest component are its probes; blocks of all its members meet blocks
     of them in separate tasks. Where a block has more than ``most_pairs`` similar pairs a member, no pairs are listed:
     its texts go to the task, which confirms and returns one link a probe and component.
@@ -212,13 +212,13 @@ def _across(members: DataFrame, traits: DataFrame, texts: DataFrame, least: floa
             out += [(ids[p], ids[g]) for g in good]
         return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
-    met = materialize(_meet(rows.join(traits.drop("bands"), "id"), "signature").groupBy("key", "block", "part").applyInPandas(pairs, "key long, a long, b long, dense boolean"), "across-pairs")
+    # Blocks are dealt on bare ids; what a task needs of them is joined once, after that.
+    met = materialize(_meet(rows).join(traits.drop("bands"), "id").groupBy("key", "block", "part").applyInPandas(pairs, "key long, a long, b long, dense boolean"), "across-pairs")
     dense = rows.join(met.where("dense").select("key").distinct(), "key", "left_semi")
-    long = F.octet_length("text")
-    weight = dense.join(texts, "id").groupBy("key").agg(F.sum(long).alias("all"), F.sum(F.when(F.col("component") != F.col("most"), long)).alias("some"))
+    weight = dense.groupBy("key").agg(F.sum("n_bytes").alias("all"), F.sum(F.when(F.col("component") != F.col("most"), F.col("n_bytes"))).alias("some"))
     cut = {n: F.greatest(n, F.ceil(F.col(c) / BLOCK_BYTES).cast("int")) for n, c in (("blocks", "all"), ("parts", "some"))}
-    dense = dense.join(weight, "key").withColumns(cut).drop("all", "some").join(traits, "id").join(texts, "id")
-    return met.where("NOT dense").select("a", "b").distinct(), _meet(dense, "signature", "bands", "text").groupBy("key", "block", "part").applyInPandas(links, "u long, v long")
+    dealt = _meet(dense.join(weight, "key").withColumns(cut).drop("all", "some"))
+    return met.where("NOT dense").select("a", "b").distinct(), dealt.join(traits, "id").join(texts, "id").groupBy("key", "block", "part").applyInPandas(links, "u long, v long")
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, dense: int = DENSE) -> DataFrame:
@@ -238,9 +238,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     same = rows.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     reps = real.join(classes.select("set_key", F.col("rep").alias("id")), ["set_key", "id"], "left_semi").dropDuplicates(["set_key"])
 
-    members = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    members = reps.select("id", "n_bytes", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    buckets = materialize(members.join(shared, "key").select("key", "band", "id", "pivot"), "buckets")
+    buckets = materialize(members.join(shared, "key").select("key", "band", "id", "n_bytes", "pivot"), "buckets")
     candidates = buckets.select("id").distinct()
     count = candidates.count()
     wanted = F.broadcast(candidates) if count <= BROADCAST_IDS else candidates
@@ -254,7 +254,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     first = materialize(_confirmed(nearest, texts, percent, k), "links")
 
     known = components(first)
-    labelled = buckets.select("key", "band", "id").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = buckets.select("key", "band", "id", "n_bytes").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest, direct = _across(labelled, signatures, texts, least, percent, k, dense)
     second = materialize(_confirmed(rest, texts, percent, k).unionByName(direct), "links")
 

@@ -165,8 +165,8 @@ def test_near_duplicate_blocks(spark, monkeypatch, dense):
     base, sizes, meet = words(random.Random(9), 70).split(), [], minhash._meet
     rows = [(n, " ".join([*base[: 5 * n], f"own{n}", *base[5 * n + 1 :]])) for n in range(1, 14)]
 
-    def seen(own, *columns):
-        out = meet(own, *columns)
+    def seen(own):
+        out = meet(own)
         sizes.extend(r["count"] for r in out.groupBy("key", "block", "part").count().collect())
         return out
 
