@@ -179,7 +179,7 @@ def store_metrics(r: Retail) -> DataFrame:
 
 @query("agg14_store_metrics", FULL_SQL + " SELECT * FROM met")
 def _(r):
-    return store_metrics(r)
+    return store_metrics(r.stored())
 
 
 FUNNEL_SQL = f"""
@@ -192,7 +192,7 @@ fun AS (SELECT store_id, visitor_basis, step_no, step, CAST("count" AS BIGINT) A
 
 @query("agg15_funnel", FULL_SQL + FUNNEL_SQL + " SELECT * FROM fun")
 def _(r):
-    return metrics.funnel(materialize(store_metrics(r), "metrics"))
+    return metrics.funnel(materialize(store_metrics(r.stored()), "metrics"))
 
 
 DWELL_SQL = """
@@ -315,20 +315,20 @@ _FOUR = lambda x: f"floor(({x}) * 10000 + 0.5::DOUBLE) / 10000"
 SELECT store_id, metric, c AS "current", p AS previous, {_FOUR('c - p')} AS delta, CASE WHEN p <> 0 THEN {_FOUR('(c - p) / p')} END AS percent FROM (""" + " UNION ALL ".join(
     f"SELECT store_id, '{m}' AS metric, CAST(cur.{m} AS DOUBLE) AS c, CAST(prev.{m} AS DOUBLE) AS p FROM cur JOIN prev USING (store_id)" for m in live.COMPARED) + ") x WHERE c IS NOT NULL AND p IS NOT NULL")
 def _(r):
-    return live.compare(*periods(r))
+    return live.compare(*periods(r.stored()))
 
 
 # --- purchases and journeys ---------------------------------------------------------------
 
 @query("cor5_correlations", COR_SQL + " SELECT * FROM cor")
 def _(r):
-    return r.correlations
+    return r.stored().correlations
 
 
 @query("cor7_replaced_correlations", COR_SQL + " SELECT store_id, status, count(*) AS n FROM cor GROUP BY ALL")
 def _(r):
     """Two replacements of the stored table: the second one's rows are read."""
-    path = new_path(r.spark, "correlations")
+    r, path = r.stored(), new_path(r.spark, "correlations")
     pos.replace_correlations(r.correlations.limit(0), path)
     pos.replace_correlations(r.correlations, path)
     return pos.read_correlations(r.spark, path).groupBy("store_id", "status").agg(F.count("*").alias("n"))
@@ -346,6 +346,7 @@ SELECT store_id, order_id, entity_id, CAST(session_no AS BIGINT) AS session_no,
   CASE WHEN es <= 1200 THEN floor((1.0::DOUBLE - CAST(es AS DOUBLE) / 1200) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS exit_score,
   CASE WHEN ss <= 2700 THEN floor((1.0::DOUBLE - CAST(ss AS DOUBLE) / 2700) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS session_score, abandoned AS has_queue_abandonment FROM g""")
 def _(r):
+    r = r.stored()
     told = pos.explanation(r.correlations, r.transactions, r.visits, r.events, r.entities).where("explanation IS NOT NULL")
     kind = "store_match boolean, queue_seconds_delta long, exit_seconds_delta long, session_seconds_delta long, queue_score double, exit_score double, session_score double, has_queue_abandonment boolean"
     return told.select("store_id", "order_id", "entity_id", "session_no", F.from_json("explanation", kind).alias("x")).select("store_id", "order_id", "entity_id", "session_no", "x.*").drop("store_match")
@@ -353,6 +354,7 @@ def _(r):
 
 @query("agg11_attributed_sales", FULL_SQL + " SELECT * FROM sale")
 def _(r):
+    r = r.stored()
     return metrics.attributed_sales(r.correlations, r.items)
 
 
@@ -369,6 +371,7 @@ pm AS (SELECT store_id, path, count(*) AS visitors, count(*) FILTER (purchased)
 
 @query("pth1_paths", PATH_SQL + " SELECT * FROM jo")
 def _(r):
+    r = r.stored()
     return journeys.paths(r.events, r.entities, r.correlations)
 
 
@@ -377,6 +380,7 @@ SELECT * FROM (SELECT *, 'popular' AS list, CAST(row_number() OVER (PARTITION BY
   UNION ALL SELECT *, 'converting', CAST(row_number() OVER (PARTITION BY store_id ORDER BY purchases DESC, conversion_rate DESC, path) AS INTEGER) FROM pm WHERE purchases > 0
   UNION ALL SELECT *, 'abandoned', CAST(row_number() OVER (PARTITION BY store_id ORDER BY abandonments DESC, abandonment_rate DESC, path) AS INTEGER) FROM pm WHERE abandonments > 0) x WHERE rank <= 5""")
 def _(r):
+    r = r.stored()
     return journeys.top_paths(journeys.path_metrics(journeys.paths(r.events, r.entities, r.correlations)))
 
 
@@ -406,8 +410,27 @@ for _metric, _column in (("visits", "visits"), ("dwell", "total_dwell_seconds"))
 
 # --- rules --------------------------------------------------------------------------------
 
+def text_table(name: str, columns: str, rows) -> str:
+    """A table of constant texts as a common table expression."""
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+    return f"{name} AS (SELECT * FROM (VALUES {quoted}) v({columns}))"
+
+
+#: Numbers in sentences.
+_WHOLE = lambda x: f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+_DIGITS = lambda x, d: f"printf('%.{d}f', floor(({x}) * {10**d} + 0.5::DOUBLE) / {10**d})"
+_PERCENT = lambda x: f"({_WHOLE(f'({x}) * 100')} || '%')"
+_READING = lambda x: f"CASE metric WHEN 'queue_abandonment_rate' THEN {_DIGITS(f'{x} * 100', 1)} || '%' WHEN 'average_queue_wait_seconds' THEN {_WHOLE(x)} || 's' WHEN 'average_occupancy' THEN {_DIGITS(x, 2)} ELSE {_WHOLE(x)} END"
+
+
+def _duration(x: str) -> str:
+    n = f"CAST(round_even({x}, 0) AS BIGINT)"
+    return f"(CASE WHEN {n} < 60 THEN {n} || 's' WHEN {n} % 60 > 0 THEN ({n} // 60) || 'm ' || ({n} % 60) || 's' ELSE ({n} // 60) || 'm' END)"
+
+
 ALERT_SQL = FULL_SQL + ", " + CMP_SQL.lstrip().lstrip(",") + f"""
-, latest AS (SELECT store_id, max(ts) AS latest FROM ev GROUP BY ALL),
+, {text_table("labels", "metric, label", [(t[1], t[2]) for t in rules.TRENDS])}, {text_table("actions", "cluster, action", rules.ACTIONS.items())},
+latest AS (SELECT store_id, max(ts) AS latest FROM ev GROUP BY ALL),
 act AS (SELECT DISTINCT ev.store_id, zone_id FROM ev JOIN latest USING (store_id) WHERE event_type IN ('zone_entered', 'billing_queue_join') AND ts >= latest - INTERVAL 30 MINUTE),
 dz AS (SELECT store_id, zone_id, row_number() OVER (PARTITION BY store_id ORDER BY zone_id) AS n FROM (SELECT DISTINCT store_id, zone_id FROM ev) z ANTI JOIN act USING (store_id, zone_id)),
 cp AS (SELECT c.store_id, c.footfall AS cf, p.footfall AS pf, c.average_occupancy AS co, p.average_occupancy AS po, c.abandonment_rate AS ca, p.abandonment_rate AS pa,
@@ -415,23 +438,35 @@ cp AS (SELECT c.store_id, c.footfall AS cf, p.footfall AS pf, c.average_occupanc
 sig AS (SELECT * FROM (
   SELECT store_id, 0 AS pref, 'footfall' AS metric, 'traffic' AS cluster, cf::DOUBLE AS c, pf::DOUBLE AS p FROM cp WHERE cf >= 10 AND pf >= 10 AND abs((cf - pf)::DOUBLE / pf) >= 0.3 AND abs(cf - pf) >= 8
   UNION ALL SELECT store_id, 1, 'average_occupancy', 'traffic', co, po FROM cp WHERE abs({_FOUR('co - po')}) >= 0.3
-  UNION ALL SELECT store_id, 2, 'abandonment_rate', 'queue_health', ca, pa FROM cp WHERE enough AND {_FOUR('ca - pa')} >= 0.1
-  UNION ALL SELECT store_id, 3, 'mean_wait_seconds', 'queue_health', cw, pw FROM cp WHERE enough AND {_FOUR('cw - pw')} >= 30 AND (cw - pw) / pw >= 0.25) x),
+  UNION ALL SELECT store_id, 2, 'queue_abandonment_rate', 'queue_health', ca, pa FROM cp WHERE enough AND {_FOUR('ca - pa')} >= 0.1
+  UNION ALL SELECT store_id, 3, 'average_queue_wait_seconds', 'queue_health', cw, pw FROM cp WHERE enough AND {_FOUR('cw - pw')} >= 30 AND (cw - pw) / pw >= 0.25) x),
 sg AS (SELECT *, CASE WHEN {_FOUR('c - p')} > 0 THEN 'increase' ELSE 'decrease' END AS direction, {_FOUR('c - p')} AS delta, CASE WHEN p <> 0 THEN (c - p) / p END AS percent FROM sig),
-tg AS (SELECT store_id, cluster, direction, count(*) AS n, arg_min(metric, pref) AS m, arg_min(c, pref) AS c, arg_min(delta, pref) AS delta, arg_min(percent, pref) AS percent, list(metric ORDER BY metric) AS ms FROM sg GROUP BY ALL),
+said AS (SELECT *, label || ' also ' || direction || 'd over the same period (' || change || ').' AS also,
+           CASE WHEN metric = 'queue_abandonment_rate' THEN label || ' increased by ' || {_DIGITS('abs(delta) * 100', 1)} || ' percentage points compared with the previous equivalent period (' || change || ').'
+                WHEN percent IS NULL THEN label || ' ' || direction || 'd (' || change || ') compared with the previous equivalent period.'
+                ELSE label || ' ' || direction || 'd by ' || {_DIGITS('abs(percent) * 100', 1)} || '% (' || change || ') compared with the previous equivalent period.' END AS message
+         FROM (SELECT sg.*, label, {_READING('p')} || ' → ' || {_READING('c')} AS change FROM sg JOIN labels USING (metric)) y),
+tg AS (SELECT store_id, cluster, direction, count(*) AS n, min(pref) AS pref, arg_min(metric, pref) AS m, arg_max(metric, pref) AS other, arg_min(c, pref) AS c, arg_min(delta, pref) AS delta, arg_min(percent, pref) AS percent,
+         arg_min(message, pref) AS message, arg_max(also, pref) AS also FROM said GROUP BY ALL),
 al AS (
   SELECT store_id, 0 AS ordinal, 'queue_spike' AS kind, CASE WHEN queue_visit_count < 5 THEN 'INFO' WHEN average_queue_wait_seconds >= 300 OR queue_abandonment_rate >= 0.5 THEN 'CRITICAL' ELSE 'WARN' END AS severity,
-         greatest(average_queue_wait_seconds, queue_abandonment_rate) AS value, NULL AS subject FROM met WHERE average_queue_wait_seconds >= 120 OR queue_abandonment_rate >= 0.3
-  UNION ALL SELECT store_id, 1, 'conversion_drop', 'WARN', conversion_rate, NULL FROM met WHERE has_pos_data AND total_visitors >= 5 AND conversion_rate < 0.1
-  UNION ALL SELECT store_id, 2, 'dead_zone', 'INFO', 0.0, zone_id FROM dz WHERE n <= 5
-  UNION ALL SELECT store_id, 3, CASE WHEN n > 1 AND cluster = 'traffic' THEN 'trend_traffic_' || direction WHEN n > 1 THEN 'trend_queue_health_decline' ELSE 'trend_' || m || '_' || direction END,
+         greatest(average_queue_wait_seconds, queue_abandonment_rate) AS value, NULL AS subject,
+         CASE WHEN queue_visit_count < 5 THEN 'Billing queue abandonment/wait is above threshold, but based on only ' || queue_visit_count || ' queue visit(s) -- too few to act on yet.'
+              ELSE 'Billing queue wait or abandonment is above the operating threshold.' END AS message, NULL AS related, 'queue_spike' AS cluster
+    FROM met WHERE average_queue_wait_seconds >= 120 OR queue_abandonment_rate >= 0.3
+  UNION ALL SELECT store_id, 1, 'conversion_drop', 'WARN', conversion_rate, NULL, 'Current conversion is below the minimum healthy threshold.', NULL, 'conversion_drop' FROM met WHERE has_pos_data AND total_visitors >= 5 AND conversion_rate < 0.1
+  UNION ALL SELECT store_id, 2, 'dead_zone', 'INFO', 0.0, zone_id, 'No visits recorded in ' || zone_id || ' during the 30 minutes before the latest recorded activity.', NULL, 'dead_zone' FROM dz WHERE n <= 5
+  UNION ALL SELECT store_id, 3 + pref, CASE WHEN n > 1 AND cluster = 'traffic' THEN 'trend_traffic_' || direction WHEN n > 1 THEN 'trend_queue_health_decline' ELSE 'trend_' || m || '_' || direction END,
          CASE WHEN n > 1 AND cluster = 'traffic' THEN CASE WHEN direction = 'decrease' THEN 'CRITICAL' ELSE 'WARN' END WHEN n > 1 THEN 'CRITICAL'
               WHEN cluster = 'traffic' THEN CASE WHEN direction = 'increase' THEN 'INFO' WHEN m = 'footfall' AND abs(percent) >= 0.5 THEN 'CRITICAL' ELSE 'WARN' END
-              WHEN m = 'abandonment_rate' AND delta >= 0.2 THEN 'CRITICAL' ELSE 'WARN' END, c, CASE WHEN n > 1 THEN array_to_string(list_filter(ms, lambda x: x <> m), ',') END FROM tg),
-pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, ordinal, kind, subject NULLS FIRST) AS INTEGER) AS place FROM al)"""
+              WHEN m = 'queue_abandonment_rate' AND delta >= 0.2 THEN 'CRITICAL' ELSE 'WARN' END, c, CASE WHEN n > 1 THEN other END, message, CASE WHEN n > 1 THEN also END,
+         CASE WHEN cluster = 'traffic' THEN 'traffic_' || direction ELSE cluster END FROM tg),
+pl AS (SELECT al.* EXCLUDE (cluster), action, CAST(row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, ordinal, subject NULLS FIRST) AS INTEGER) AS place
+       FROM al JOIN actions USING (cluster))"""
 
 
 def all_alerts(r: Retail) -> DataFrame:
+    r = r.stored()
     m = materialize(store_metrics(r), "metrics")
     return rules.alerts(rules.queue_spike(m), rules.conversion_drop(m), rules.dead_zones(r.events), rules.trend_alerts(rules.trend_signals(*(materialize(p, "period") for p in periods(r)))))
 
@@ -449,30 +484,41 @@ def _(r):
 
 @query("rul4_trend_signals", ALERT_SQL + ' SELECT store_id, pref AS preference, metric, cluster, direction, c AS "current", p AS previous, delta, percent FROM sg')
 def _(r):
-    return rules.trend_signals(*periods(r))
+    return rules.trend_signals(*periods(r.stored()))
 
 
 INSIGHT_SQL = FULL_SQL + FUNNEL_SQL + DWELL_SQL + f"""
 , zm AS (SELECT *, count(*) OVER w AS n, CAST(sum(visits) OVER w AS DOUBLE) / count(*) OVER w AS v, CAST(sum(CAST(round(average_dwell_seconds * 10000) AS BIGINT)) OVER w AS DOUBLE) / 10000 / count(*) OVER w AS d FROM dwell WINDOW w AS (PARTITION BY store_id)),
+says AS (SELECT *, CASE WHEN queue_visit_count < 5 THEN ' Based on only ' || queue_visit_count || ' completed or abandoned queue visit(s) -- too few to act on yet.' ELSE '' END AS sample,
+           greatest(0, unique_visitors - solo_visitors) AS grouped, CASE WHEN attributed_transactions > 0 THEN attributed_revenue / attributed_transactions END AS per_sale FROM met),
 ins AS (
-  SELECT store_id, 0 AS ordinal, 'queue_abandonment' AS kind, CASE WHEN queue_visit_count < 5 THEN 'LOW' WHEN queue_abandonment_rate >= 0.3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, queue_abandonment_rate AS value, NULL AS subject FROM met WHERE queue_abandonment_rate >= 0.15
-  UNION ALL SELECT store_id, 1, 'queue_wait', CASE WHEN queue_visit_count < 5 THEN 'LOW' WHEN average_queue_wait_seconds >= 120 THEN 'HIGH' ELSE 'MEDIUM' END, average_queue_wait_seconds, NULL FROM met WHERE average_queue_wait_seconds >= 60
-  UNION ALL SELECT store_id, 2, 'high_conversion', 'LOW', conversion_rate, NULL FROM met WHERE has_pos_data AND conversion_rate >= 0.35
-  UNION ALL SELECT store_id, 3, 'low_conversion', CASE WHEN conversion_rate < 0.1 THEN 'HIGH' ELSE 'MEDIUM' END, conversion_rate, NULL FROM met WHERE has_pos_data AND total_visitors >= 5 AND conversion_rate < 0.2
-  UNION ALL SELECT store_id, 4, 'group_traffic', 'MEDIUM', {rate('(unique_visitors - solo_visitors)', 'unique_visitors')}, NULL FROM met WHERE unique_visitors > 0 AND {rate('(unique_visitors - solo_visitors)', 'unique_visitors')} >= 0.5
-  UNION ALL SELECT store_id, 5, 'staff_ratio', 'MEDIUM', {rate('staff_visitors', 'unique_visitors')}, NULL FROM met WHERE unique_visitors > 0 AND {rate('staff_visitors', 'unique_visitors')} >= 0.25
-  UNION ALL SELECT store_id, 6, 'high_value_sales', 'LOW', floor(attributed_revenue / attributed_transactions * 100 + 0.5::DOUBLE) / 100, NULL FROM met WHERE attributed_transactions > 0 AND attributed_revenue / attributed_transactions >= 500
-  UNION ALL SELECT fun.store_id, 7, 'funnel_drop', 'MEDIUM', rate_from_previous, step FROM fun JOIN met USING (store_id) WHERE has_pos_data AND step_no > 0 AND rate_from_previous < 0.6 AND "count" > 0
-  UNION ALL SELECT store_id, 8, 'hot_zone', 'MEDIUM', visits::DOUBLE, zone_id FROM zm WHERE visits >= greatest(3.0::DOUBLE, v * 1.5)
-  UNION ALL SELECT store_id, 9, 'high_dwell_zone', 'MEDIUM', average_dwell_seconds, zone_id FROM zm WHERE average_dwell_seconds >= 300 OR (d > 0 AND average_dwell_seconds >= d * 1.5 AND average_dwell_seconds >= 60)
-  UNION ALL SELECT store_id, 10, 'dead_zone', 'LOW', visits::DOUBLE, zone_id FROM zm WHERE n >= 2 AND visits <= greatest(1.0::DOUBLE, v * 0.35)
-  UNION ALL SELECT store_id, 11, 'no_zone_signal', 'LOW', 0.0, NULL FROM stores ANTI JOIN dwell USING (store_id)
-  UNION ALL SELECT store_id, 12, 'opportunity_zone', 'MEDIUM', average_dwell_seconds, zone_id FROM (SELECT dwell.*, row_number() OVER (PARTITION BY store_id ORDER BY zone_id) AS n FROM dwell JOIN met USING (store_id) WHERE conversion_rate < 0.25 AND visits >= 2 AND dwell.average_dwell_seconds >= 60) o WHERE n <= 2)
-SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, kind, subject NULLS FIRST) AS INTEGER) AS place FROM ins"""
+  SELECT store_id, 0 AS ordinal, 'queue_abandonment' AS kind, CASE WHEN queue_visit_count < 5 THEN 'LOW' WHEN queue_abandonment_rate >= 0.3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, queue_abandonment_rate AS value, NULL AS subject,
+         CASE WHEN queue_abandonment_rate >= 0.3 THEN 'Queue Abandonment Risk' ELSE 'Queue Abandonment Watch' END AS title, {_PERCENT('queue_abandonment_rate')} || ' of visitors abandon the billing queue.' || sample AS message FROM says WHERE queue_abandonment_rate >= 0.15
+  UNION ALL SELECT store_id, 1, 'queue_wait', CASE WHEN queue_visit_count < 5 THEN 'LOW' WHEN average_queue_wait_seconds >= 120 THEN 'HIGH' ELSE 'MEDIUM' END, average_queue_wait_seconds, NULL,
+         CASE WHEN average_queue_wait_seconds >= 120 THEN 'Long Queue Wait Time' ELSE 'Queue Wait Time Building' END,
+         'Average queue wait is ' || {_duration('average_queue_wait_seconds')} || CASE WHEN average_queue_wait_seconds >= 120 THEN ', above the 2 minute action threshold.' ELSE ', above the 1 minute watch threshold.' END || sample FROM says WHERE average_queue_wait_seconds >= 60
+  UNION ALL SELECT store_id, 2, 'high_conversion', 'LOW', conversion_rate, NULL, 'High Conversion Store', 'Store conversion is ' || {_PERCENT('conversion_rate')} || ', above the strong-performance threshold.' FROM says WHERE has_pos_data AND conversion_rate >= 0.35
+  UNION ALL SELECT store_id, 3, 'low_conversion', CASE WHEN conversion_rate < 0.1 THEN 'HIGH' ELSE 'MEDIUM' END, conversion_rate, NULL, CASE WHEN conversion_rate < 0.1 THEN 'Low Conversion Store' ELSE 'Conversion Below Target' END,
+         'Store conversion is ' || {_PERCENT('conversion_rate')} || CASE WHEN conversion_rate < 0.1 THEN ' despite ' || total_visitors || ' customer visits.' ELSE ', below the 20% watch threshold.' END FROM says WHERE has_pos_data AND total_visitors >= 5 AND conversion_rate < 0.2
+  UNION ALL SELECT store_id, 4, 'group_traffic', 'MEDIUM', {rate('grouped', 'unique_visitors')}, NULL, 'High Group Traffic', {_PERCENT('grouped::DOUBLE / unique_visitors')} || ' of customers are assigned to shopping groups.' FROM says WHERE unique_visitors > 0 AND grouped * 2 >= unique_visitors
+  UNION ALL SELECT store_id, 5, 'staff_ratio', 'MEDIUM', {rate('staff_visitors', 'unique_visitors')}, NULL, 'High Staff-To-Customer Ratio', 'Inferred staff count is ' || {_PERCENT('staff_visitors::DOUBLE / unique_visitors')} || ' of customer visitors.' FROM says WHERE unique_visitors > 0 AND staff_visitors * 4 >= unique_visitors
+  UNION ALL SELECT store_id, 6, 'high_value_sales', 'LOW', floor(per_sale * 100 + 0.5::DOUBLE) / 100, NULL, 'High-Value Transaction Mix', 'Average attributed transaction value is INR ' || {_WHOLE('per_sale')} || '.' FROM says WHERE per_sale >= 500
+  UNION ALL SELECT store_id, 7, 'funnel_drop', 'MEDIUM', rate_from_previous, step, 'Funnel Drop-Off: ' || named, 'Only ' || {_PERCENT('rate_from_previous')} || ' of visitors from the previous step reach ' || named || '.'
+    FROM (SELECT fun.*, CASE step WHEN 'queue_join' THEN 'Queue Join' WHEN 'queue_complete' THEN 'Queue Complete' ELSE 'Purchase' END AS named FROM fun JOIN met USING (store_id) WHERE has_pos_data AND step_no > 0 AND rate_from_previous < 0.6 AND "count" > 0) f
+  UNION ALL SELECT store_id, 8, 'hot_zone', 'MEDIUM', visits::DOUBLE, zone_id, 'Hot Zone: ' || zone_id, zone_id || ' attracts ' || visits || ' dwell visits, above the store zone average.' FROM zm WHERE visits >= greatest(3.0::DOUBLE, v * 1.5)
+  UNION ALL SELECT store_id, 9, 'high_dwell_zone', 'MEDIUM', average_dwell_seconds, zone_id, 'High Dwell Zone: ' || zone_id, 'Average dwell in ' || zone_id || ' is ' || {_duration('average_dwell_seconds')} || '.' FROM zm WHERE average_dwell_seconds >= 300 OR (d > 0 AND average_dwell_seconds >= d * 1.5 AND average_dwell_seconds >= 60)
+  UNION ALL SELECT store_id, 10, 'dead_zone', 'LOW', visits::DOUBLE, zone_id, 'Dead Zone: ' || zone_id, zone_id || ' has only ' || visits || ' dwell visits compared with an average of ' || {_DIGITS('v', 1)} || '.' FROM zm WHERE n >= 2 AND visits <= greatest(1.0::DOUBLE, v * 0.35)
+  UNION ALL SELECT store_id, 11, 'no_zone_signal', 'LOW', 0.0, NULL, 'No Zone Dwell Signal', 'No complete zone entry/exit dwell pairs are available for this store.' FROM stores ANTI JOIN dwell USING (store_id)
+  UNION ALL SELECT store_id, 12, 'opportunity_zone', 'MEDIUM', dwell_mean, zone_id, 'Revenue Opportunity Zone: ' || zone_id, zone_id || ' has ' || {_duration('dwell_mean')} || ' average dwell but store conversion is ' || {_PERCENT('conversion_rate')} || '.'
+    FROM (SELECT store_id, zone_id, dwell.average_dwell_seconds AS dwell_mean, conversion_rate, row_number() OVER (PARTITION BY store_id ORDER BY zone_id) AS n FROM dwell JOIN met USING (store_id) WHERE conversion_rate < 0.25 AND visits >= 2 AND dwell.average_dwell_seconds >= 60) o WHERE n <= 2),
+{text_table("advice", "head, category, recommendation", [(k, *v) for k, v in rules.INSIGHTS.items()])}
+SELECT ins.*, category, recommendation, CAST(row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, category, title) AS INTEGER) AS place
+FROM ins JOIN advice ON head = split_part(title, ':', 1)"""
 
 
 @query("rul9_14_insights", INSIGHT_SQL)
 def _(r):
+    r = r.stored()
     m, d = materialize(store_metrics(r), "metrics"), materialize(metrics.zone_dwell(r.events, r.entities), "dwell")
     return rules.insights(rules.store_insights(m), rules.funnel_insights(metrics.funnel(m), m), rules.zone_insights(stores(r), d), rules.opportunity_zones(d, m))
 
@@ -483,6 +529,7 @@ wc AS (SELECT vis.store_id, count(*) AS visits, count(m.store_id) AS matched FRO
        ON vis.store_id = m.store_id AND vis.entity_id = m.entity_id AND vis.session_no = m.session_no WHERE date_diff('second', entry_time, l) <= 7 * 86400 GROUP BY ALL)
 SELECT *, {rate('matched', 'visits')} AS conversion_rate FROM wc""")
 def _(r):
+    r = r.stored()
     return rules.windowed_conversion(r.visits, r.correlations)
 
 
@@ -863,4 +910,9 @@ def _(r):
 
 @query("rul6_alert_kinds", ALERT_SQL + " SELECT kind, severity, count(*) AS n FROM pl GROUP BY ALL")
 def _(r):
-    return rules.alert_text(all_alerts(r)).where("message IS NOT NULL").groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    return all_alerts(r).where("message IS NOT NULL").groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+@query("rul6_alert_texts", ALERT_SQL + " SELECT store_id, kind, subject, message, related, action FROM pl")
+def _(r):
+    return all_alerts(r).select("store_id", "kind", "subject", "message", "related", "action")

@@ -253,7 +253,37 @@ def test_trend_clusters(spark):
     names = "store_id string, footfall int, average_occupancy double, abandonment_rate double, mean_wait_seconds double, queue_terminals int"
     now, before = spark.createDataFrame([("S1", 40, 2.0, 0.5, 100.0, 9)], names), spark.createDataFrame([("S1", 100, 3.0, 0.1, 99.0, 9)], names)
     got = {(r.kind, r.severity, r.subject) for r in rules.trend_alerts(rules.trend_signals(now, before)).collect()}
-    assert got == {("trend_traffic_decrease", "CRITICAL", "average_occupancy"), ("trend_abandonment_rate_increase", "CRITICAL", None)}
+    assert got == {("trend_traffic_decrease", "CRITICAL", "average_occupancy"), ("trend_queue_abandonment_rate_increase", "CRITICAL", None)}
+    placed = {r.kind: r for r in rules.alerts(rules.trend_alerts(rules.trend_signals(now, before))).collect()}
+    traffic, queue = placed["trend_traffic_decrease"], placed["trend_queue_abandonment_rate_increase"]
+    assert (traffic.place, queue.place) == (1, 2)
+    assert traffic.message == "Footfall decreased by 60.0% (100 → 40) compared with the previous equivalent period."
+    assert traffic.related == "Average occupancy also decreased over the same period (3.00 → 2.00)." and queue.related is None
+    assert queue.message == "Queue abandonment rate increased by 40.0 percentage points compared with the previous equivalent period (10.0% → 50.0%)."
+
+
+def test_trends_of_one_severity_keep_the_order_of_their_metrics(spark):
+    names = "store_id string, footfall int, average_occupancy double, abandonment_rate double, mean_wait_seconds double, queue_terminals int"
+    now, before = spark.createDataFrame([("S1", 60, 2.9, 0.1, 131.5, 9)], names), spark.createDataFrame([("S1", 100, 2.9, 0.1, 100.0, 9)], names)
+    got = rules.alerts(rules.trend_alerts(rules.trend_signals(now, before))).orderBy("place").collect()
+    assert [(r.kind, r.severity) for r in got] == [("trend_footfall_decrease", "WARN"), ("trend_average_queue_wait_seconds_increase", "WARN")]
+    assert got[1].message == "Average queue wait time increased by 31.5% (100s → 132s) compared with the previous equivalent period."
+    assert got[1].action == rules.ACTIONS["queue_health"] and got[0].action == rules.ACTIONS["traffic_decrease"]
+
+
+def test_insight_texts(spark):
+    kind = "store_id string, average_queue_wait_seconds double, queue_abandonment_rate double, queue_visit_count long, conversion_rate double, has_pos_data boolean, total_visitors long, unique_visitors long, solo_visitors long, staff_visitors long, attributed_transactions long, attributed_revenue double"
+    m = spark.createDataFrame([("S1", 125.0, 0.15, 4, 0.05, True, 20, 8, 4, 2, 2, 1001.0)], kind)
+    dwell = spark.createDataFrame([("S1", "Z1", 8, 2400, 300.0), ("S1", "Z2", 1, 10, 10.0)], "store_id string, zone_id string, visits long, total_dwell_seconds long, average_dwell_seconds double")
+    got = rules.insights(rules.store_insights(m), rules.zone_insights(m, dwell), rules.opportunity_zones(dwell, m)).orderBy("place").collect()
+    assert [(r.severity, r.category, r.title) for r in got] == [
+        ("HIGH", "Conversion", "Low Conversion Store"), ("MEDIUM", "Revenue", "Revenue Opportunity Zone: Z1"), ("MEDIUM", "Visitor", "High Group Traffic"), ("MEDIUM", "Visitor", "High Staff-To-Customer Ratio"),
+        ("MEDIUM", "Zone", "High Dwell Zone: Z1"), ("MEDIUM", "Zone", "Hot Zone: Z1"), ("LOW", "Queue", "Long Queue Wait Time"), ("LOW", "Queue", "Queue Abandonment Watch"), ("LOW", "Revenue", "High-Value Transaction Mix"), ("LOW", "Zone", "Dead Zone: Z2")]
+    said = {r.title: r.message for r in got}
+    assert said["Long Queue Wait Time"] == "Average queue wait is 2m 5s, above the 2 minute action threshold. Based on only 4 completed or abandoned queue visit(s) -- too few to act on yet."
+    assert said["High-Value Transaction Mix"] == "Average attributed transaction value is INR 500."
+    assert said["Revenue Opportunity Zone: Z1"] == "Z1 has 5m average dwell but store conversion is 5%."
+    assert said["Dead Zone: Z2"] == "Z2 has only 1 dwell visits compared with an average of 4.5."
 
 
 def test_empty_tables(spark):
