@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pos, sessions
-from ..sources.storage import materialize
 
 ORIGIN = "2024-01-01 00:00:00"
 START, END = "2024-01-01 02:00:00", "2024-01-01 08:00:00"
@@ -26,18 +25,6 @@ class Retail:
     spark: SparkSession
     sf_dir: str
 
-    def stored(self) -> Retail:
-        """The same tables over events and visits that are worked out once and stored.
-
-        A query with several branches reads the driver's table and numbers the visits once so; each
-        branch then reads the columns that it needs of the stored events.
-        """
-        out = Retail(self.spark, self.sf_dir)
-        out.events = materialize(self.events, "session-events")
-        out.raw = out.events.select(*self.raw.columns)
-        out.visits = materialize(out.visits, "visits")
-        return out
-
     @cached_property
     def raw(self) -> DataFrame:
         """Mapped events without sessions."""
