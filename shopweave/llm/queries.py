@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, decontaminate, huffman, langid, linededup, minhash, packing, quality, substrings, toxicity
+from . import bitsliced, conversations, decontaminate, huffman, langid, linededup, minhash, packing, quality, ranking, substrings, toxicity, wrappers
 from .common import held_out, new_path, read_table
 
 
@@ -83,6 +83,19 @@ def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, where)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(read_table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranking.rank(docs, read_table(spark, sf_dir, "benchmark"), k=20)
+
+
 OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -164,5 +177,85 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op3_repeats": op3_repeats, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_near_dup": op7_near_dup, "op8_topk": op8_topk, "op9_token_codes": op9_token_codes}
-ORACLE_SQL = {"op3_repeats": OP3_SQL, "op7_near_dup": OP7_SQL, "op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_topk": OP8_SQL}
+# The wrappers themselves are beyond SQL; on the driver's pages the article can be cut out by its tags.
+OP12_SQL = r"""
+WITH cut AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>') AS b FROM pages),
+plain AS (SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(
+  replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&lt;', '<'), '&gt;', '>'),
+  '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM cut),
+texts AS (SELECT page_id, url, regexp_replace(array_to_string(b, chr(10) || chr(10)), '&amp;?', '&', 'g') AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS dn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+q AS (
+  SELECT row_number() OVER () AS qn, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+qt AS (SELECT qn, item_id, t, count(*) AS times FROM (SELECT qn, item_id, unnest(w) AS t FROM q) GROUP BY ALL),
+dt AS (SELECT dn, doc_id, n, t, count(*) AS tf FROM (SELECT dn, doc_id, len(w) AS n, unnest(w) AS t FROM d) SEMI JOIN qt USING (t) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM dt, total GROUP BY t),
+scored AS (
+  SELECT qn, item_id, dn, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM qt JOIN dt USING (t) JOIN weights USING (t), total GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+def _op11_sql() -> str:
+    """A recursion over rows: for each state the cheapest edits so far, the least audit first, and their text."""
+
+    def edit(state: str, cost: str, letter: str, text: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {text}}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def only(test: str, option: str) -> str:
+        return f"CASE WHEN {test} THEN {option} END"
+
+    def insert(state: str, role: str) -> str:
+        return edit(state, "3", "I", f"chr(10) || '{role}:'")
+
+    gone = {q: edit(q, "4", "D", "''") for q in ("q0", "q1", "u", "a")}
+    keep = lambda q, x: only(f"NOT must AND initial = '{x}'", edit(q, "late", "K", "chr(10) || role || ':' || text"))
+    name = lambda q, role: only("NOT must", edit(q, "late + 3", "R", f"chr(10) || '{role}:' || text"))
+    user, answer = least("q2", insert("q0", "user"), insert("q1", "user"), insert("q3", "user")), least("q3", insert("u", "assistant"))
+    closed = f"(SELECT *, {answer} AS a FROM (SELECT *, {user} AS u FROM steps))"
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))) AS b FROM conversations),
+fates AS (SELECT *, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) % 20 AS fate FROM base, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM fates WHERE fate <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ends FROM damaged),
+facts AS (SELECT *, ends = '' AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, right(ends, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS initial FROM numbered),
+rows_ AS (SELECT *, is_blank OR again AS must, CASE WHEN cut THEN 3 ELSE 0 END AS late, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY n) AS pair FROM facts),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (again AND NOT is_blank) AS duplicate,
+    count(*) FILTER (cut AND NOT must) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rows_ GROUP BY conv_id),
+none AS (SELECT {{'c': CAST(1000000 AS BIGINT), 'a': '', 't': ''}} AS x),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS q0, x AS q1, x AS q2, x AS q3 FROM sums, none
+  UNION ALL
+  SELECT s.conv_id, r.n, {gone["q0"]}, {least(gone["q1"], keep("q0", "s"))},
+    {least(gone["u"], *[keep(q, "u") for q in ("q0", "q1", "a")], *[name(q, "user") for q in ("q0", "q1", "a")])}, {least(gone["a"], keep("u", "a"), name("u", "assistant"))}
+  FROM {closed} s JOIN rows_ r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = s.n + 1),
+best AS (SELECT s.conv_id, {least("q0", "a")} AS x FROM {closed} s JOIN sums ON s.conv_id IS NOT DISTINCT FROM sums.conv_id AND s.n = sums.n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit, sha256(substr(coalesce(x.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums ON o.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op10_toxicity": op10_toxicity, "op3_repeats": op3_repeats, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_near_dup": op7_near_dup, "op8_topk": op8_topk, "op9_token_codes": op9_token_codes,
+           "op11_conversations": op11_conversations, "op12_main_text": op12_main_text, "op13_ranking": op13_ranking}
+ORACLE_SQL = {"op3_repeats": OP3_SQL, "op7_near_dup": OP7_SQL, "op5_decontamination": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_topk": OP8_SQL, "op11_conversations": _op11_sql(), "op12_main_text": OP12_SQL, "op13_ranking": OP13_SQL}
