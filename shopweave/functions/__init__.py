@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,12 +63,3 @@ def in_polygon(x: Column, y: Column, points: Column) -> Column:
 
     crossings = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), lambda inside, k: inside != crossing(k))
     return F.when(n >= 3, crossings).otherwise(F.lit(False))
-
-
-def half_even(value: Column, digits: int) -> Column:
-    """Presentation rounding as for printed reports."""
-    return F.bround(value, digits)
-
-
-def any_of(*tests: Column) -> Column:
-    return reduce(lambda a, b: a | b, tests)

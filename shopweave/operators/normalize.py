@@ -15,13 +15,17 @@ QUEUE = ("queue_completed", "queue_abandoned")
 REQUIRED = {
     "passage": ("id_token", "store_code", "camera_id", "event_timestamp"),
     "zone": ("track_id", "store_id", "camera_id", "zone_id", "event_time"),
-    "queue": ("track_id", "store_id", "camera_id", "zone_id", "event_time", "queue_event_id", "queue_join_ts", "queue_exit_ts"),
+    "queue": ("track_id", "store_id", "camera_id", "zone_id", "queue_event_id", "queue_join_ts", "queue_exit_ts"),
     "canonical": ("event_id", "store_id", "camera_id", "visitor_id", "timestamp", "confidence"),
 }
+#: The field that holds the time of an event, by family.
+TIME = {"passage": "event_timestamp", "zone": "event_time", "queue": "queue_exit_ts", "canonical": "timestamp"}
 
-
-#: Keys of a canonical event's metadata that are read.
-METADATA = "zone_name string, zone_type string, is_revenue_zone boolean, hotspot_x double, hotspot_y double, queue_event_id string, queue_depth int, wait_seconds int"
+#: Keys of a canonical event's metadata that are read; the zone's name is called after its goods there.
+METADATA = """
+sku_zone string, zone_type string, is_revenue_zone string, hotspot_x double, hotspot_y double, is_face_hidden boolean, group_id string, group_size int,
+queue_event_id string, queue_depth int, queue_join_ts string, queue_served_ts string, queue_exit_ts string, wait_seconds int
+"""
 
 
 def _once(rows: DataFrame, keep, fields: Column) -> DataFrame:
@@ -38,41 +42,56 @@ def zone_type(value: Column) -> Column:
     return F.when(F.upper(value).isin(*ZONE_TYPES), F.upper(value)).otherwise("OTHER")
 
 
+def family(kind: Column) -> Column:
+    return F.when(kind.isin(*PASSAGE), "passage").when(kind.isin(*ZONE), "zone").when(kind.isin(*QUEUE), "queue").when(kind.isin(*CANONICAL_TYPES), "canonical")
+
+
+def by_family(options: dict[str, Column]) -> Column:
+    """The column of the row's family; null for families without one."""
+    return F.coalesce(*[F.when(F.col("family") == n, c) for n, c in options.items()])
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """``lines`` (value, arrival) as normalized events with ``error`` (null for good ones); blank lines go."""
     p = _once(lines.where(F.trim("value") != ""), ("arrival", "value"), F.from_json("value", PAYLOAD))
     kind = F.col("event_type")
-    family = F.when(kind.isin(*PASSAGE), "passage").when(kind.isin(*ZONE), "zone").when(kind.isin(*QUEUE), "queue").when(kind.isin(*CANONICAL_TYPES), "canonical")
-    p = _once(p, p.columns, F.struct(family.alias("family"), F.from_json("metadata", METADATA).alias("meta")))
-    meta = lambda key: F.col(f"meta.{key}")
-    when = {"passage": F.col("event_timestamp"), "zone": F.col("event_time"), "queue": F.coalesce("queue_exit_ts", "event_time"), "canonical": F.col("timestamp")}
-    lost = {n: F.concat_ws(",", *[F.when(F.col(f).isNull() | (F.col(f).cast("string") == ""), F.lit(f)) for f in fields]) for n, fields in REQUIRED.items()}
-    by_family = lambda options: F.coalesce(*[F.when(F.col("family") == n, c) for n, c in options.items()])
-    p = _once(p, p.columns, F.struct(utc(by_family(when)).alias("_ts"), F.nullif(by_family(lost), F.lit("")).alias("_lost")))
-    ts, missing = F.col("_ts"), F.concat(F.lit("missing "), "_lost")
-    canonical = F.col("family") == "canonical"
+    p = _once(p, p.columns, F.struct(family(kind).alias("family"), F.from_json("metadata", METADATA).alias("meta")))
+    col, meta = F.col, lambda key: F.col(f"meta.{key}")
+    lost = {n: F.concat_ws(",", *[F.when(col(f).isNull() | (col(f).cast("string") == ""), F.lit(f)) for f in fields]) for n, fields in REQUIRED.items()}
+    queue_time = lambda c: by_family({"queue": utc(col(c)), "canonical": utc(meta(c))})
+    times = {f"_{c}": queue_time(c) for c in ("queue_join_ts", "queue_served_ts", "queue_exit_ts")}
+    p = _once(p, p.columns, F.struct(utc(by_family({n: col(c) for n, c in TIME.items()})).alias("_ts"), F.nullif(by_family(lost), F.lit("")).alias("_lost"), *[c.alias(n) for n, c in times.items()]))
+    ts, missing = col("_ts"), F.concat(F.lit("missing "), "_lost")
+    canonical, of_queue = col("family") == "canonical", col("family") == "queue"
     stored = F.when(canonical, F.element_at(F.create_map(*[F.lit(x) for kv in CANONICAL_TYPES.items() for x in kv]), kind)).otherwise(kind)
-    field = F.when(canonical, "visitor_id").when(F.col("family") == "passage", "id_token").otherwise("track_id")
-    identity = F.when(canonical, F.col("visitor_id")).when(F.col("family") == "passage", F.col("id_token")).otherwise(F.col("track_id"))
-    error = (F.when(F.col("event_type").isNull(), "not a JSON event").when(F.col("family").isNull(), "unknown event type").when(F.col("_lost").isNotNull(), missing)
-             .when(ts.isNull(), "time is not valid").when(canonical & ~F.col("confidence").between(0, 1), "confidence is not in [0, 1]"))
+    seen = {"passage": "id_token", "zone": "track_id", "queue": "track_id", "canonical": "visitor_id"}
+    untimed = ts.isNull() | (of_queue & (col("_queue_join_ts").isNull() | (col("queue_served_ts").isNotNull() & col("_queue_served_ts").isNull())))
+    error = (F.when(kind.isNull(), "not a JSON event").when(col("family").isNull(), "unknown event type").when(col("_lost").isNotNull(), missing)
+             .when(untimed, "time is not valid").when(canonical & ~col("confidence").between(0, 1), "confidence is not in [0, 1]"))
+    tracked = lambda name: {"zone": col(name), "queue": col(name)}
     n = p.select(
-        "arrival", "value", "family", stored.alias("event_type"), F.coalesce("store_code", "store_id").alias("store_id"), "camera_id", field.alias("source_field"), identity.alias("source_value"), ts.alias("ts"), "zone_id",
-        F.when(canonical, meta("zone_name")).otherwise(F.col("zone_name")).alias("zone_name"), zone_type(F.when(canonical, meta("zone_type")).otherwise(F.col("zone_type"))).alias("zone_type"),
-        F.when(canonical, meta("is_revenue_zone")).otherwise(yes_no(F.col("is_revenue_zone"))).alias("is_revenue_zone"),
-        F.when(canonical, meta("hotspot_x")).otherwise(F.col("zone_hotspot_x")).alias("hotspot_x"), F.when(canonical, meta("hotspot_y")).otherwise(F.col("zone_hotspot_y")).alias("hotspot_y"),
-        F.coalesce("is_staff", F.lit(False)).alias("is_staff"), F.coalesce("gender_pred", "gender").alias("gender"), F.coalesce("age_pred", "age").alias("age"), "age_bucket", "group_id", "group_size", "confidence",
-        F.when(canonical, meta("queue_event_id")).otherwise(F.col("queue_event_id")).alias("queue_event_id"), _wait(stored, canonical, meta).alias("wait_seconds"),
-        F.when(canonical, meta("queue_depth")).otherwise(F.col("queue_position_at_join")).alias("queue_position"),
-        F.when(canonical, stored == "queue_abandoned").otherwise(F.col("abandoned")).alias("abandoned"), F.coalesce("metadata", F.lit("{}")).alias("metadata_json"), F.nullif("event_id", F.lit("")).alias("event_id"), error.alias("error"))
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    key = F.coalesce("event_id", F.when(F.col("family") == "queue", F.concat(F.lit("queue:"), "queue_event_id")), F.concat_ws(":", "event_type", "camera_id", "source_field", "source_value", iso))
+        "arrival", "value", "family", stored.alias("event_type"), by_family({"passage": col("store_code")} | {f: col("store_id") for f in ("zone", "queue", "canonical")}).alias("store_id"), "camera_id",
+        by_family({n: F.lit(c) for n, c in seen.items()}).alias("source_field"), by_family({n: col(c) for n, c in seen.items()}).alias("source_value"), (col("family") != "passage").alias("camera_scoped"), ts.alias("ts"),
+        by_family({**tracked("zone_id"), "canonical": col("zone_id")}).alias("zone_id"), by_family({**tracked("zone_name"), "canonical": meta("sku_zone")}).alias("zone_name"),
+        zone_type(by_family({**tracked("zone_type"), "canonical": meta("zone_type")})).alias("zone_type"), yes_no(by_family({**tracked("is_revenue_zone"), "canonical": meta("is_revenue_zone")})).alias("is_revenue_zone"),
+        by_family({**tracked("zone_hotspot_x"), "canonical": meta("hotspot_x")}).alias("hotspot_x"), by_family({**tracked("zone_hotspot_y"), "canonical": meta("hotspot_y")}).alias("hotspot_y"),
+        F.coalesce(by_family({"passage": col("is_staff"), "canonical": col("is_staff")}), F.lit(False)).alias("is_staff"),
+        by_family({"passage": F.coalesce("is_face_hidden", F.lit(False)), "canonical": meta("is_face_hidden")}).alias("is_face_hidden"),
+        by_family({"passage": col("gender_pred"), **tracked("gender")}).alias("gender"), by_family({"passage": col("age_pred"), **tracked("age")}).alias("age"), by_family({"passage": col("age_bucket"), **tracked("age_bucket")}).alias("age_bucket"),
+        by_family({"passage": col("group_id"), "canonical": meta("group_id")}).alias("group_id"), by_family({"passage": col("group_size"), "canonical": meta("group_size")}).alias("group_size"), "confidence",
+        by_family({"queue": col("queue_event_id"), "canonical": meta("queue_event_id")}).alias("queue_event_id"), *[col(f"_{c}").alias(c) for c in ("queue_join_ts", "queue_served_ts", "queue_exit_ts")],
+        by_family({"queue": col("wait_seconds"), "canonical": _wait(stored, meta)}).alias("wait_seconds"), by_family({"queue": col("queue_position_at_join"), "canonical": meta("queue_depth")}).alias("queue_position"),
+        by_family({"queue": F.coalesce("abandoned", stored == "queue_abandoned"), "canonical": stored == "queue_abandoned"}).alias("abandoned"), F.coalesce("metadata", F.lit("{}")).alias("metadata_json"), F.nullif("event_id", F.lit("")).alias("event_id"), error.alias("error"))
+    fraction = F.date_format("ts", "SSSSSS")
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""))
+    key = F.coalesce("event_id", F.when(of_queue, F.concat(F.lit("queue:"), "queue_event_id")), F.concat_ws(":", "event_type", "camera_id", "source_field", "source_value", iso))
     return n.withColumn("source_event_id", key)
 
 
-def _wait(stored: Column, canonical: Column, meta) -> Column:
+def _wait(stored: Column, meta) -> Column:
+    """A canonical event's wait: its dwell in whole seconds where it has one, else its metadata's."""
     timed = stored.isin("zone_dwell", "queue_completed", "queue_abandoned", "billing_queue_join") & (F.coalesce("dwell_ms", F.lit(0)) != 0)
-    return F.when(canonical, F.when(timed, (F.col("dwell_ms") / 1000).cast("int")).otherwise(meta("wait_seconds"))).otherwise(F.col("wait_seconds"))
+    return F.when(timed, (F.col("dwell_ms") / 1000).cast("int")).otherwise(meta("wait_seconds"))
 
 
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import seconds
+from ..sources.storage import children, remove
 from .metrics import customers
 from .sessions import VISIT
 
@@ -50,9 +49,13 @@ def _decay(distance: Column, window: int) -> Column:
 
 
 def eligible_visits(visits: DataFrame, events: DataFrame, entities: DataFrame) -> DataFrame:
-    """Customers' visits with their latest completed queue and whether a queue was abandoned."""
+    """Customers' visits with their latest completed queue and whether a queue was abandoned.
+
+    A completion counts if its event says that it was not abandoned; events without ``abandoned`` are taken by their type.
+    """
     kind = F.col("event_type")
-    queue = events.where(kind.isin("queue_completed", "queue_abandoned")).groupBy(*VISIT).agg(F.max(F.when(kind == "queue_completed", F.col("ts"))).alias("queue_time"), F.max(kind == "queue_abandoned").alias("queue_abandoned"))
+    done = (kind == "queue_completed") & (~F.col("abandoned") if "abandoned" in events.columns else F.lit(True))
+    queue = events.where(kind.isin("queue_completed", "queue_abandoned")).groupBy(*VISIT).agg(F.max(F.when(done, F.col("ts"))).alias("queue_time"), F.max(kind == "queue_abandoned").alias("queue_abandoned"))
     return customers(visits, entities).join(queue, list(VISIT), "left").withColumn("queue_abandoned", F.coalesce("queue_abandoned", F.lit(False)))
 
 
@@ -76,7 +79,7 @@ def score_candidates(transactions: DataFrame, visits: DataFrame) -> DataFrame:
     queue = F.when(F.col("queue_time").isNotNull(), _decay(gap("queue_time"), QUEUE_WINDOW)).otherwise(0.0)
     left = F.when(F.col("exit_time").isNotNull(), _decay(gap("exit_time"), EXIT_WINDOW)).otherwise(0.0)
     raw = 0.20 + 0.45 * queue + 0.25 * left + 0.10 * _decay(outside, SESSION_WINDOW) - F.when(F.col("queue_abandoned"), 0.20).otherwise(0.0)
-    out = pairs.withColumns({"score": F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) * 10000 + 0.5) / 10000, "method": F.when(queue > 0, "queue_exit_time").otherwise("session_exit_time")})
+    out = pairs.withColumns({"score": F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) * 10000 + 0.5) / 10000, "method": F.when(F.col("queue_time").isNotNull(), "queue_exit_time").otherwise("session_exit_time")})
     return out.where("score > 0")
 
 
@@ -95,14 +98,14 @@ def correlate(transactions: DataFrame, visits: DataFrame, events: DataFrame, ent
     order = per.orderBy(F.desc("score"), "entry_time", "entity_id", "session_no")
     kept = kept.withColumns({"candidates": F.count("*").over(per), "rank": F.row_number().over(order)})
     found = kept.select("store_id", "order_id", "entity_id", "session_no", F.when(F.col("candidates") == 1, "MATCHED").otherwise("AMBIGUOUS").alias("status"), "score", "method", "candidates", "rank")
-    none = lambda frame, **own: frame.select("store_id", *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("order_id", "string"), ("entity_id", "string"), ("session_no", "long"))], F.lit("UNMATCHED").alias("status"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("method"), F.lit(0).cast("long").alias("candidates"), F.lit(0).alias("rank"))
-    sales = none(transactions.join(found.select("store_id", "order_id").distinct(), ["store_id", "order_id"], "left_anti"), order_id=F.col("order_id"))
-    idle = none(people.join(found.select(*VISIT).distinct(), list(VISIT), "left_anti"), entity_id=F.col("entity_id"), session_no=F.col("session_no"))
+    none = lambda frame, method, **own: frame.select("store_id", *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("order_id", "string"), ("entity_id", "string"), ("session_no", "long"))], F.lit("UNMATCHED").alias("status"), F.lit(0.0).alias("score"), F.lit(method).alias("method"), F.lit(0).cast("long").alias("candidates"), F.lit(0).alias("rank"))
+    sales = none(transactions.join(found.select("store_id", "order_id").distinct(), ["store_id", "order_id"], "left_anti"), "no_eligible_visitor", order_id=F.col("order_id"))
+    idle = none(people.join(found.select(*VISIT).distinct(), list(VISIT), "left_anti"), "no_eligible_transaction", entity_id=F.col("entity_id"), session_no=F.col("session_no"))
     return found.unionByName(sales).unionByName(idle)
 
 
 def explanation(kept: DataFrame, transactions: DataFrame, visits: DataFrame, events: DataFrame, entities: DataFrame, *, least: float = 0.55) -> DataFrame:
-    """``kept`` with the facts of its score as JSON text: gaps in seconds, the scores of each, abandonment."""
+    """``kept`` with its reasons as JSON text: gaps in seconds, the scores of each, abandonment and rank; why, where nothing matches."""
     people = eligible_visits(visits, events, entities).select(*VISIT, "entry_time", "exit_time", "queue_time", "queue_abandoned")
     facts = kept.where("order_id IS NOT NULL AND entity_id IS NOT NULL").select("store_id", "order_id", *VISIT[1:])
     facts = facts.join(transactions.select("store_id", "order_id", F.col("ts").alias("sold_at")), ["store_id", "order_id"]).join(people, list(VISIT))
@@ -115,17 +118,32 @@ def explanation(kept: DataFrame, transactions: DataFrame, visits: DataFrame, eve
         F.lit(True).alias("store_match"), gap("queue_time").alias("queue_seconds_delta"), gap("exit_time").alias("exit_seconds_delta"), outside.cast("long").alias("session_seconds_delta"),
         units(queue).alias("queue_score"), units(left).alias("exit_score"), units(_decay(outside, SESSION_WINDOW)).alias("session_score"),
         F.col("queue_abandoned").alias("has_queue_abandonment"), F.lit(least).alias("minimum_confidence"))
-    return kept.join(facts.select("store_id", "order_id", *VISIT[1:], F.to_json(told).alias("explanation")), ["store_id", "order_id", *VISIT[1:]], "left")
+    out = kept.join(facts.select("store_id", "order_id", *VISIT[1:], told.alias("_told")), ["store_id", "order_id", *VISIT[1:]], "left")
+    ranked = F.to_json(F.struct("_told.*", F.col("rank").alias("candidate_rank"), F.col("candidates").alias("candidate_count")))
+    unsold = F.to_json(F.struct(F.lit("no POS transaction met the confidence threshold").alias("reason"), "store_id"))
+    unseen = F.to_json(F.struct(F.lit("no visitor candidate met the confidence threshold").alias("reason"), F.lit(least).alias("minimum_confidence")))
+    return out.withColumn("explanation", F.when(F.col("status") != "UNMATCHED", ranked).when(F.col("order_id").isNull(), unsold).otherwise(unseen)).drop("_told")
 
 
 def replace_correlations(correlations: DataFrame, path: str) -> None:
-    """Write a full replacement of the correlation table: readers of ``path`` see the old rows or the new ones."""
-    spark, now = correlations.sparkSession, f"run-{uuid.uuid4().hex}"
-    correlations.write.parquet(f"{path}/runs/{now}")
-    spark.createDataFrame([(now,)], "run string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    """Write a full replacement of the correlation table: readers of ``path`` see the old rows or the new ones.
+
+    Runs are numbered and the largest number counts; the run before stays for readers that have begun, older ones go.
+    """
+    spark = correlations.sparkSession
+    now = 1 + (_last_run(spark, path) or 0)
+    correlations.write.mode("overwrite").parquet(f"{path}/runs/run={now}")  # a crashed attempt of this number goes
+    spark.createDataFrame([(now,)], "run long").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    remove(spark, *[f"{path}/runs/{name}" for name in children(spark, f"{path}/runs") if int(name.split("=")[1]) < now - 1])
+
+
+def _last_run(spark: SparkSession, path: str) -> int | None:
+    return spark.read.schema("run long").parquet(f"{path}/current").agg(F.max("run")).first()[0] if children(spark, f"{path}/current") else None
 
 
 def read_correlations(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the last replacement."""
-    last = spark.read.parquet(f"{path}/current").select("run", F.col("_metadata.file_modification_time").alias("at")).orderBy(F.desc("at")).first()
-    return spark.read.parquet(f"{path}/runs/{last['run']}")
+    """The rows of the last replacement; fails before the first one."""
+    last = _last_run(spark, path)
+    if last is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/runs/run={last}")

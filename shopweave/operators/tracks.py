@@ -147,10 +147,12 @@ def staff_by_area(sightings: DataFrame, zones: DataFrame, *, frames: int = 10, s
 def camera_configs(cameras: DataFrame, coverage: DataFrame, zones: DataFrame) -> DataFrame:
     """One row a camera: its entry line (the last made wins), its zones, the queue zone and settings with defaults.
 
-    ``coverage``: camera_id, zone_id, geometry_kind, geometry_json, created_at.
+    ``coverage``: camera_id, zone_id, geometry_kind, geometry_json, created_at. The query fails at a kind of geometry
+    that is neither a line nor a polygon.
     """
     geometry = "kind string, points array<struct<x: double, y: double>>, axis string, position double, inside_greater_than_position boolean"
-    shapes = coverage.withColumn("g", F.from_json("geometry_json", geometry))
+    known = F.when(F.col("geometry_kind").isin("line", "polygon"), F.col("geometry_kind")).otherwise(F.raise_error(F.concat(F.lit("unknown geometry kind: "), F.coalesce("geometry_kind", F.lit("none")))))
+    shapes = coverage.withColumns({"g": F.from_json("geometry_json", geometry), "geometry_kind": known})
     lines = shapes.where("geometry_kind = 'line'").groupBy("camera_id").agg(F.max_by(F.struct("g.axis", "g.position", F.coalesce("g.inside_greater_than_position", F.lit(True)).alias("inside_greater")), "created_at").alias("entry_line"))
     named = shapes.where("geometry_kind = 'polygon'").join(zones.select("zone_id", "name", "type"), "zone_id")
     polygons = named.groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "zone_id", "name", "type", F.col("g.points").alias("points")))).alias("zones"))

@@ -41,7 +41,7 @@ class Retail:
             F.concat(F.lit("CAM"), F.col("k") % 3).alias("camera_id"), kind.alias("event_type"), F.col("t").alias("ts"),
             F.concat(F.lit("Z"), F.col("k") % 6).alias("zone_id"), F.concat(F.lit("Q"), "user_id", F.lit("-"), F.col("event_id") % 4).alias("queue_event_id"),
             ((F.col("k") * 7) % 400).cast("int").alias("wait_seconds"), (F.col("k").cast("double") / 100).alias("hotspot_x"),
-            ((F.floor("value") % 100).cast("double") / 100).alias("hotspot_y"), "value", "k", (F.col("event_type") == "purchase").alias("is_purchase"))
+            ((F.floor("value") % 100).cast("double") / 100).alias("hotspot_y"), "value", "k", F.when(kind == "queue_completed", F.col("event_id") % 7 == 0).when(kind == "queue_abandoned", True).alias("abandoned"), (F.col("event_type") == "purchase").alias("is_purchase"))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -89,14 +89,29 @@ class Retail:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """The events as an ingest feed of JSON lines of all families; every 17th lacks its store, every 23rd is not JSON."""
-        e = self.raw
-        kind, t = F.col("event_type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+        """The events as an ingest feed of JSON lines of all families; every 17th lacks its store, every 23rd is not JSON.
+
+        Three of four times have a fraction of a second. Queue lines have no time but those of the queue, and tell
+        whether it was abandoned only on odd events or where the type says otherwise.
+        """
+        e = self.raw.withColumn("at", F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 4) * 0.25))
+        kind, text = F.col("event_type"), lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
         store = F.when(F.col("event_id") % 17 != 0, F.col("store_id"))
-        passage = F.to_json(F.struct(kind.alias("event_type"), F.col("entity_id").alias("id_token"), store.alias("store_code"), "camera_id", F.concat(t, F.lit("Z")).alias("event_timestamp")))
-        zone = F.to_json(F.struct(kind.alias("event_type"), F.col("user_id").alias("track_id"), store.alias("store_id"), "camera_id", "zone_id", F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("event_time"), F.col("hotspot_x").alias("zone_hotspot_x"), F.lit("Yes").alias("is_revenue_zone")))
-        queue = F.to_json(F.struct(kind.alias("event_type"), F.col("user_id").alias("track_id"), store.alias("store_id"), "camera_id", "zone_id", t.alias("event_time"), "queue_event_id", t.alias("queue_join_ts"), t.alias("queue_exit_ts"), "wait_seconds"))
-        canonical = F.to_json(F.struct(F.lit("BILLING_QUEUE_JOIN").alias("event_type"), F.concat(F.lit("E"), "event_id").alias("event_id"), store.alias("store_id"), "camera_id", F.col("entity_id").alias("visitor_id"), t.alias("timestamp"), F.lit(0.5).alias("confidence"), "zone_id", F.struct("queue_event_id", "wait_seconds").alias("metadata")))
+        passage = F.to_json(F.struct(
+            kind.alias("event_type"), F.col("entity_id").alias("id_token"), store.alias("store_code"), "camera_id", F.concat(text(F.col("at")), F.lit("Z")).alias("event_timestamp"), F.when(F.col("user_id") % 2 == 0, "female").alias("gender_pred"),
+            (20 + F.col("user_id") % 40).alias("age_pred"), F.lit("20-59").alias("age_bucket"), (F.col("user_id") % 11 == 0).alias("is_staff"), F.when(F.col("event_id") % 2 == 0, True).alias("is_face_hidden"),
+            F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("G"), F.floor(F.col("user_id") / 10))).alias("group_id")))
+        zone = F.to_json(F.struct(
+            kind.alias("event_type"), F.col("user_id").alias("track_id"), store.alias("store_id"), "camera_id", "zone_id", F.concat(text(F.col("at") + F.expr("INTERVAL 2 HOURS")), F.lit("+02:00")).alias("event_time"),
+            F.concat(F.lit("Zone "), "zone_id").alias("zone_name"), F.when(F.col("k") % 2 == 0, "browsing").otherwise("DISPLAY").alias("zone_type"), F.col("hotspot_x").alias("zone_hotspot_x"), F.col("hotspot_y").alias("zone_hotspot_y"), F.lit("Yes").alias("is_revenue_zone")))
+        joined = F.timestamp_add("SECOND", -F.col("wait_seconds"), F.col("at"))
+        stated = F.when((F.col("event_id") % 2 == 1) | (F.col("abandoned") != (kind == "queue_abandoned")), F.col("abandoned"))
+        queue = F.to_json(F.struct(
+            kind.alias("event_type"), F.col("user_id").alias("track_id"), store.alias("store_id"), "camera_id", "zone_id", F.lit("BILLING").alias("zone_type"), "queue_event_id", text(joined).alias("queue_join_ts"), text(F.col("at")).alias("queue_exit_ts"),
+            "wait_seconds", (F.col("k") % 6).alias("queue_position_at_join"), stated.alias("abandoned"), F.struct(F.lit("lane 1").alias("lane")).alias("metadata")))
+        canonical = F.to_json(F.struct(
+            F.lit("BILLING_QUEUE_JOIN").alias("event_type"), F.concat(F.lit("E"), "event_id").alias("event_id"), store.alias("store_id"), "camera_id", F.col("entity_id").alias("visitor_id"), text(F.col("at")).alias("timestamp"), F.lit(0.5).alias("confidence"), "zone_id",
+            F.struct(F.lit("Till").alias("sku_zone"), F.lit("billing").alias("zone_type"), F.lit("No").alias("is_revenue_zone"), "queue_event_id", "wait_seconds", (F.col("k") % 6).alias("queue_depth")).alias("metadata")))
         line = F.when(kind.isin("entry", "exit"), passage).when(kind.isin("zone_entered", "zone_exited"), zone).when(kind == "billing_queue_join", canonical).otherwise(queue)
         return e.select(F.when(F.col("event_id") % 23 == 0, F.lit("not json")).otherwise(line).alias("value"), F.col("event_id").alias("arrival"))
 
@@ -127,7 +142,7 @@ WITH raw AS (
          WHEN event_type = 'error' THEN 'exit' END AS event_type,
     t AS ts, 'Z' || CAST(k % 6 AS VARCHAR) AS zone_id, 'Q' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 4 AS VARCHAR) AS queue_event_id,
     (k * 7) % 400 AS wait_seconds, CAST(k AS DOUBLE) / 100 AS hotspot_x, CAST(CAST(floor(value) AS BIGINT) % 100 AS DOUBLE) / 100 AS hotspot_y,
-    event_type = 'purchase' AS is_purchase
+    event_type = 'purchase' AS is_purchase, CASE WHEN event_type = 'purchase' THEN event_id % 7 = 0 WHEN event_type = 'error' AND k % 3 = 0 THEN true END AS abandoned
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k,
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 60000000) AS t FROM events) x),
 ev AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'exit' THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, entity_id ORDER BY ts, event_id

@@ -123,7 +123,7 @@ qv AS (SELECT store_id, count(DISTINCT (entity_id, session_no)) AS queue_join_co
        FROM cev WHERE event_type IN ('billing_queue_join', 'queue_completed', 'queue_abandoned') GROUP BY store_id)"""
 
 COR_SQL = """
-, qq AS (SELECT store_id, entity_id, session_no, max(CASE WHEN event_type = 'queue_completed' THEN ts END) AS queue_time, bool_or(event_type = 'queue_abandoned') AS lost
+, qq AS (SELECT store_id, entity_id, session_no, max(CASE WHEN event_type = 'queue_completed' AND NOT abandoned THEN ts END) AS queue_time, bool_or(event_type = 'queue_abandoned') AS lost
          FROM ev WHERE event_type IN ('queue_completed', 'queue_abandoned') GROUP BY ALL),
 people AS (SELECT cvis.*, queue_time, coalesce(lost, false) AS lost FROM cvis LEFT JOIN qq USING (store_id, entity_id, session_no)),
 gaps AS (SELECT t.store_id, t.order_id, p.entity_id, p.session_no, p.entry_time, p.lost,
@@ -142,9 +142,9 @@ kept AS (SELECT *, count(*) OVER (PARTITION BY store_id, order_id) AS candidates
          FROM ranked WHERE best >= 0.55 AND best - score <= 0.10::DOUBLE + 1e-9),
 cor AS (
   SELECT store_id, order_id, entity_id, CAST(session_no AS BIGINT) AS session_no, CASE WHEN candidates = 1 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS status, score,
-         CASE WHEN gq < 600 THEN 'queue_exit_time' ELSE 'session_exit_time' END AS method, candidates, CAST(rnk AS INTEGER) AS rank FROM kept
-  UNION ALL SELECT store_id, order_id, NULL, NULL, 'UNMATCHED', 0.0, NULL, 0, 0 FROM txn ANTI JOIN kept USING (store_id, order_id)
-  UNION ALL SELECT store_id, NULL, entity_id, CAST(session_no AS BIGINT), 'UNMATCHED', 0.0, NULL, 0, 0 FROM people ANTI JOIN kept USING (store_id, entity_id, session_no))"""
+         CASE WHEN gq IS NOT NULL THEN 'queue_exit_time' ELSE 'session_exit_time' END AS method, candidates, CAST(rnk AS INTEGER) AS rank FROM kept
+  UNION ALL SELECT store_id, order_id, NULL, NULL, 'UNMATCHED', 0.0, 'no_eligible_visitor', 0, 0 FROM txn ANTI JOIN kept USING (store_id, order_id)
+  UNION ALL SELECT store_id, NULL, entity_id, CAST(session_no AS BIGINT), 'UNMATCHED', 0.0, 'no_eligible_transaction', 0, 0 FROM people ANTI JOIN kept USING (store_id, entity_id, session_no))"""
 
 FULL_SQL = METRICS_SQL + COR_SQL + f"""
 , sale AS (SELECT store_id, count(*) AS attributed_transactions, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100 AS attributed_revenue
@@ -336,7 +336,7 @@ def _(r):
 
 @query("cor3_explanations", COR_SQL + """
 , f AS (SELECT cor.store_id, cor.order_id, cor.entity_id, cor.session_no, t.ts AS sold_at, v.entry_time, v.exit_time,
-          max(ev.ts) FILTER (ev.event_type = 'queue_completed') AS q, coalesce(bool_or(ev.event_type = 'queue_abandoned'), false) AS abandoned
+          max(ev.ts) FILTER (ev.event_type = 'queue_completed' AND NOT ev.abandoned) AS q, coalesce(bool_or(ev.event_type = 'queue_abandoned'), false) AS lost, cor.rank, cor.candidates
         FROM cor JOIN txn t ON t.store_id = cor.store_id AND t.order_id = cor.order_id JOIN vis v ON v.store_id = cor.store_id AND v.entity_id = cor.entity_id AND v.session_no = cor.session_no
         JOIN ev ON ev.store_id = v.store_id AND ev.entity_id = v.entity_id AND ev.session_no = v.session_no WHERE cor.status <> 'UNMATCHED' GROUP BY ALL),
 g AS (SELECT *, CAST(abs(date_diff('second', q, sold_at)) AS BIGINT) AS qs, CAST(abs(date_diff('second', exit_time, sold_at)) AS BIGINT) AS es,
@@ -344,10 +344,11 @@ g AS (SELECT *, CAST(abs(date_diff('second', q, sold_at)) AS BIGINT) AS qs, CAST
 SELECT store_id, order_id, entity_id, CAST(session_no AS BIGINT) AS session_no, qs AS queue_seconds_delta, es AS exit_seconds_delta, ss AS session_seconds_delta,
   CASE WHEN qs <= 600 THEN floor((1.0::DOUBLE - CAST(qs AS DOUBLE) / 600) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS queue_score,
   CASE WHEN es <= 1200 THEN floor((1.0::DOUBLE - CAST(es AS DOUBLE) / 1200) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS exit_score,
-  CASE WHEN ss <= 2700 THEN floor((1.0::DOUBLE - CAST(ss AS DOUBLE) / 2700) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS session_score, abandoned AS has_queue_abandonment FROM g""")
+  CASE WHEN ss <= 2700 THEN floor((1.0::DOUBLE - CAST(ss AS DOUBLE) / 2700) * 10000 + 0.5::DOUBLE) / 10000 ELSE 0.0::DOUBLE END AS session_score, lost AS has_queue_abandonment, NULL AS reason, CAST(rank AS BIGINT) AS candidate_rank, CAST(candidates AS BIGINT) AS candidate_count FROM g
+UNION ALL SELECT store_id, order_id, entity_id, session_no, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN order_id IS NULL THEN 'no POS transaction met the confidence threshold' ELSE 'no visitor candidate met the confidence threshold' END, NULL, NULL FROM cor WHERE status = 'UNMATCHED'""")
 def _(r):
-    told = pos.explanation(r.correlations, r.transactions, r.visits, r.events, r.entities).where("explanation IS NOT NULL")
-    kind = "store_match boolean, queue_seconds_delta long, exit_seconds_delta long, session_seconds_delta long, queue_score double, exit_score double, session_score double, has_queue_abandonment boolean"
+    told = pos.explanation(r.correlations, r.transactions, r.visits, r.events, r.entities)
+    kind = "store_match boolean, queue_seconds_delta long, exit_seconds_delta long, session_seconds_delta long, queue_score double, exit_score double, session_score double, has_queue_abandonment boolean, reason string, candidate_rank long, candidate_count long"
     return told.select("store_id", "order_id", "entity_id", "session_no", F.from_json("explanation", kind).alias("x")).select("store_id", "order_id", "entity_id", "session_no", "x.*").drop("store_match")
 
 
@@ -722,16 +723,24 @@ def _(r):
 # --- ingest, sales import, replay ---------------------------------------------------------
 
 PARSED_SQL = """
-, ok AS (SELECT * FROM raw WHERE event_id % 23 <> 0 AND event_id % 17 <> 0),
-nm AS (SELECT event_id AS arrival, event_type, store_id, camera_id, CASE WHEN event_type IN ('entry', 'exit') THEN 'id_token' WHEN event_type = 'billing_queue_join' THEN 'visitor_id' ELSE 'track_id' END AS source_field,
-         CASE WHEN event_type IN ('entry', 'exit', 'billing_queue_join') THEN entity_id ELSE CAST(user_id AS VARCHAR) END AS source_value, ts,
-         CASE WHEN event_type NOT IN ('entry', 'exit') THEN zone_id END AS zone_id, CASE WHEN event_type IN ('zone_entered', 'zone_exited') THEN hotspot_x END AS hotspot_x,
-         CASE WHEN event_type NOT IN ('entry', 'exit', 'zone_entered', 'zone_exited') THEN queue_event_id END AS queue_event_id,
-         CASE WHEN event_type NOT IN ('entry', 'exit', 'zone_entered', 'zone_exited') THEN wait_seconds END AS wait_seconds,
-         CASE WHEN event_type IN ('zone_entered', 'zone_exited') THEN true END AS is_revenue_zone FROM ok),
+, ok AS (SELECT *, CASE WHEN event_type IN ('entry', 'exit') THEN 'passage' WHEN event_type IN ('zone_entered', 'zone_exited') THEN 'zone' WHEN event_type = 'billing_queue_join' THEN 'canonical' ELSE 'queue' END AS family
+         FROM raw WHERE event_id % 23 <> 0 AND event_id % 17 <> 0),
+nm AS (SELECT event_id AS arrival, event_type, store_id, camera_id, CASE family WHEN 'passage' THEN 'id_token' WHEN 'canonical' THEN 'visitor_id' ELSE 'track_id' END AS source_field,
+         CASE WHEN family IN ('passage', 'canonical') THEN entity_id ELSE CAST(user_id AS VARCHAR) END AS source_value, family <> 'passage' AS camera_scoped, ts + to_microseconds((event_id % 4) * 250000) AS ts,
+         CASE WHEN family <> 'passage' THEN zone_id END AS zone_id, CASE family WHEN 'zone' THEN 'Zone ' || zone_id WHEN 'canonical' THEN 'Till' END AS zone_name,
+         CASE WHEN family = 'zone' AND k % 2 = 0 THEN 'BROWSING' WHEN family IN ('queue', 'canonical') THEN 'BILLING' ELSE 'OTHER' END AS zone_type,
+         CASE WHEN family = 'zone' THEN hotspot_x END AS hotspot_x, CASE WHEN family = 'zone' THEN hotspot_y END AS hotspot_y, family = 'passage' AND user_id % 11 = 0 AS is_staff,
+         CASE WHEN family = 'passage' THEN event_id % 2 = 0 END AS is_face_hidden, CASE WHEN family = 'passage' AND user_id % 2 = 0 THEN 'female' END AS gender, CASE WHEN family = 'passage' THEN CAST(20 + user_id % 40 AS INT) END AS age,
+         CASE WHEN family = 'passage' THEN '20-59' END AS age_bucket, CASE WHEN family = 'passage' AND user_id % 5 = 0 THEN 'G' || CAST(CAST(floor(user_id / 10) AS BIGINT) AS VARCHAR) END AS group_id, CAST(NULL AS INT) AS group_size,
+         CASE WHEN family IN ('queue', 'canonical') THEN queue_event_id END AS queue_event_id, CASE WHEN family = 'queue' THEN ts + to_microseconds((event_id % 4) * 250000) - to_seconds(wait_seconds) END AS queue_join_ts,
+         CASE WHEN family = 'queue' THEN ts + to_microseconds((event_id % 4) * 250000) END AS queue_exit_ts, CASE WHEN family IN ('queue', 'canonical') THEN wait_seconds END AS wait_seconds,
+         CASE WHEN family IN ('queue', 'canonical') THEN CAST(k % 6 AS INT) END AS queue_position, CASE family WHEN 'queue' THEN abandoned WHEN 'canonical' THEN false END AS abandoned,
+         CASE family WHEN 'queue' THEN '{"lane":"lane 1"}' WHEN 'canonical' THEN '{"sku_zone":"Till","zone_type":"billing","is_revenue_zone":"No","queue_event_id":"' || queue_event_id || '","wait_seconds":' || CAST(wait_seconds AS VARCHAR) || ',"queue_depth":' || CAST(k % 6 AS VARCHAR) || '}' ELSE '{}' END AS metadata_json,
+         CASE family WHEN 'zone' THEN true WHEN 'canonical' THEN false END AS is_revenue_zone FROM ok),
 nk AS (SELECT *, CASE WHEN event_type = 'billing_queue_join' THEN 'E' || CAST(arrival AS VARCHAR) WHEN event_type IN ('queue_completed', 'queue_abandoned') THEN 'queue:' || queue_event_id
-         ELSE event_type || ':' || camera_id || ':' || source_field || ':' || source_value || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS source_event_id FROM nm)"""
-NORMAL = ("arrival", "event_type", "store_id", "camera_id", "source_field", "source_value", "ts", "zone_id", "hotspot_x", "queue_event_id", "wait_seconds", "is_revenue_zone", "source_event_id")
+         ELSE event_type || ':' || camera_id || ':' || source_field || ':' || source_value || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN arrival % 4 = 0 THEN '' ELSE strftime(ts, '.%f') END END AS source_event_id FROM nm)"""
+NORMAL = ("arrival", "event_type", "store_id", "camera_id", "source_field", "source_value", "camera_scoped", "ts", "zone_id", "zone_name", "zone_type", "hotspot_x", "hotspot_y", "is_staff", "is_face_hidden", "gender", "age", "age_bucket",
+          "group_id", "group_size", "queue_event_id", "queue_join_ts", "queue_exit_ts", "wait_seconds", "queue_position", "abandoned", "metadata_json", "is_revenue_zone", "source_event_id")
 
 
 @query("nrm1_12_normalized", PARSED_SQL + " SELECT * FROM nk")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import iso_utc
+from ..operators import normalize
 from ..schemas import POS
 
 
@@ -26,20 +27,24 @@ def read_pos(spark: SparkSession, path: str) -> DataFrame:
     splits = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
     splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = rows.join(F.broadcast(splits), ["_file", "_block"])
+    numbered = rows.join(splits, ["_file", "_block"])
     return numbered.withColumn("row_no", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_file", "_block", "_id", "_first", "_before")
 
 
-def read_archive(spark: SparkSession, path: str, store_id: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, store_id: str, *, start: Column | None = None, end: Column | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(value, arrival, event_time) of a store's receipts in the order of their replay.
 
-    That order is by the time inside the payload, whichever field holds it; receipts whose payload
-    is no JSON or has no time come last, by when they were received.
+    That order is by the time of the payload's family, a queue event's being its exit, then by receipt. ``start``
+    and ``end`` keep payloads of that range, both ends included; ``ids`` (id) chooses receipts. Receipts whose
+    payload is no event or has no time come last, by when they were received, in any range.
     """
-    fields = ("event_timestamp", "event_time", "timestamp", "queue_join_ts")
     own = spark.read.parquet(path).where(F.col("store_id") == store_id)
-    time = F.coalesce(*[F.try_to_timestamp(F.get_json_object("payload_json", f"$.{c}")) for c in fields])
-    rows = own.select(F.col("payload_json").alias("value"), F.col("received_at").alias("arrival"), time.alias("event_time"))
+    own = own if ids is None else own.join(ids.select("id"), "id", "left_semi")
+    kind = normalize.family(F.get_json_object("payload_json", "$.event_type"))
+    rows = own.select(F.col("payload_json").alias("value"), F.col("received_at").alias("arrival"), kind.alias("family"))
+    rows = rows.withColumn("event_time", normalize.utc(normalize.by_family({n: F.get_json_object("value", f"$.{c}") for n, c in normalize.TIME.items()}))).drop("family")
+    for bound, inside in ((start, F.col("event_time") >= start), (end, F.col("event_time") <= end)):
+        rows = rows if bound is None else rows.where(F.col("event_time").isNull() | inside)
     return rows.orderBy(F.col("event_time").asc_nulls_last(), "arrival")
 
 

@@ -32,11 +32,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this process has stored in the shared folder; for when its results are written elsewhere."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reads; none if there is no such folder."""
+    system, folder = _folder(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        system, folder = _folder(spark, path)
+        system.delete(folder, True)
+
+
+def mark() -> int:
+    """The tables made so far; see :func:`release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what this process has stored in the shared folder since ``mark()``; for when its results are written elsewhere."""
+    gone = [p for p in _made[since:] if p not in keep]
+    _made[since:] = [p for p in _made[since:] if p in keep]
+    remove(spark, *gone)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

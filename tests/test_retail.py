@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopweave.functions import in_polygon, iso_utc, rate, uuid5
-from shopweave.operators import live, metrics, normalize, people, pos, rules, sessions, spatial, tracks
+from shopweave.operators import live, metrics, normalize, people, pos, replay, rules, sessions, spatial, tracks
 from shopweave.sources import feeds
 
 T0 = dt.datetime(2024, 1, 1, 9)
@@ -244,6 +244,107 @@ def test_feeds_round_trip(spark, seed, tmp_path):
     assert spark.read.json(str(tmp_path / "lines")).count() == e.count()
 
 
+def test_every_shape_of_the_feed_is_accepted(spark):
+    """Three entries and an exit out of order, zone events with numeric tracks, queue events without a time of their own."""
+    import json
+
+    passage = lambda kind, who, at, **more: {"event_type": kind, "id_token": who, "store_code": "ST7", "camera_id": "DOOR", "event_timestamp": at, "is_staff": False, "gender_pred": "female", "age_pred": 30, "age_bucket": "25-34", **more}
+    zone = lambda kind, who, at: {"event_type": kind, "track_id": who, "store_id": "ST7", "camera_id": "HALL", "zone_id": "Z", "zone_name": "Shelf", "zone_type": "DISPLAY", "is_revenue_zone": "Yes", "zone_hotspot_x": 0.1, "zone_hotspot_y": 0.2, "event_time": at}
+    queue = lambda kind, who, key, **more: {"event_type": kind, "track_id": who, "store_id": "ST7", "camera_id": "TILL", "zone_id": "B", "zone_type": "BILLING", "queue_event_id": key, "queue_join_ts": "2024-01-01T10:40:00", "queue_served_ts": None,
+                                            "queue_exit_ts": "2024-01-01T10:43:00", "wait_seconds": 180, "queue_position_at_join": 2, **more}
+    rows = [passage("entry", "a", "2024-01-01T10:00:00.250"), passage("entry", "a", "2024-01-01T10:00:00.750"), passage("entry", "b", "2024-01-01T10:10:00"), passage("exit", "a", "2024-01-01T10:02:39", is_face_hidden=True),
+            *[zone(k, t, f"2024-01-01T10:2{t}:{m}") for t in (1, 2, 3) for k, m in (("zone_entered", "00"), ("zone_exited", "30"))], queue("queue_completed", 1, "q1", abandoned=False), queue("queue_completed", 2, "q2"), queue("queue_abandoned", 3, "q3")]
+    assert len(rows) == 13
+    lines = spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(rows)], "value string, arrival long")
+    got = normalize.parse(lines).orderBy("arrival").collect()
+    assert [r.error for r in got] == [None] * 13 and len({r.source_event_id for r in got}) == 13
+    assert [r.source_event_id for r in got[:3]] == ["entry:DOOR:id_token:a:2024-01-01T10:00:00.250000", "entry:DOOR:id_token:a:2024-01-01T10:00:00.750000", "entry:DOOR:id_token:b:2024-01-01T10:10:00"]
+    assert [(r.source_event_id, r.abandoned, r.ts, r.queue_position, r.zone_type) for r in got[10:]] == [(f"queue:q{k}", k == 3, dt.datetime(2024, 1, 1, 10, 43), 2, "BILLING") for k in (1, 2, 3)]
+    assert [r.is_face_hidden for r in got[:5]] == [False, False, False, True, None] and got[4].zone_type == "OTHER" and got[4].source_value == "1"
+    bad = [queue("queue_completed", 1, "q", queue_join_ts=None), queue("queue_completed", 1, "q", queue_join_ts="soon"), queue("queue_completed", 1, "q", queue_exit_ts="later"), zone("zone_entered", 1, None)]
+    errors = normalize.parse(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(bad)], "value string, arrival long")).orderBy("arrival").collect()
+    assert [r.error for r in errors] == ["missing queue_join_ts", "time is not valid", "time is not valid", "missing event_time"]
+
+
+def correlated(spark, rows, sales, **flags):
+    """Correlations of events (entity, type, second, fields) and sales (order, second)."""
+    e = sessions.number_sessions(events(spark, rows))
+    for name, column in flags.items():
+        e = e.withColumn(name, column)
+    sold = spark.createDataFrame([("S1", o, at(s)) for o, s in sales], "store_id string, order_id string, ts timestamp_ntz")
+    who = entities(spark, v1="solo", v2="solo")
+    found = pos.correlate(sold, sessions.visit_sessions(e), e, who)
+    return e, sold, who, found
+
+
+def test_purchases_match_as_stated(spark):
+    """A match, no visitor, no purchase, two candidates, and a purchase far from the queue's end, in minutes of a day."""
+    m = 60
+    queued = lambda who, enter, done, leave: [(who, "entry", enter * m), (who, "queue_completed", done * m, {"queue": who}), (who, "exit", leave * m)]
+    (r,) = correlated(spark, queued("v1", 0, 35, 40), [("o1", 37 * m)])[3].collect()
+    assert (r.status, r.entity_id, r.method) == ("MATCHED", "v1", "queue_exit_time") and r.score >= 0.80
+    (r,) = correlated(spark, [("s", "entry", 0)], [("o1", 0)])[3].where("order_id IS NOT NULL").collect()
+    assert (r.status, r.entity_id, r.score, r.method) == ("UNMATCHED", None, 0.0, "no_eligible_visitor")
+    (r,) = correlated(spark, [("v1", "entry", 0), ("v1", "exit", 30 * m)], [])[3].collect()
+    assert (r.status, r.order_id, r.entity_id, r.method) == ("UNMATCHED", None, "v1", "no_eligible_transaction")
+    rows = correlated(spark, queued("v1", 0, 35, 40) + queued("v2", 1, 35, 40), [("o1", 36 * m)])[3].collect()
+    assert {(r.status, r.entity_id) for r in rows} == {("AMBIGUOUS", "v1"), ("AMBIGUOUS", "v2")}
+    e, sold, who, found = correlated(spark, queued("v1", 0, 30, 45), [("close", 31 * m), ("far", 120 * m)])
+    told = {r.order_id: r for r in pos.explanation(found, sold, sessions.visit_sessions(e), e, who).collect()}
+    assert told["close"].score >= 0.55 and '"candidate_rank":1' in told["close"].explanation and told["far"].status == "UNMATCHED" and "no visitor candidate" in told["far"].explanation
+
+
+def test_method_names_the_queue_however_far(spark):
+    """The queue ended ten minutes before: it adds nothing to the score and is still the method. Abandoned completions do not count."""
+    rows = [("v1", "entry", 0), ("v1", "queue_completed", 600, {"queue": "q"}), ("v1", "exit", 1205)]
+    how = {"least": 0.45}
+    for flag, method in ((F.lit(None).cast("boolean"), "session_exit_time"), (F.lit(True), "session_exit_time"), (F.lit(False), "queue_exit_time")):
+        e, sold, who, _ = correlated(spark, rows, [("o", 1210)], abandoned=flag)
+        (r,) = pos.correlate(sold, sessions.visit_sessions(e), e, who, **how).collect()
+        assert (r.status, r.method) == ("MATCHED", method)
+
+
+def test_replaced_correlations_keep_two_runs(spark, seed, tmp_path):
+    import os
+
+    path, cor = str(tmp_path / "cor"), seed[5]
+    with pytest.raises(FileNotFoundError):
+        pos.read_correlations(spark, path)
+    for n in (0, 1, 2, 3):
+        pos.replace_correlations(cor.limit(n), path)
+        assert pos.read_correlations(spark, path).count() == n
+    assert sorted(x for x in os.listdir(f"{path}/runs") if x.startswith("run")) == ["run=3", "run=4"]
+
+
+def test_camera_configuration(spark):
+    cameras = spark.createDataFrame([("c1", "BILLING", None), ("c2", "ENTRY", 5.0), ("c3", "OFFICE", None)], "camera_id string, role string, sample_fps double")
+    cameras = cameras.selectExpr("*", "cast(null as double) confidence_threshold", "cast(null as int) queue_completion_seconds", "90 as queue_abandonment_seconds")
+    square = '{"points": [{"x": 0, "y": 0}, {"x": 1, "y": 0}, {"x": 1, "y": 1}]}'
+    kind = "camera_id string, zone_id string, geometry_kind string, geometry_json string, created_at int"
+    coverage = [("c1", "z1", "polygon", square, 1), ("c1", "z2", "polygon", square, 2), ("c2", None, "line", '{"axis": "x", "position": 0.2}', 1), ("c2", None, "line", '{"axis": "y", "position": 0.4, "inside_greater_than_position": false}', 3)]
+    zones = spark.createDataFrame([("z1", "Office", "STAFF_AREA"), ("z2", "Till", "BILLING")], "zone_id string, name string, type string")
+    got = {r.camera_id: r for r in tracks.camera_configs(cameras, spark.createDataFrame(coverage, kind), zones).collect()}
+    assert set(got) == {"c1", "c2"} and got["c1"].queue_zone_id == "z2" and [z.zone_id for z in got["c1"].zones] == ["z1", "z2"]
+    assert tuple(got["c2"].entry_line) == ("y", 0.4, False) and (got["c2"].sample_fps, got["c1"].sample_fps, got["c1"].queue_completion_seconds, got["c1"].queue_abandonment_seconds) == (5.0, 2.0, 45, 90)
+    with pytest.raises(Exception, match="unknown geometry kind: circle"):
+        tracks.camera_configs(cameras, spark.createDataFrame([("c1", "z1", "circle", "{}", 1)], kind), zones).collect()
+
+
+def test_maps_jobs_and_summaries(spark, tmp_path):
+    maps = spark.createDataFrame([("S1", "m1", "a.png", True, 1), ("S1", "m2", "b.png", True, 2), ("S1", "m3", "c.png", False, 3), ("S2", "m4", "d.png", False, 1)], "store_id string, map_id string, file_path string, is_active boolean, created_at int")
+    assert [tuple(r) for r in spatial.active_map(maps).collect()] == [("S1", "m2", "b.png")]
+    jobs = spark.createDataFrame([("S1", f"j{k}", k // 2) for k in range(30)] + [("S2", "x", 99)], "store_id string, job_id string, created_at int")
+    assert [r.job_id for r in replay.newest_jobs(jobs, "S1", 3).collect()] == ["j29", "j28", "j27"]
+    feeds.write_summary(spark.createDataFrame([("S1", 3)], "store_id string, frames int"), str(tmp_path / "s"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "s")).select("store_id", "frames").collect()] == [("S1", 3)]
+
+
+def test_several_people_in_a_frame(spark):
+    rows = [("S", "C", "v", t, f) for t, f in (("a", 1), ("b", 1), ("b", 1), ("c", 1), ("a", 2), ("c", 3))]
+    r = tracks.run_statistics(spark.createDataFrame(rows, "store_id string, camera_id string, video string, track_id string, frame int")).first()
+    assert (r.frames, r.detections, r.max_people, r.unique_tracks) == (3, 6, 3, 3)
+
+
 def test_heatmap_clamps(spark):
     got = spatial.heatmap(events(spark, [("a", "entry", 0, {"x": 1.5, "y": -1.0}), ("b", "entry", 0, {"x": 1.0, "y": 0.0}), ("c", "entry", 0, {"x": 0.5, "y": 0.5}), ("d", "entry", 0)])).collect()
     assert sorted((r.row, r.col, r["count"], r.intensity) for r in got) == [(0, 23, 2, 1.0), (12, 12, 1, 0.5)]
@@ -338,9 +439,14 @@ def test_sales_rows_are_numbered_over_splits(spark, tmp_path):
 
 def test_archive_and_snapshots(spark, tmp_path):
     t = lambda h: dt.datetime(2024, 1, 1, h)
-    rows = [("S1", '{"event_time": "2024-01-01T09:00:00Z"}', t(12)), ("S1", "no json", t(11)), ("S1", '{"event_timestamp": "2024-01-01T08:00:00Z"}', t(13)), ("S2", "{}", t(1)), ("S1", '{"timestamp": "soon"}', t(10))]
-    spark.createDataFrame(rows, "store_id string, payload_json string, received_at timestamp").write.parquet(str(tmp_path / "raw"))
-    assert [r.arrival.hour for r in feeds.read_archive(spark, str(tmp_path / "raw"), "S1").collect()] == [13, 12, 10, 11]
+    rows = [("S1", '{"event_type": "zone_entered", "event_time": "2024-01-01T09:00:00Z"}', t(12)), ("S1", "no json", t(11)), ("S1", '{"event_type": "exit", "event_timestamp": "2024-01-01T08:00:00Z"}', t(13)), ("S2", "{}", t(1)),
+            ("S1", '{"event_type": "ENTRY", "timestamp": "soon"}', t(10)), ("S1", '{"event_type": "queue_completed", "event_time": "2024-01-01T01:00:00", "queue_join_ts": "2024-01-01T02:00:00", "queue_exit_ts": "2024-01-01T08:30:00"}', t(14))]
+    spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, store_id string, payload_json string, received_at timestamp").write.parquet(str(tmp_path / "raw"))
+    hours = lambda **how: [r.arrival.hour for r in feeds.read_archive(spark, str(tmp_path / "raw"), "S1", **how).collect()]
+    assert hours() == [13, 14, 12, 10, 11]
+    # Both ends of a range are inside; receipts without a time are in every range.
+    assert hours(start=F.lit(t(8)).cast("timestamp_ntz"), end=F.lit(dt.datetime(2024, 1, 1, 8, 30)).cast("timestamp_ntz")) == [13, 14, 10, 11]
+    assert hours(ids=spark.createDataFrame([(0,), (1,), (3,)], "id long")) == [12, 11]
     (tmp_path / "snaps.jsonl").write_text('{"store_id":"S","camera_id":"C","video_path":"v","track_id":"2","frame_index":5}\n{"store_id":"S","camera_id":"C","video_path":"v","track_id":"1","frame_index":3}\n{"broken"\n')
     assert [r.frame_index for r in feeds.read_snapshots(spark, str(tmp_path / "snaps.jsonl")).collect()] == [3, 5]
 
