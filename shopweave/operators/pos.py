@@ -93,7 +93,8 @@ def correlate(transactions: DataFrame, visits: DataFrame, events: DataFrame, ent
         raise ValueError("candidates without a queue or exit hit could be kept: least - margin must exceed 0.30")
     people = eligible_visits(visits, events, entities)
     per = Window.partitionBy("store_id", "order_id")
-    scored = score_candidates(transactions, people).withColumn("best", F.max("score").over(per))
+    # No candidate under least - margin can be kept, so those go before the scores of a transaction are brought together.
+    scored = score_candidates(transactions, people).where(F.col("score") >= least - margin - 1e-9).withColumn("best", F.max("score").over(per))
     kept = scored.where((F.col("best") >= least) & (F.col("best") - F.col("score") <= margin + 1e-9))
     order = per.orderBy(F.desc("score"), "entry_time", "entity_id", "session_no")
     kept = kept.withColumns({"candidates": F.count("*").over(per), "rank": F.row_number().over(order)})

@@ -39,11 +39,11 @@ def visit_sessions(events: DataFrame) -> DataFrame:
     return visits.withColumns({"dwell_seconds": seconds(F.col("entry_time"), F.col("exit_time")), "status": F.when(F.col("exit_time").isNotNull(), "completed").otherwise("open")})
 
 
-def reentries(visits: DataFrame, events: DataFrame, *, days: int = 365) -> DataFrame:
+def reentries(visits: DataFrame, events: DataFrame, *, days: int = 365, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Visits opened by an entry event within ``days`` of the end of the entity's previous visit."""
-    opener = events.groupBy(*VISIT).agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("opened_by"))
-    order = Window.partitionBy(*ENTITY).orderBy("session_no")
-    last = visits.withColumns({"previous_session_no": F.lag("session_no").over(order), "previous_exit": F.lag("exit_time").over(order)})
+    opener = events.groupBy(*VISIT).agg(F.min_by("event_type", F.struct(*order)).alias("opened_by"))
+    visit = Window.partitionBy(*ENTITY).orderBy("session_no")
+    last = visits.withColumns({"previous_session_no": F.lag("session_no").over(visit), "previous_exit": F.lag("exit_time").over(visit)})
     gap = seconds(F.col("previous_exit"), F.col("entry_time"))
     return (last.join(opener, list(VISIT)).where((F.col("opened_by") == "entry") & gap.between(0, days * 86400))
             .select(*VISIT, "entry_time", "previous_session_no", "previous_exit", gap.alias("gap_seconds")))
@@ -70,15 +70,15 @@ STORE_SCOPE = "__STORE_SCOPED__"
 def resolve_identities(events: DataFrame, *, arrival: str = "event_id") -> DataFrame:
     """One row for each (store, camera or the store's sentinel, source field, source value).
 
-    ``events`` has source_field, source_value, camera_scoped, is_staff and the attributes gender, age,
+    ``events`` has source_field, source_value, camera_scoped, is_staff and the attributes gender, age, age_bucket,
     group_id and group_size. Attributes are those of the first arrival; one sighting as staff makes the
     identity staff for good. First and last sightings go by arrival, not by event time.
     """
     scope = F.when(F.col("camera_scoped"), F.col("camera_id")).otherwise(F.lit(STORE_SCOPE))
-    first = lambda c: F.min_by(c, arrival).alias(c)
+    first = lambda c: F.min_by(F.struct(c), arrival)[c].alias(c)  # noqa: E731  the first one's, null or not
     staff = F.coalesce("is_staff", F.lit(False))
     out = events.withColumn("scope", scope).groupBy("store_id", "scope", "source_field", "source_value").agg(
-        F.min_by("ts", arrival).alias("first_seen_at"), F.max_by("ts", arrival).alias("last_seen_at"), F.bool_or(staff).alias("is_staff"), *[first(c) for c in ("gender", "age", "group_id", "group_size")])
+        F.min_by("ts", arrival).alias("first_seen_at"), F.max_by("ts", arrival).alias("last_seen_at"), F.bool_or(staff).alias("is_staff"), *[first(c) for c in ("gender", "age", "age_bucket", "group_id", "group_size")])
     flagged = F.col("is_staff")
     return out.withColumns({"staff_confidence": F.when(flagged, 1.0).otherwise(0.0), "staff_reason": F.when(flagged, "source marked as staff")})
 

@@ -13,14 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pos, sessions
+from ..sources.facts import FactTable
+from ..sources.storage import children, new_path
 
 ORIGIN = "2024-01-01 00:00:00"
 START, END = "2024-01-01 02:00:00", "2024-01-01 08:00:00"
 
 
+#: (application, driver folder, table) -> where this application has stored it.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 @dataclass
 class Retail:
-    """Lazy retail tables of one folder of driver tables."""
+    """Lazy retail tables of one folder of driver tables.
+
+    Events and correlations are ingested once an application, as a service's database would hold them, and
+    read by all queries from then on: events from a bucketed fact table.
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -43,10 +53,26 @@ class Retail:
             ((F.col("k") * 7) % 400).cast("int").alias("wait_seconds"), (F.col("k").cast("double") / 100).alias("hotspot_x"),
             ((F.floor("value") % 100).cast("double") / 100).alias("hotspot_y"), "value", "k", F.when(kind == "queue_completed", F.col("event_id") % 7 == 0).when(kind == "queue_abandoned", True).alias("abandoned"), (F.col("event_type") == "purchase").alias("is_purchase"))
 
+    def _stored(self, name: str, make) -> str:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED or not children(self.spark, _STORED[key]):  # the shared folder may have been cleared
+            _STORED[key] = make()
+        return _STORED[key]
+
+    def ingest(self) -> str:
+        """The mapped events in a new fact table, as many buckets as the session's shuffles have partitions."""
+        path, rows = new_path(self.spark, "facts"), self.raw.withColumn("source_event_id", F.col("event_id").cast("string"))
+        FactTable.create(self.spark, path, rows.schema, buckets=int(self.spark.conf.get("spark.sql.shuffle.partitions"))).append(rows, arrival="event_id")
+        return path
+
+    @cached_property
+    def facts(self) -> FactTable:
+        return FactTable(self.spark, self._stored("facts", self.ingest))
+
     @cached_property
     def events(self) -> DataFrame:
-        """Events with the number of their visit."""
-        return sessions.number_sessions(self.raw)
+        """Stored events with the number of their visit."""
+        return sessions.number_sessions(self.facts.read().drop("source_event_id"))
 
     @cached_property
     def entities(self) -> DataFrame:
@@ -70,9 +96,21 @@ class Retail:
         return sale.select("store_id", F.concat(F.lit("O"), "event_id").alias("order_id"), F.col("k").cast("string").alias("product_id"), F.col("value").alias("amount"))
 
     @cached_property
-    def correlations(self) -> DataFrame:
+    def correlated(self) -> DataFrame:
+        """The correlations, worked out anew."""
         return pos.correlate(self.transactions, self.visits, self.events, self.entities)
 
+    @cached_property
+    def correlations(self) -> DataFrame:
+        """The stored correlations."""
+
+        def store() -> str:
+            path = new_path(self.spark, "correlations")
+            pos.replace_correlations(self.correlated, path)
+            return path
+
+        return pos.read_correlations(self.spark, self._stored("correlations", store))
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """One sighting per event: track = visitor, camera = store, frame = arrival rank."""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import journeys, live, metrics, normalize, people, pos, replay, rules, sessions, spatial, tracks
+from ..operators import ingest, journeys, live, metrics, normalize, people, pos, replay, rules, sessions, spatial, tracks
 from ..sources import feeds
+from ..sources.facts import FactTable
 from ..sources.storage import materialize, new_path
 from .adapter import BASE_SQL, END, START, Retail
 
@@ -174,7 +175,7 @@ def _(r):
 
 
 def store_metrics(r: Retail) -> DataFrame:
-    return metrics.store_metrics(r.events, r.visits, r.entities, r.correlations, r.transactions, r.items)
+    return metrics.metrics_of_visits(metrics.visit_facts(r.events), r.entities, r.correlations, r.transactions, r.items)
 
 
 @query("agg14_store_metrics", FULL_SQL + " SELECT * FROM met")
@@ -322,15 +323,15 @@ def _(r):
 
 @query("cor5_correlations", COR_SQL + " SELECT * FROM cor")
 def _(r):
-    return r.correlations
+    return r.correlated
 
 
 @query("cor7_replaced_correlations", COR_SQL + " SELECT store_id, status, count(*) AS n FROM cor GROUP BY ALL")
 def _(r):
     """Two replacements of the stored table: the second one's rows are read."""
     path = new_path(r.spark, "correlations")
-    pos.replace_correlations(r.correlations.limit(0), path)
-    pos.replace_correlations(r.correlations, path)
+    pos.replace_correlations(r.correlated.limit(0), path)
+    pos.replace_correlations(r.correlated, path)
     return pos.read_correlations(r.spark, path).groupBy("store_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -858,8 +859,8 @@ def _(r):
     passage = F.col("event_type").isin("entry", "exit")
     none = F.lit(None).cast("string")
     e = r.raw.withColumns({"source_field": F.when(passage, "id_token").otherwise("track_id"), "source_value": F.col("entity_id"), "camera_scoped": ~passage, "is_staff": F.col("k") % 11 == 0,
-                           "gender": none, "age": F.col("k"), "group_id": none, "group_size": none})
-    return sessions.resolve_identities(e).drop("gender", "group_id", "group_size", "staff_reason")
+                           "gender": none, "age": F.col("k"), "age_bucket": none, "group_id": none, "group_size": none})
+    return sessions.resolve_identities(e).drop("gender", "age_bucket", "group_id", "group_size", "staff_reason")
 
 
 @query("geo1_footpoints", """
@@ -883,6 +884,54 @@ def _(r):
     return feeds.read_events(r.spark, path).groupBy("store_id", "event_date").agg(F.count("*").alias("n"))
 
 
+@query("snk1_bucketed_facts", """
+SELECT store_id, entity_id, session_no, event_id, ts FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'exit' THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, entity_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS session_no FROM raw)""")
+def _(r):
+    """Two overlapping feeds into one table, the second one twice; visits are numbered without a shuffle."""
+    rows = r.raw.withColumn("source_event_id", F.col("event_id").cast("string"))
+    table = FactTable.create(r.spark, new_path(r.spark, "facts"), rows.schema, buckets=8)
+    table.append(rows.where("event_id % 3 <> 0"), arrival="event_id")
+    for _ in range(2):
+        table.append(rows.where("event_id % 2 = 0 OR event_id % 3 = 0"), arrival="event_id")
+    return sessions.number_sessions(table.read()).select("store_id", "entity_id", "session_no", "event_id", "ts")
+
+
+INGEST_SQL = PARSED_SQL + f"""
+, fe AS (SELECT * FROM nk QUALIFY row_number() OVER (PARTITION BY store_id, source_event_id ORDER BY arrival) = 1),
+sc AS (SELECT *, CASE WHEN camera_scoped THEN camera_id ELSE '__STORE_SCOPED__' END AS scope FROM fe),
+ee AS (SELECT *, {uuid_sql(ingest.NAMESPACE, "store_id", "scope", "source_field", "source_value")} AS entity_id FROM sc),
+ns AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'exit' THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, entity_id ORDER BY ts, source_event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS session_no FROM ee),
+nv AS (SELECT store_id, entity_id, session_no, min(ts) AS entry_time, max(CASE WHEN event_type = 'exit' THEN ts END) AS exit_time, arg_min(event_type, struct_pack(t := ts, k := source_event_id)) AS opened_by FROM ns GROUP BY ALL),
+nl AS (SELECT *, lag(session_no) OVER w AS p, date_trunc('second', lag(exit_time) OVER w) AS px, lag(exit_time) OVER w AS pe FROM nv WINDOW w AS (PARTITION BY store_id, entity_id ORDER BY session_no))"""
+ELAPSED = "CAST(trunc(date_diff('microsecond', {}, {}) / 1000000.0) AS BIGINT)"
+
+
+@query("ing1_visits_of_a_feed", INGEST_SQL + f"""
+SELECT store_id, entity_id, session_no, entry_time, exit_time, {ELAPSED.format('entry_time', 'exit_time')} AS dwell_seconds, CASE WHEN exit_time IS NULL THEN 'open' ELSE 'completed' END AS status,
+  CASE WHEN opened_by = 'entry' AND {ELAPSED.format('pe', 'entry_time')} BETWEEN 0 AND 365 * 86400 THEN p END AS previous_session_no,
+  CASE WHEN opened_by = 'entry' AND {ELAPSED.format('pe', 'entry_time')} BETWEEN 0 AND 365 * 86400 THEN {ELAPSED.format('pe', 'entry_time')} END AS gap_seconds FROM nl""")
+def _(r):
+    """JSON lines to visits: parsed, first arrivals, identities, stored in two batches, numbered, re-entries found."""
+    events = materialize(ingest.accepted(normalize.parse(r.lines)), "accepted")
+    table = FactTable.create(r.spark, new_path(r.spark, "facts"), events.schema, buckets=8)
+    for part in (0, 1):
+        table.append(events.where(F.col("arrival") % 2 == part))
+    return ingest.visits(table.read())
+
+
+@query("ing2_alias_dimension", INGEST_SQL + """
+SELECT store_id, scope, source_field, source_value, entity_id, arg_min(ts, arrival) AS first_seen_at, arg_max(ts, arrival) AS last_seen_at, bool_or(is_staff) AS is_staff,
+  arg_min(gender, arrival) AS gender, arg_min(age, arrival) AS age, arg_min(age_bucket, arrival) AS age_bucket FROM ee GROUP BY ALL""")
+def _(r):
+    """The dimension after three batches in order of arrival."""
+    events = materialize(ingest.accepted(normalize.parse(r.lines)), "accepted")
+    known = None
+    for low, high in ((None, 2000), (2000, 6000), (6000, None)):
+        batch = events.where(F.lit(True) if low is None else F.col("arrival") >= low).where(F.lit(True) if high is None else F.col("arrival") < high)
+        known = materialize(ingest.merge_aliases(known, batch), "aliases")
+    return known.select("store_id", "scope", "source_field", "source_value", "entity_id", "first_seen_at", "last_seen_at", "is_staff", "gender", "age", "age_bucket")
+
+
 @query("src1_jsonl_feed", PARSED_SQL + " SELECT event_type, count(*) AS n, count(DISTINCT source_event_id) AS keys FROM nk GROUP BY ALL")
 def _(r):
     path = new_path(r.spark, "feed")

@@ -49,6 +49,20 @@ def remove(spark: SparkSession, *paths: str) -> None:
         system.delete(folder, True)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; fails if there is one."""
+    system, file = _folder(spark, path)
+    out = system.create(file, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def mark() -> int:
     """The tables made so far; see :func:`release`."""
     return len(_made)
