@@ -36,10 +36,18 @@ def current_queue(events: DataFrame, entities: DataFrame, at: DataFrame, finishe
 def queue_metrics(events: DataFrame, entities: DataFrame, start: Column, end: Column) -> DataFrame:
     """Terminals in [start, end): counts, abandonment rate, mean and exact median wait (null if none)."""
     done = customers(events.where(F.col("event_type").isin(*TERMINAL) & (F.col("ts") >= start) & (F.col("ts") < end)), entities)
-    out = done.groupBy("store_id").agg(
-        F.count(F.when(F.col("event_type") == "queue_completed", 1)).alias("completed"), F.count(F.when(F.col("event_type") == "queue_abandoned", 1)).alias("abandoned"),
-        F.sum("wait_seconds").alias("_w"), F.count("wait_seconds").alias("_n"), F.median("wait_seconds").alias("median_wait_seconds"))
-    return out.select("store_id", "completed", "abandoned", rate(F.col("abandoned"), F.col("completed") + F.col("abandoned")).alias("abandonment_rate"), mean(F.col("_w"), F.col("_n")).alias("mean_wait_seconds"), "median_wait_seconds")
+    # A row for each wait of a store: counts, sums and the median all follow from these.
+    waits = done.groupBy("store_id", "wait_seconds").agg(F.count(F.when(F.col("event_type") == "queue_completed", 1)).alias("completed"), F.count(F.when(F.col("event_type") == "queue_abandoned", 1)).alias("abandoned"))
+    n = F.col("completed") + F.col("abandoned")
+    order, store = Window.partitionBy("store_id").orderBy("wait_seconds"), Window.partitionBy("store_id")
+    timed = F.when(F.col("wait_seconds").isNotNull(), n).otherwise(0)
+    ranked = waits.withColumns({"_n": timed, "_upto": F.sum(timed).over(order), "_all": F.sum(timed).over(store)})
+    holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+    middle = lambda rank: F.max(F.when(holds(rank), F.col("wait_seconds"))).cast("double")
+    out = ranked.groupBy("store_id").agg(
+        F.sum("completed").alias("completed"), F.sum("abandoned").alias("abandoned"), F.sum(F.col("wait_seconds") * F.col("_n")).alias("_w"), F.sum("_n").alias("_waits"),
+        ((middle(F.floor((F.col("_all") - 1) / 2)) + middle(F.floor(F.col("_all") / 2))) / 2).alias("median_wait_seconds"))
+    return out.select("store_id", "completed", "abandoned", rate(F.col("abandoned"), F.col("completed") + F.col("abandoned")).alias("abandonment_rate"), mean(F.col("_w"), F.col("_waits")).alias("mean_wait_seconds"), "median_wait_seconds")
 
 
 def occupancy_at(visits: DataFrame, entities: DataFrame, at: DataFrame) -> DataFrame:
@@ -63,14 +71,25 @@ def spine(stores: DataFrame, start: Column, end: Column, minutes: int, *, with_e
 
 
 def occupancy_series(visits: DataFrame, entities: DataFrame, stores: DataFrame, start: Column, end: Column, minutes: int = 60) -> DataFrame:
-    """Distinct customers at start, start + b, ... and ``end``: each visit is spread over the samples it covers."""
+    """Distinct customers at start, start + b, ... and ``end``.
+
+    Each entity's visits are merged to runs of samples that it covers without a gap; a run steps up at its first
+    sample and down behind its last, and the steps add up along the samples. Rows are two a visit at most.
+    """
     width = minutes * 60
     last = F.floor(seconds(start, end) / width)
     ceil = lambda c: F.ceil(seconds(start, c) / width)
     v = customers(visits, entities).where((F.col("entry_time") <= end) & (F.col("exit_time").isNull() | (F.col("exit_time") > start)))
     v = v.select(*ENTITY, F.greatest(F.lit(0).cast("long"), ceil(F.col("entry_time"))).alias("lo"), F.least(last, F.coalesce(ceil(F.col("exit_time")) - 1, last)).alias("hi")).where("lo <= hi")
-    counts = v.select(*ENTITY, F.explode(F.sequence("lo", "hi")).alias("bucket")).distinct().groupBy("store_id", "bucket").agg(F.count("*").alias("occupancy"))
-    return spine(stores, start, end, minutes, with_end=True).join(counts, ["store_id", "bucket"], "left").select("store_id", F.col("bucket_start").alias("sample_time"), F.coalesce("occupancy", F.lit(0)).alias("occupancy"))
+    order = Window.partitionBy(*ENTITY).orderBy("lo", "hi")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    v = v.withColumn("_new", (reached.isNull() | (F.col("lo") > reached + 1)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = v.groupBy(*ENTITY, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    step = lambda at, by: F.struct(at.alias("bucket"), F.lit(by).alias("step"))
+    steps = runs.select("store_id", F.inline(F.array(step(F.col("lo"), 1), step(F.col("hi") + 1, -1)))).groupBy("store_id", "bucket").agg(F.sum("step").alias("step"))
+    along = Window.partitionBy("store_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return spine(stores, start, end, minutes, with_end=True).join(steps, ["store_id", "bucket"], "left").select(
+        "store_id", F.col("bucket_start").alias("sample_time"), F.sum(F.coalesce("step", F.lit(0))).over(along).alias("occupancy"))
 
 
 def average_occupancy(series: DataFrame) -> DataFrame:

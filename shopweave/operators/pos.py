@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import seconds
-from ..sources.storage import children, remove
+from ..sources.storage import children, materialize, remove
 from .metrics import customers
 from .sessions import VISIT
 
@@ -59,20 +61,21 @@ def eligible_visits(visits: DataFrame, events: DataFrame, entities: DataFrame) -
     return customers(visits, entities).join(queue, list(VISIT), "left").withColumn("queue_abandoned", F.coalesce("queue_abandoned", F.lit(False)))
 
 
-def score_candidates(transactions: DataFrame, visits: DataFrame) -> DataFrame:
+def score_candidates(transactions: DataFrame, visits: DataFrame, *, exit_reach: int = EXIT_WINDOW) -> DataFrame:
     """(transaction, visit) pairs near enough in time, each with its score.
 
     Without a queue or exit hit a score cannot reach a kept candidate's, so pairs are met
     through time buckets of those two windows, never through a store's full product.
+    Pairs without a queue hit are left out beyond ``exit_reach`` seconds from the exit.
     """
-    width = EXIT_WINDOW
+    width = max(QUEUE_WINDOW, exit_reach)
     origin = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
     bucket = lambda c: F.floor(seconds(origin, c) / width)
     marks = F.array_distinct(F.filter(F.concat(*[F.array(bucket(F.col(c)) - 1, bucket(F.col(c)), bucket(F.col(c)) + 1) for c in ("queue_time", "exit_time")]), lambda x: x.isNotNull()))
     v = visits.select(*VISIT, "entry_time", "exit_time", "queue_time", "queue_abandoned", F.explode(marks).alias("bucket"))
     t = transactions.select("store_id", "order_id", F.col("ts").alias("txn_time"), bucket(F.col("ts")).alias("bucket"))
     gap = lambda c: F.abs(seconds(F.col(c), F.col("txn_time")))
-    near = (F.coalesce(gap("queue_time") <= QUEUE_WINDOW, F.lit(False))) | F.coalesce(gap("exit_time") <= EXIT_WINDOW, F.lit(False))
+    near = (F.coalesce(gap("queue_time") <= QUEUE_WINDOW, F.lit(False))) | F.coalesce(gap("exit_time") <= exit_reach, F.lit(False))
     pairs = t.join(v, ["store_id", "bucket"]).where(near).drop("bucket")
     last = F.coalesce("exit_time", "entry_time")
     outside = F.when(F.col("txn_time") < F.col("entry_time"), seconds(F.col("txn_time"), F.col("entry_time"))).when(F.col("txn_time") > last, seconds(last, F.col("txn_time"))).otherwise(0)
@@ -93,12 +96,15 @@ def correlate(transactions: DataFrame, visits: DataFrame, events: DataFrame, ent
         raise ValueError("candidates without a queue or exit hit could be kept: least - margin must exceed 0.30")
     people = eligible_visits(visits, events, entities)
     per = Window.partitionBy("store_id", "order_id")
-    # No candidate under least - margin can be kept, so those go before the scores of a transaction are brought together.
-    scored = score_candidates(transactions, people).where(F.col("score") >= least - margin - 1e-9).withColumn("best", F.max("score").over(per))
+    # No candidate under least - margin can be kept, so those go before the scores of a transaction are brought together;
+    # without a queue hit, 0.20 + 0.10 and at most 0.25 for the exit make up the score (four digits, hence 0.0001).
+    reach = min(EXIT_WINDOW, math.ceil(EXIT_WINDOW * (1 - (least - margin - 0.0001 - 0.30) / 0.25)))
+    scored = score_candidates(transactions, people, exit_reach=max(0, reach)).where(F.col("score") >= least - margin - 1e-9).withColumn("best", F.max("score").over(per))
     kept = scored.where((F.col("best") >= least) & (F.col("best") - F.col("score") <= margin + 1e-9))
     order = per.orderBy(F.desc("score"), "entry_time", "entity_id", "session_no")
     kept = kept.withColumns({"candidates": F.count("*").over(per), "rank": F.row_number().over(order)})
     found = kept.select("store_id", "order_id", "entity_id", "session_no", F.when(F.col("candidates") == 1, "MATCHED").otherwise("AMBIGUOUS").alias("status"), "score", "method", "candidates", "rank")
+    found = materialize(found, "matches")  # three branches read them
     none = lambda frame, method, **own: frame.select("store_id", *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("order_id", "string"), ("entity_id", "string"), ("session_no", "long"))], F.lit("UNMATCHED").alias("status"), F.lit(0.0).alias("score"), F.lit(method).alias("method"), F.lit(0).cast("long").alias("candidates"), F.lit(0).alias("rank"))
     sales = none(transactions.join(found.select("store_id", "order_id").distinct(), ["store_id", "order_id"], "left_anti"), "no_eligible_visitor", order_id=F.col("order_id"))
     idle = none(people.join(found.select(*VISIT).distinct(), list(VISIT), "left_anti"), "no_eligible_transaction", entity_id=F.col("entity_id"), session_no=F.col("session_no"))

@@ -127,6 +127,17 @@ class Retail:
 
     @cached_property
     def lines(self) -> DataFrame:
+        """The stored feed: (value, arrival)."""
+
+        def store() -> str:
+            path = new_path(self.spark, "feed")
+            self.made_lines.write.parquet(path)
+            return path
+
+        return self.spark.read.schema("value string, arrival long").parquet(self._stored("feed", store))
+
+    @cached_property
+    def made_lines(self) -> DataFrame:
         """The events as an ingest feed of JSON lines of all families; every 17th lacks its store, every 23rd is not JSON.
 
         Three of four times have a fraction of a second. Queue lines have no time but those of the queue, and tell

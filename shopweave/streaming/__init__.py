@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..operators import normalize
+from ..sources.storage import children, remove
 
 LATE = "10 minutes"
 
@@ -47,50 +48,113 @@ def hourly_counts(events: DataFrame, *, width: str = "1 hour", late: str = LATE,
     return counts.select("store_id", F.col("window.start").cast("timestamp_ntz").alias("bucket_start"), *kinds)
 
 
-def _buffered(schema_out: str, columns: list[str], step, start: list, finish, idle: int):
-    """A stateful function that holds rows until the watermark passes them, then takes them in event time.
+class LateRows(StreamingQueryListener):
+    """Counts, for each query of the session, the rows that windows and deduplication dropped behind the watermark.
 
-    ``step(state, row) -> (state, outputs)``; ``state`` is a list that JSON can hold. Rows that come after the
-    watermark has passed them are dropped and counted: each output tells how many its key has lost so far.
-    A key without rows for ``idle`` seconds of event time gives ``finish(state)`` and is forgotten.
+    ``spark.streams.addListener(late := LateRows())``, then ``late.rows[query.id]``; a query without any has 0. Spark
+    counts rows after its partial aggregation, so several late rows of one window and task count once.
     """
-    import json
 
-    names = [c.split()[0] for c in schema_out.split(", ")]
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, own, late, last = json.loads(state.get[0]) if state.exists else ([], start, 0, 0)
-        mark = state.getCurrentWatermarkMs() * 1000
-        for pdf in () if state.hasTimedOut else frames:
-            for r in pdf[["ts", *columns]].itertuples(index=False, name=None):
-                at = int(pd.Timestamp(r[0]).value // 1000)
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        dropped = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        self.rows[str(event.progress.id)] = self.rows.get(str(event.progress.id), 0) + dropped
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+class InEventTime(StatefulProcessor):
+    """Holds the rows of a key until the watermark passes them, then takes them in event time.
+
+    ``step(own, row) -> (own, outputs)``: ``own`` is the key's own state, ``row`` (time in microseconds, *columns).
+    Each held row is an entry of its own in the state, with a timer at its time, so a trigger touches the rows that
+    come or fall due and no others. Rows that come after the watermark has passed them are dropped and counted: each
+    output tells how many its key has lost so far. A key without rows for ``idle`` seconds of event time gives
+    ``finish(own)`` and is forgotten.
+    """
+
+    def __init__(self, out: list[str], columns: list[str], kinds: str, own: str, step, start: tuple, finish, idle: int):
+        self.out, self.columns, self.kinds, self.kind_of_own = out, columns, kinds, own
+        self.step, self.start, self.finish, self.idle = step, start, finish, idle * 1000000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "at long, n long", self.kinds)
+        self.own = handle.getValueState("own", f"{self.kind_of_own}, late long, rows long, last long")
+
+    def _load(self) -> tuple[list, int, int, int]:
+        if not self.own.exists():
+            return list(self.start), 0, 0, 0
+        *own, late, rows, last = self.own.get()
+        return own, late, rows, last
+
+    def _output(self, key: tuple, made: list, late: int) -> Iterator[pd.DataFrame]:
+        if made:
+            yield pd.DataFrame([(*key, *m, late) for m in made], columns=self.out)
+
+    def _wake(self, at: int) -> None:
+        """A timer for when the watermark has passed ``at`` microseconds."""
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        own, late, number, last = self._load()
+        for pdf in rows:
+            for at, *fields in pdf[["at", *self.columns]].itertuples(index=False, name=None):
                 if at <= mark:
                     late += 1
-                else:
-                    held.append([at, *r[1:]])
-        ready, held = sorted(r for r in held if r[0] <= mark), [r for r in held if r[0] > mark]
-        out = []
-        for row in ready:
-            own, made = step(own, row)
-            out += made
-        last = max([last, *(r[0] for r in ready)])
-        ended = not held and last and mark >= last + idle * 1000000
-        if ended:
-            out += finish(own)
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps((held, own, late, last), default=int),))
-            due = min(held)[0] if held else (last or mark) + idle * 1000000
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *m, late) for m in out], columns=names) if out else pd.DataFrame({n: [] for n in names})
-
-    return run
-
-
-def _stateful(events: DataFrame, keys: list[str], columns: list[str], out: str, step, start: list, *, idle: int, finish=lambda own: []) -> DataFrame:
+                    continue
+                self.held.updateValue((int(at), number), tuple(None if pd.isna(x) else x for x in fields))
+                self._wake(int(at))
+                number += 1
+        if late and not number and not last:
+            self._wake(mark + self.idle)  # only late rows so far: the key is forgotten like others
+        self.own.update((*own, late, number, last))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        own, late, number, last = self._load()
+        ready = sorted(((k[0], *v), k) for k, v in self.held.iterator() if k[0] <= mark) if self.held.exists() else []
+        made: list = []
+        for row, place in ready:
+            own, out = self.step(own, row)
+            made += out
+            last = max(last, row[0])
+            self.held.removeKey(place)
+        if ready:
+            self._wake(last + self.idle)
+        elif not self.held.exists() and mark >= (last or mark) + (self.idle if last else 0):
+            made += self.finish(own) if last else []
+            self.own.clear()
+            yield from self._output(key, made, late)
+            return
+        self.own.update((*own, late, number, last))
+        yield from self._output(key, made, late)
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(events: DataFrame, keys: list[str], columns: dict[str, str], out: str, own: str, step, start: tuple, *, idle: int, finish=lambda own: []) -> DataFrame:
+    """Keyed state in RocksDB, which transformWithState needs; the session is told so."""
+    spark, rocks = events.sparkSession, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
     out = f"{out}, late_rows long"
-    return events.groupBy(*keys).applyInPandasWithState(_buffered(out, columns, step, start, finish, idle), out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    names = [c.split()[0] for c in out.split(", ")]
+    processor = InEventTime(names, list(columns), ", ".join(f"{n} {t}" for n, t in columns.items()), own, step, start, finish, idle)
+    rows = events.select(*keys, "ts", F.unix_micros("ts").alias("at"), *[F.col(n).cast(t) for n, t in columns.items()])
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime")
 
 
 def visits(events: DataFrame, *, late: str = LATE, idle: int = 365 * 86400) -> DataFrame:
@@ -108,8 +172,9 @@ def visits(events: DataFrame, *, late: str = LATE, idle: int = 365 * 86400) -> D
             return [number, entry, last_exit], []
         return [number + 1, None, at], [(number, entry, at, (at - entry) // 1000000, last_exit)]
 
-    out = "store_id string, entity_id string, session_no long, entry_us long, exit_us long, dwell_seconds long, previous_exit_us double"
-    return _stateful(timed(events, late=late), ["store_id", "entity_id"], ["event_id", "event_type"], out, step, [0, None, None], idle=idle)
+    out = "store_id string, entity_id string, session_no long, entry_us long, exit_us long, dwell_seconds long, previous_exit_us long"
+    own = "number long, entry long, last_exit long"
+    return _stateful(timed(events, late=late), ["store_id", "entity_id"], {"event_id": "long", "event_type": "string"}, out, own, step, (0, None, None), idle=idle)
 
 
 def queue_states(events: DataFrame, *, late: str = LATE, idle: int = 86400) -> DataFrame:
@@ -128,7 +193,8 @@ def queue_states(events: DataFrame, *, late: str = LATE, idle: int = 86400) -> D
         return [joined, ended], []
 
     chosen = timed(events, late=late).where(F.col("queue_event_id").isNotNull() & F.col("event_type").isin("billing_queue_join", "queue_completed", "queue_abandoned"))
-    return _stateful(chosen, ["store_id", "queue_event_id"], ["event_id", "event_type"], "store_id string, queue_event_id string, state string, at_us long", step, [None, None], idle=idle)
+    out = "store_id string, queue_event_id string, state string, at_us long"
+    return _stateful(chosen, ["store_id", "queue_event_id"], {"event_id": "long", "event_type": "string"}, out, "joined long, ended long", step, (None, None), idle=idle)
 
 
 def zone_visits(hits: DataFrame, *, grace: int = 0, late: str = LATE, idle: int = 3600) -> DataFrame:
@@ -155,7 +221,7 @@ def zone_visits(hits: DataFrame, *, grace: int = 0, late: str = LATE, idle: int
         return [] if entered is None else [(entered, last_in, last_in if left is None else left)]
 
     kind = "store_id string, track_id string, zone_id string, enter_us long, last_inside_us long, exit_us long"
-    return _stateful(timed(hits, late=late), ["store_id", "track_id", "zone_id"], ["frame", "inside"], kind, step, [None, None, None], idle=idle, finish=finish)
+    return _stateful(timed(hits, late=late), ["store_id", "track_id", "zone_id"], {"frame": "long", "inside": "boolean"}, kind, "entered long, last_in long, out_since long", step, (None, None, None), idle=idle, finish=finish)
 
 
 def track_feed(events: DataFrame, path: str, checkpoint: str):
@@ -172,6 +238,8 @@ def track_feed(events: DataFrame, path: str, checkpoint: str):
         if old is not None:
             new = new.unionByName(old).groupBy("store_id").agg(F.max("last_event").alias("last_event"))
         new.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}")  # a row a store, in one file
+        # The version before stays for readers that have begun, and for this batch should it run again.
+        remove(spark, *[f"{path}/{n}" for n in children(spark, path) if n.startswith("version=") and int(n.split("=")[1]) < number - 1])
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
