@@ -46,16 +46,50 @@ def line_crossings(sightings: DataFrame, *, axis: str = "x", position: float = 0
     return turns.withColumn("event_type", kind).select(*TRACK, "frame", "ts", "event_type")
 
 
+def zone_index(zones: DataFrame, *, most: int = 64) -> DataFrame:
+    """One row a camera: the box around its zones, cut into ``side`` times ``side`` cells, and each cell's zones.
+
+    ``cells`` is an array of arrays of (zone_id, polygon), row by row; the side grows with the root of the zones. A
+    zone is listed in every cell that its own box meets.
+    """
+    boxed = zones.where(F.size("polygon") >= 3).select(
+        "store_id", "camera_id", "zone_id", "polygon", *[f(F.col(f"polygon.{c}")).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
+    side = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(2 * F.sqrt(F.count("*"))))).cast("int")
+    frame = boxed.groupBy("store_id", "camera_id").agg(*[F.min(f"{c}0").alias(f"{c}_from") for c in "xy"], *[(F.max(f"{c}1") - F.min(f"{c}0")).alias(f"{c}_span") for c in "xy"], side.alias("side"))
+    cell = lambda value, c: F.when(F.col(f"{c}_span") > 0, F.least(F.col("side") - 1, F.floor((value - F.col(f"{c}_from")) / F.col(f"{c}_span") * F.col("side"))).cast("int")).otherwise(0)
+    spread = boxed.join(frame, ["store_id", "camera_id"])
+    for c in "xy":
+        spread = spread.withColumn(f"c{c}", F.explode(F.sequence(cell(F.col(f"{c}0"), c), cell(F.col(f"{c}1"), c))))
+    held = spread.groupBy("store_id", "camera_id", (F.col("cy") * F.col("side") + F.col("cx")).alias("cell")).agg(F.collect_list(F.struct("zone_id", "polygon")).alias("zones"))
+    found = held.groupBy("store_id", "camera_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "zones"))).alias("of_cell"))
+    return frame.join(found, ["store_id", "camera_id"]).withColumn("cells", F.transform(F.sequence(F.lit(0), F.col("side") * F.col("side") - 1), lambda k: F.element_at("of_cell", k))).drop("of_cell")
+
+
+def candidate_zones() -> Column:
+    """Of a sighting beside its camera's :func:`zone_index`: the zones (zone_id, polygon) that its cell lists; null for none."""
+    def cell(c: str) -> Column:
+        value = F.col(f"foot_{c}")
+        inside = value.between(F.col(f"{c}_from"), F.col(f"{c}_from") + F.col(f"{c}_span"))
+        return F.when(inside, F.when(F.col(f"{c}_span") > 0, F.least(F.col("side") - 1, F.floor((value - F.col(f"{c}_from")) / F.col(f"{c}_span") * F.col("side"))).cast("int")).otherwise(0))
+
+    return F.get("cells", cell("y") * F.col("side") + cell("x"))
+
+
 def zone_visits(sightings: DataFrame, zones: DataFrame, *, grace: int = 0) -> DataFrame:
     """One row a visit of a track in a zone.
 
     A run of outside sightings ends the visit once its last is ``grace`` seconds after the last
     inside one; the exit is stamped at its first. The trailing run ends the visit in any case,
     and a visit still inside at the end of data ends at its last inside sighting.
+
+    A sighting is tested against the zones of its grid cell only, and goes on for the zones that its track has been in.
     """
     key = [*TRACK, "zone_id"]
-    hits = sightings.join(F.broadcast(zones.select("store_id", "camera_id", "zone_id", "polygon")), ["store_id", "camera_id"])  # configuration rows
-    hits = hits.withColumn("inside", in_polygon(F.col("foot_x"), F.col("foot_y"), F.col("polygon"))).drop("polygon")
+    own = sightings.select(*TRACK, "frame", "ts", "foot_x", "foot_y").join(zone_index(zones), ["store_id", "camera_id"])
+    hit = F.filter(candidate_zones(), lambda z: in_polygon(F.col("foot_x"), F.col("foot_y"), z["polygon"]))
+    seen = own.select(*TRACK, "frame", "ts", F.transform(F.coalesce(hit, F.array()), lambda z: z["zone_id"]).alias("_in"))
+    entered = seen.where(F.size("_in") > 0).select(*TRACK, F.explode("_in").alias("zone_id")).distinct()
+    hits = seen.join(entered, list(TRACK)).withColumn("inside", F.array_contains("_in", F.col("zone_id"))).drop("_in")
     order = Window.partitionBy(*key).orderBy("ts", "frame")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     last_in = F.last(F.when(F.col("inside"), F.col("ts")), ignorenulls=True)
@@ -95,7 +129,7 @@ def queue_visits(visits: DataFrame, *, complete: int = COMPLETE_SECONDS, abandon
 def zone_events(visits: DataFrame, zones: DataFrame) -> DataFrame:
     """A ``zone_entered`` and a ``zone_exited`` event of each visit of a zone, with the zone's name and type."""
     ends = F.explode(F.array(*[F.struct(F.lit(kind).alias("event_type"), F.col(f"{end}_ts").alias("ts"), F.col(f"{end}_frame").alias("frame")) for kind, end in (("zone_entered", "enter"), ("zone_exited", "exit"))]))
-    named = visits.join(F.broadcast(zones.select("store_id", "camera_id", "zone_id", F.col("name").alias("zone_name"), F.col("type").alias("zone_type"))), ["store_id", "camera_id", "zone_id"])  # configuration rows
+    named = visits.join(zones.select("store_id", "camera_id", "zone_id", F.col("name").alias("zone_name"), F.col("type").alias("zone_type")), ["store_id", "camera_id", "zone_id"])
     return named.select(*TRACK, "zone_id", "zone_name", "zone_type", ends.alias("e")).select(*TRACK, "zone_id", "zone_name", "zone_type", "e.*")
 
 
@@ -137,7 +171,7 @@ def track_statistics(sightings: DataFrame) -> DataFrame:
 def staff_by_area(sightings: DataFrame, zones: DataFrame, *, frames: int = 10, share: float = 0.6) -> DataFrame:
     """Tracks with ``frames`` sightings or more in staff areas that are ``share`` or more of all its sightings."""
     areas = zones.where("type = 'STAFF_AREA'").groupBy("store_id", "camera_id").agg(F.collect_list("polygon").alias("areas"))
-    seen = sightings.join(F.broadcast(areas), ["store_id", "camera_id"], "left")  # configuration rows
+    seen = sightings.join(areas, ["store_id", "camera_id"], "left")
     inside = F.coalesce(F.exists("areas", lambda p: in_polygon(F.col("foot_x"), F.col("foot_y"), p)), F.lit(False))
     per = seen.groupBy(*TRACK).agg(F.count(F.when(inside, 1)).alias("staff_frames"), F.count("*").alias("frames"))
     out = per.withColumn("score", rate(F.col("staff_frames"), F.col("frames")))

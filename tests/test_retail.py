@@ -172,6 +172,58 @@ def test_groups_in_bounded_rounds(spark, monkeypatch):
     assert {(r.store_id, r.entity_id): (r.group_id, r.group_size) for r in got} == want
 
 
+def test_pairs_of_a_hot_store_are_cut_into_blocks(spark):
+    """One store with half of all visits, all in an hour: the same pairs as by comparing every two."""
+    rng, rows = random.Random(3), []
+    for n in range(400):
+        start, zone = rng.randint(0, 3600), rng.choice(["A", "B", "AB", ""])
+        rows.append(("S0" if n < 200 else f"S{n % 20}", f"p{n:03d}", 1, at(start), at(start + rng.randint(0, 900)), list(zone), [(rng.random(), rng.random())] if rng.random() < 0.8 else []))
+    kind = "store_id string, entity_id string, session_no long, entry_time timestamp_ntz, end_time timestamp_ntz, zones array<string>, spots array<struct<x: double, y: double>>"
+    want = set()
+    for i, p in enumerate(rows):
+        for q in rows[i + 1 :]:
+            close, common = abs((p[3] - q[3]).total_seconds()) <= 120, (min(p[4], q[4]) - max(p[3], q[3])).total_seconds() >= 180
+            zones = set(p[5]) | set(q[5])
+            alike = bool(zones) and 2 * len(set(p[5]) & set(q[5])) >= len(zones)
+            near = any((x - u) ** 2 + (y - v) ** 2 <= 0.18**2 for x, y in p[6] for u, v in q[6])
+            if p[0] == q[0] and (close or common) and close + common + alike + near >= 3:
+                want.add((p[0], p[1], q[1]))
+    profile = spark.createDataFrame(rows, kind)
+    assert len(want) > 100
+    for block in (2048, 16):
+        got = people.group_pairs(profile, block=block)
+        assert sorted((r.store_id, r.a_entity_id, r.b_entity_id) for r in got.collect()) == sorted(want)
+    assert all(r.a_entry_time == next(x[3] for x in rows if x[1] == r.a_entity_id) for r in got.collect())
+
+
+def test_groups_settle_in_few_rounds(spark, monkeypatch):
+    """Sparse matches of one big store: most seeds settle at once, in far fewer rounds than chunks."""
+    rng, rows, near, rounds = random.Random(5), set(), {}, []
+    for _ in range(6000):
+        a, b = sorted(rng.sample(range(9000), 2))
+        rows.add(("S1", f"p{a:05d}", 1, at(a), f"p{b:05d}", 1, at(b)))
+    for _, a, _, t, b, _, u in rows:
+        near.setdefault((t, a), []).append((u, b))
+        near.setdefault((u, b), []).append((t, a))
+    want, number = {}, 0
+    for t, seed in sorted(near):
+        if seed not in want:
+            names = {seed, *[x for _, x in sorted(near[t, seed]) if x not in want][:4]}
+            if len(names) > 1:
+                number += 1
+                want |= {x: (f"S1-GROUP-{number:03d}", len(names)) for x in names}
+    make = people.materialize
+
+    def counted(df, name):
+        rounds.append(name)
+        return make(df, name)
+
+    monkeypatch.setattr(people, "materialize", counted)
+    got = people.infer_groups(spark.createDataFrame(sorted(rows), PAIR), rows=200).collect()
+    assert {r.entity_id: (r.group_id, r.group_size) for r in got} == want
+    assert rounds.count("group-left") <= 2 * 8  # 60 chunks
+
+
 def test_staff_score(spark):
     e = sessions.number_sessions(events(spark, [("w", "entry", 0)] + [("w", "queue_completed", 100 + k, {"queue": f"q{k}"}) for k in range(3)] + [("w", "zone_entered", 200, {"zone": "staff_room"}), ("w", "exit", 4000)]))
     r = people.staff_scores(e, sessions.visit_sessions(e), entities(spark, w="solo")).first()
@@ -213,6 +265,31 @@ def test_zone_visits_equal_state_machine(spark):
         assert {(r.track_id, r.enter_ts, r.exit_ts) for r in tracks.zone_visits(snaps, zone, grace=grace).collect()} == want
 
 
+def test_zone_grid(spark):
+    """A thousand zones on a camera and odd polygons: the same zones as by testing all, from a few candidates a sighting."""
+    rng = random.Random(2)
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    zones = [("S", "C", f"z{i}-{j}", square(i / 32, j / 32, 1 / 32)) for i in range(32) for j in range(31)]
+    zones += [("S", "D", "tri", [(-2.0, -2.0), (3.0, 0.0), (0.0, 3.0)]), ("S", "D", "line", [(0.0, 0.0), (0.0, 1.0), (0.0, 2.0)]), ("S", "D", "two", [(0.0, 0.0), (1.0, 1.0)]), ("S", "D", "far", square(8.0, 8.0, 0.5))]
+    spots = [("S", c, "v", "t", k, at(k), rng.uniform(-0.2, 1.2), rng.uniform(-0.2, 1.2)) for k in range(400) for c in "CD"] + [("S", "D", "v", "t", 900, at(900), 8.2, 8.2), ("S", "E", "v", "t", 1, at(1), 0.5, 0.5), ("S", "C", "v", "t", 901, at(901), None, 0.1)]
+    area = spark.createDataFrame(zones, "store_id string, camera_id string, zone_id string, polygon array<struct<x: double, y: double>>")
+    seen = spark.createDataFrame(spots, "store_id string, camera_id string, video string, track_id string, frame int, ts timestamp_ntz, foot_x double, foot_y double")
+
+    def inside(x, y, polygon):
+        hit = False
+        for (ax, ay), (bx, by) in zip(polygon, polygon[-1:] + polygon[:-1], strict=True):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                hit = not hit
+        return hit
+
+    want = {(c, f, z) for _, c, _, _, f, _, x, y in spots for _, o, z, p in zones if c == o and x is not None and len(p) > 2 and inside(x, y, p)}
+    met = seen.join(tracks.zone_index(area), ["store_id", "camera_id"]).withColumn("zones", F.coalesce(tracks.candidate_zones(), F.array()))
+    found = met.select("camera_id", "frame", F.size("zones").alias("tests"), F.transform(F.filter("zones", lambda z: in_polygon(F.col("foot_x"), F.col("foot_y"), z["polygon"])), lambda z: z["zone_id"]).alias("hits")).collect()
+    assert {(r.camera_id, r.frame, z) for r in found for z in r.hits} == want and len(want) > 400
+    tests = [r.tests for r in found if r.camera_id == "C"]
+    assert sum(tests) / len(tests) < 3
+
+
 def test_expressions(spark):
     ns = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
     df = spark.createDataFrame([("a", 1, 1, 3, dt.datetime(2024, 1, 1, 0, 0, 0, 500000)), ("é", 22, 2, 0, T0)], "s string, n int, p int, w int, t timestamp_ntz")
