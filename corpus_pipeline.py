@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shopweave.llm import decontaminate, linededup, minhash, packing, quality
 from shopweave.llm.common import materialize, new_path, read_table
 from shopweave.llm.queries import quality_model, tokenizer_path
+from shopweave.sources.storage import mark, release, remove
 
 #: Ids that may be broadcast to drop them; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
@@ -88,10 +89,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's rows written as Parquet and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each stage's rows written as Parquet and read again.
+
+    What a stage has stored on its way goes once its rows are written, and those rows once the next stage's are;
+    so nothing else may store tables of the library in this process meanwhile.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
+        own = mark()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, since=own)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.storage import materialize, new_path, shared_dir
 
@@ -78,10 +79,11 @@ def windows_of(length: int, window: int, most: int | None = None) -> list[tuple[
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label: str, per_class: int, window: int, windows: int, classes: int = 1024) -> list[tuple[object, list[bytes]]]:
     """At most ``per_class`` documents of each label, each as at most ``windows`` byte windows.
 
-    The ids are drawn by hash before any text is read, so the driver gets
-    ``classes * per_class * windows * window`` bytes at most, whatever the corpus holds.
-    ``labels`` has ``id_col`` and ``label``; ids with conflicting or null labels are left out.
-    More labels than ``classes`` raise ValueError: none is left out in silence.
+    The ids are drawn by hash before any text is read: those of the ``per_class`` least hashes of each label, whatever
+    the partitions are, so the driver gets ``classes * per_class * windows * window`` bytes at most. ``labels`` has
+    ``id_col`` and ``label``; ids with conflicting or null labels are left out. Of several rows of one id, the one
+    whose windows have the least hash is taken. More labels than ``classes`` raise ValueError: none is left out in
+    silence.
     """
     clean = (labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
              .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y"))
@@ -90,26 +92,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
         raise ValueError(f"{label} has more than {classes} values")
     if not counts:
         return []
-    share = F.lit(0.0)
+    # A label's hashes are spread evenly over 64 bits: under this bound lie per_class of them and a margin of ten deviations.
+    bound = F.lit(0).cast("long")
     for y, n in counts.items():
-        share = F.when(F.col("_y") == F.lit(y), min(1.0, 1.1 * per_class / n)).otherwise(share)
-    draw = F.xxhash64("_id", F.lit(17))
-    drawn = clean.where(F.pmod(draw, F.lit(1_000_000)) < share * 1_000_000).withColumn("_k", F.xxhash64("_id", F.lit(18)))
-    drawn = drawn.limit(2 * per_class * len(counts))
+        share = min(1.0, (per_class + 10 * per_class**0.5 + 10) / n)
+        bound = F.when(F.col("_y") == F.lit(y), F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).otherwise(bound)
+    drawn = clean.withColumn("_k", F.xxhash64("_id", F.lit(17))).where(F.col("_k") <= bound)
+    least = Window.partitionBy("_y").orderBy("_k", "_id")
+    drawn = drawn.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= per_class).drop("_n")
 
     def cut(batches):
-        schema = pa.schema([("_y", "string"), ("_k", pa.int64()), ("_w", pa.list_(pa.binary()))])
+        schema = pa.schema([("_id", "string"), ("_y", "string"), ("_k", pa.int64()), ("_w", pa.list_(pa.binary()))])
         for batch in batches:
-            texts = batch.column(2)
-            yield to_arrow(schema, batch.column(0), batch.column(1), [[x[a:b] for a, b in windows_of(len(x), window, windows)] for x in ((t.as_py() or "").encode() for t in texts)])
+            texts = batch.column(3)
+            yield to_arrow(schema, batch.column(0), batch.column(1), batch.column(2), [[x[a:b] for a, b in windows_of(len(x), window, windows)] for x in ((t.as_py() or "").encode() for t in texts)])
 
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(drawn), "_id").select(F.col("_y").cast("string").alias("_y"), "_k", "_t")
-    rows = picked.mapInArrow(cut, "_y string, _k long, _w array<binary>").limit(2 * per_class * len(counts)).collect()
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(drawn), "_id").select(F.col("_id").cast("string"), F.col("_y").cast("string").alias("_y"), "_k", "_t")
+    one = Window.partitionBy("_id").orderBy(F.xxhash64("_w"))
+    rows = picked.mapInArrow(cut, "_id string, _y string, _k long, _w array<binary>").withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_id", "_y", "_k", "_w").collect()  # per_class a label at most
     kinds = {str(y): y for y in counts}
     found: dict[object, list] = {}
     for r in rows:
-        found.setdefault(kinds[r["_y"]], []).append((r["_k"], [bytes(x) for x in r["_w"]]))
-    return [(y, w) for y in sorted(found, key=str) for _, w in sorted(found[y])[:per_class]]  # by the ids' hash
+        found.setdefault(kinds[r["_y"]], []).append((r["_k"], r["_id"], [bytes(x) for x in r["_w"]]))
+    return [(y, w) for y in sorted(found, key=str) for _, _, w in sorted(found[y])]  # by the ids' hash
 
 
 class Adam:

@@ -9,6 +9,7 @@ files in the shared folder, so a lost executor costs a task and a new batch cost
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterable
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import children
 from .common import materialize, new_path, to_arrow
 
 #: What a line's key is stripped of at both ends (fixed by the contract).
@@ -52,28 +54,44 @@ def line_counts(docs: DataFrame, text_col: str = "text", batches: int = 1) -> Da
 
 
 class LineRuns:
-    """Sorted runs on levels; ``levels[k]`` lists the paths of level k's runs."""
+    """Sorted runs on levels; ``levels[k]`` lists level k's runs.
+
+    All runs lie in one table, bucketed and sorted by key, a partition a run: runs meet each other and a new
+    batch bucket by bucket, by merges of what is sorted already, and no stored run is ever shuffled again.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 4):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[str]] = []
+        self.path = new_path(spark, "line-runs")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _table(self, runs: Iterable[str]) -> str:
+        """A name in this session for some of the runs."""
+        name = f"line_runs_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (key binary, n bigint, run string) USING parquet PARTITIONED BY (run) CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        made = set(children(self.spark, self.path))
+        parts = [f"PARTITION (run = '{r}')" for r in runs if f"run={r}" in made]  # a run without keys has no folder
+        if parts:
+            self.spark.sql(f"ALTER TABLE {name} ADD {' '.join(parts)}")
+        return name
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"line-run-{level}")
-        counts.sortWithinPartitions("key").write.option("compression", "zstd").parquet(path)
+        run = f"{level}-{uuid.uuid4().hex}"
+        counts.select("key", "n").repartition(self.buckets, "key").withColumn("run", F.lit(run)).write.insertInto(self._table([]))
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
 
-    def _read(self, paths: Iterable[str]) -> DataFrame:
-        return self.spark.read.schema("key binary, n long").parquet(*paths)
+    def _read(self, runs: Iterable[str]) -> DataFrame:
+        return self.spark.table(self._table(runs)).select("key", "n")
 
     def counts(self) -> DataFrame:
         """(key, n) over all runs."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
+        runs = [r for level in self.levels for r in level]
+        if not runs:
             return self.spark.createDataFrame([], "key binary, n long")
-        return self._read(paths).groupBy("key").agg(F.sum("n").alias("n"))
+        return self._read(runs).groupBy("key").agg(F.sum("n").alias("n"))
 
     def common(self) -> DataFrame:
         """Keys found in ``min_docs`` documents or more."""
@@ -87,12 +105,12 @@ class LineRuns:
         """Add a batch's (key, n): leave out keys already common, write a run, compact full levels."""
         counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
         if any(self.levels):
-            counts = counts.join(self.common(), "key", "left_anti")
+            counts = counts.join(self.common().hint("merge"), "key", "left_anti")
         self._write(counts, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            paths, self.levels[level] = self.levels[level], []
-            self._write(self._read(paths).groupBy("key").agg(F.sum("n").alias("n")), level + 1)
+            runs, self.levels[level] = self.levels[level], []
+            self._write(self._read(runs).groupBy("key").agg(F.sum("n").alias("n")), level + 1)
             level += 1
 
 
@@ -138,11 +156,13 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = [(i.as_py(), key) for i, text in zip(batch.column(0), batch.column(1), strict=True) for key in set(line_keys(text.as_py())[1]) if key]
             yield to_arrow(kind, [p[0] for p in pairs], [p[1] for p in pairs])
 
-    # A key's fate is the same in every document, so rows that share an id may share their keys.
-    rows = base.select(F.col(id_col).cast("string").alias("_id"), text_col)
+    # A key's fate is the same in every document, so rows that share an id may share their keys; rows without an id
+    # are told apart by a hash of their text, else one key would hold all of theirs.
+    own_id = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.xxhash64(text_col).cast("string"))
+    rows = base.select(own_id.alias("_id"), text_col)
     hot = rows.mapInArrow(keyed, "_id string, key binary").join(common, "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("_hot"))
     # The columns of ``docs`` are set apart in a struct: none can clash with the join's own.
-    packed = base.select(F.struct(*names).alias("_row"), F.col(id_col).cast("string").alias("_own"))
+    packed = base.select(F.struct(*names).alias("_row"), own_id.alias("_own"))
     joined = packed.join(hot, F.col("_own").eqNullSafe(F.col("_id")), "left").select("_row", "_hot")
 
     def unpacked(it):

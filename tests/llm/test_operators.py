@@ -63,6 +63,20 @@ def test_line_runs_compact(spark, rows):
     assert [len(x) for x in runs.levels] == [0, 0, 1]
 
 
+def test_line_runs_are_not_shuffled_again(spark, rows):
+    """Counting over stored runs, and merging a batch with them, exchanges the batch only; null ids keep their rows apart."""
+    runs = linededup.LineRuns(spark, min_docs=2, fanout=4)
+    for k in (0, 10, 20):
+        runs.add(frame(spark, rows[k : k + 12]))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert len(runs.levels[0]) == 3 and "Exchange" not in plan(runs.counts())
+    batch = linededup.line_counts(frame(spark, rows)).groupBy("key").agg({"n": "sum"})
+    assert plan(batch.join(runs.common().hint("merge"), "key", "left_anti")).count("Exchange") == 1
+    unnamed = [(None, f"shared\nown {k}") for k in range(12)]
+    got = linededup.drop_common_lines(frame(spark, unnamed), min_docs=10, broadcast_keys=0).collect()
+    assert sorted(r["text"] for r in got) == sorted(f"own {k}" for k in range(12))
+
+
 @pytest.mark.parametrize("hot", [2048, 1])
 def test_repeats(spark, rows, hot):
     length = 120
@@ -455,6 +469,18 @@ def test_sample_is_drawn_by_hash(spark):
         common.labelled_sample(docs, docs, per_class=300, classes=1, **how)
 
 
+def test_sample_is_the_same_under_any_partitioning(spark):
+    """Each label gives its ``per_class`` least hashes, a rare one all it has; rows of one id give one, always the same."""
+    rows = [(i, f"{i} {k}", "rare" if i % 100 == 0 else "often") for i in range(3000) for k in range(3 if i % 7 == 0 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y string")
+    labels, draws = docs.select("doc_id", "y"), []
+    for n in (1, 3, 11):
+        got = common.labelled_sample(docs.repartition(n), labels.repartition(n + 1), id_col="doc_id", text_col="text", label="y", per_class=200, window=16, windows=1)
+        draws.append([(y, w[0]) for y, w in got])
+    assert draws[0] == draws[1] == draws[2]
+    assert collections.Counter(y for y, _ in draws[0]) == {"often": 200, "rare": 30} and len({w.split()[0] for _, w in draws[0]}) == 230
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
