@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, journeys, live, metrics, normalize, people, pos, replay, rules, sessions, spatial, tracks
 from ..sources import feeds
+from ..sources.candidates import read_candidates, store_candidates
 from ..sources.facts import FactTable
 from ..sources.storage import materialize, new_path
 from .adapter import BASE_SQL, END, START, Retail
@@ -835,6 +836,18 @@ def _(r):
     return people.upsert_candidates(every, every.where("confidence > 0").withColumn("confidence", F.col("confidence") / 2))
 
 
+@query("id17_stored_candidates", LINK_SQL + """ SELECT * REPLACE (CASE WHEN from_camera_id = 'CAM0' AND confidence > 0 THEN confidence / 2 ELSE confidence END AS confidence,
+  CASE WHEN from_camera_id = 'CAM0' AND confidence > 0 THEN 'again' ELSE reason END AS reason) FROM li""")
+def _(r):
+    """All candidates are stored; those of one camera with a confidence come again, so the other partitions stay untouched."""
+    path = new_path(r.spark, "candidates")
+    every = links(r)
+    store_candidates(every, path)
+    stored = read_candidates(r.spark, path, every.schema)
+    store_candidates(stored.where("from_camera_id = 'CAM0' AND confidence > 0").withColumn("confidence", F.col("confidence") / 2).withColumn("reason", F.lit("again")), path)
+    return read_candidates(r.spark, path, every.schema)
+
+
 @query("id18_candidate_list", LINK_SQL + " SELECT entity_a, entity_b, from_camera_id, to_camera_id, confidence, reason FROM li WHERE store_id = 'ST1001' AND accepted")
 def _(r):
     dated = links(r).withColumn("evaluated_at", at(END))
