@@ -21,9 +21,12 @@ LATE = "10 minutes"
 
 
 def read_lines(spark: SparkSession, path: str, *, files_a_trigger: int = 64) -> DataFrame:
-    """STR-1: JSON lines of new files as (value, arrival)."""
+    """STR-1: JSON lines of new files as (value, arrival).
+
+    A stream numbers no lines, so lines of one block of a file share their arrival: the file's time, name and block.
+    """
     text = spark.readStream.option("maxFilesPerTrigger", files_a_trigger).text(path)
-    return text.select("value", F.monotonically_increasing_id().alias("arrival"))
+    return text.select("value", F.struct(*[F.col(f"_metadata.{c}").alias(n) for c, n in (("file_modification_time", "time"), ("file_path", "file"), ("file_block_start", "block"))]).alias("arrival"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -131,13 +134,13 @@ class InEventTime(StatefulProcessor):
             made += out
             last = max(last, row[0])
             self.held.removeKey(place)
-        if ready:
-            self._wake(last + self.idle)
-        elif not self.held.exists() and mark >= (last or mark) + (self.idle if last else 0):
+        if not self.held.exists() and mark >= (last or mark) + (self.idle if last else 0):
             made += self.finish(own) if last else []
             self.own.clear()
             yield from self._output(key, made, late)
             return
+        if ready:
+            self._wake(last + self.idle)
         self.own.update((*own, late, number, last))
         yield from self._output(key, made, late)
 

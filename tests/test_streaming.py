@@ -148,3 +148,27 @@ def test_feed_table(spark, rows, tmp_path):
     q.stop()
     assert {r.store_id: r.last_event for r in streaming.read_feed(spark, str(tmp_path / "feed")).collect()} == {s: max(r[4] for r in rows if r[1] == s) for s in ("S1", "S9")}
     assert len([n for n in os.listdir(tmp_path / "feed") if n.startswith("version=")]) <= 2
+
+
+def test_lines_of_new_files(spark, tmp_path):
+    """Lines are parsed as in the batch job; those of an earlier file come first."""
+    line = lambda who, second: '{"event_type": "entry", "id_token": "%s", "store_code": "S1", "camera_id": "C", "event_timestamp": "2024-01-01T00:00:%02dZ"}' % (who, second)
+    source = tmp_path / "in"
+    source.mkdir()
+    for n, text in enumerate((line("a", 1) + "\nnot json", line("b", 2))):
+        (source / f"{n}.jsonl").write_text(text)
+        os.utime(source / f"{n}.jsonl", (1700000000 + n, 1700000000 + n))
+    q = streaming.parsed(streaming.read_lines(spark, str(source), files_a_trigger=1)).writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("lines").orderBy("arrival", F.col("error").isNotNull()).collect()
+    assert [(r.source_value, r.error) for r in got] == [("a", None), (None, "not a JSON event"), ("b", None)]
+
+
+def test_idle_tracks_end_with_the_trigger_that_passes_them(spark, tmp_path):
+    """One jump of the watermark takes the rows of a track and finds it idle: its open visit ends without a later trigger."""
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [(1, "S1", "a", "entry", at(0), None, "1"), (2, "S1", "a", "entry", at(5), None, "2"), (3, "S1", "z", "exit", at(6000), None, "3")]
+    hits = lambda s: s.select("store_id", F.col("entity_id").alias("track_id"), F.lit("Z").alias("zone_id"), F.col("event_id").cast("int").alias("frame"), "ts", (F.col("event_type") != "exit").alias("inside"))
+    got = run(spark, rows, tmp_path, lambda s: streaming.zone_visits(hits(s), late="1 hour"))
+    assert [(r.track_id, (r.exit_us - r.enter_us) // 1000000) for r in got] == [("a", 300)]
