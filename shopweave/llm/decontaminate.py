@@ -2,8 +2,8 @@
 
 Each shard of documents (a bounded run of words within a task) gets a suffix array, and
 every suffix of the benchmark items is binary-searched in it, which gives the longest
-verbatim match, its count and its locations. Occurrences of ``window`` item words mark
-the document words that they cover. Matching runs where the documents lie; the benchmark
+verbatim matches and their locations; these mark the document words that they cover.
+A match counts from ``window`` words on, or all words of a shorter item. Matching runs where the documents lie; the benchmark
 is sent to the tasks in blocks of bounded size, one stored pass a block.
 """
 
@@ -30,6 +30,8 @@ WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_BYTES = 8 << 20
 #: Words of a shard; a longer document is a shard alone.
 SHARD_WORDS = 1 << 18
+#: Places of one item's suffixes that are chained to longest matches at once.
+PLACES = 1 << 22
 
 
 def words(text: bytes) -> list[bytes]:
@@ -46,20 +48,20 @@ class Items:
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
         ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in split]
         self.need = np.array([min(window, len(x)) for x in ids], np.int64)
-        owner, rows, place = [], [], []
+        owner, rows = [], []
         for k, x in enumerate(ids):
             for s in range(len(x) - int(self.need[k]) + 1):
                 owner.append(k)
-                place.append(s)
                 rows.append(np.pad(x[s : s + window], (0, max(0, window - len(x[s:])))))
         rows = np.array(rows, np.int64).reshape(-1, window)
         size = self.need[owner] if owner else np.zeros(0, np.int64)
         rows[np.arange(window)[None] >= size[:, None]] = 0
-        # Equal suffixes are searched once.
+        # Equal suffixes are searched once; ``suffixes`` are the queries of item k from start[k] on, by place.
         both, back = np.unique(np.column_stack([size, rows]), axis=0, return_inverse=True)
+        self.suffixes, self.start = back.ravel(), np.searchsorted(np.array(owner, np.int64), np.arange(len(ids) + 1))
         self.size, self.queries = both[:, 0], both[:, 1:]
         order = np.argsort(back.ravel(), kind="stable")
-        self.owners, self.places = np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
+        self.owners = np.array(owner, np.int64)[order]
         self.first = np.searchsorted(back.ravel()[order], np.arange(len(both) + 1))
         self.shortest = int(self.need.min(initial=window))
 
@@ -135,39 +137,55 @@ def shard(data: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, n
     return count, row, ((k, near[starts]) for k, starts in find(ids[near], room[near], items))
 
 
-def longest_matches(data: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, item word, row word, words) of every longest verbatim match of ``window`` words or more.
+def longest_matches(data: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Words of each row, each word's row, and (item, word positions, item words, words) of every longest verbatim match.
 
-    Suffixes that follow each other in the item and in the row are one match.
+    Suffixes found one word apart in the item and in the row are one match; it has ``window`` words or all of a shorter item.
     """
     count, row, hits = shard(data, at, items)
-    first, found = np.cumsum(count) - count, []
-    for k, where in hits:
-        for j in range(items.first[k], items.first[k + 1]):
-            found.append(np.column_stack([row[where], np.full(len(where), items.owners[j]), where - items.places[j], np.full(len(where), items.places[j]), where - first[row[where]], np.full(len(where), items.size[k])]))
-    if not found:
-        return []
-    every = np.concatenate(found)
-    every = every[np.lexsort(every.T[[3, 2, 1, 0]])]  # by row, item, diagonal, item word
-    new = np.concatenate([[True], (every[1:, :3] != every[:-1, :3]).any(1) | (every[1:, 3] != every[:-1, 3] + 1)])
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(every)) - 1
-    words_ = every[end, 3] - every[begin, 3] + every[begin, 5]
-    return list(zip(every[begin, 0].tolist(), every[begin, 1].tolist(), every[begin, 3].tolist(), every[begin, 4].tolist(), words_.tolist(), strict=True))
+
+    def chained() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        places = {k: np.sort(where) for k, where in hits}
+        owners = [items.owners[items.first[k] : items.first[k + 1]] for k in places]
+        for item in np.unique(np.concatenate(owners)).tolist() if owners else ():
+            own = items.suffixes[items.start[item] : items.start[item + 1]].tolist()
+            found = [(s, places[k]) for s, k in enumerate(own) if k in places]
+            for key in diagonals(found, len(own)):
+                new = np.diff(key, prepend=key[0] - 2) != 1
+                begin = np.flatnonzero(new)
+                words_ = np.diff(np.append(begin, len(key))) - 1 + int(items.need[item])
+                diagonal, place = np.divmod(key[begin], len(own) + 1)
+                yield item, diagonal + place - len(own), place, words_
+
+    return count, row, chained()
+
+
+def diagonals(found: list[tuple[int, np.ndarray]], size: int) -> Iterator[np.ndarray]:
+    """(item word, sorted row words) as sorted keys in which the places of one match follow each other by one.
+
+    A match lies on one diagonal (row word less item word). At most about ``PLACES`` keys are made at once, by ranges of diagonals.
+    """
+    total = sum(len(w) for _, w in found)
+    low, high = min(int(w[0]) - s for s, w in found), max(int(w[-1]) - s for s, w in found) + 1
+    step = high - low if total <= PLACES else max(1, PLACES // size)
+    for d in range(low, high, step):
+        cut = [(s, w[np.searchsorted(w, d + s) : np.searchsorted(w, d + step + s)]) for s, w in found]
+        key = np.concatenate([(w - s + size) * (size + 1) + s for s, w in cut])
+        if len(key):
+            key.sort()
+            yield key
 
 
 def match_shard(data: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
-    """Words of each row, its hit word ranges [begin, end), and the numbers of its items."""
-    count, row, hits = shard(data, at, items)
+    """Words of each row, the word ranges [begin, end) that its longest matches cover, and the numbers of its items."""
+    count, row, found_matches = longest_matches(data, at, items)
     rows, first = len(count), np.cumsum(count) - count
     cover, found = np.zeros(len(row) + 1, np.int64), [set() for _ in range(rows)]
-    for k, where in hits:
-        size = int(items.size[k])
+    for item, where, _, words_ in found_matches:
         np.add.at(cover, where, 1)
-        np.add.at(cover, where + size, -1)
-        own = items.owners[items.first[k] : items.first[k + 1]].tolist()
+        np.add.at(cover, where + words_, -1)
         for r in np.unique(row[where]).tolist():
-            found[r].update(own)
+            found[r].add(item)
     hit = np.cumsum(cover[:-1]) > 0
     spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
     if hit.any():
@@ -242,8 +260,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
         def run(batches):
             items = Items(sent.value, window)
             for batch, data, at in small_batches(batches, text_col, SHARD_WORDS * 6):
-                cols = list(zip(*longest_matches(data, at, items), strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(cols[0], pa.int64())), pa.array([str(items.names[k]) for k in cols[1]], pa.string()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=schema.names)
+                count, row, found = longest_matches(data, at, items)
+                first = np.cumsum(count) - count
+                for item, where, place, words_ in found:
+                    own = row[where]
+                    yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(own)), pa.array([str(items.names[item])] * len(own), pa.string()), *[pa.array(c, pa.int64()) for c in (place, where - first[own], words_)]], names=schema.names)
 
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -105,6 +106,27 @@ def test_run_length_index():
         assert [g.tolist() for g in got] == [[k for k in range(len(p) - size + 1) if seen[p[k : k + size]] > 1] for p in parts]
 
 
+def test_longest_matches_by_ranges_of_diagonals(monkeypatch):
+    """Repeated words, where an item's suffixes occur at many places: the same matches whatever is chained at once."""
+    named = [(1, "a " * 30), (2, "b " + "a " * 12 + "b"), (3, "a"), (4, "c a"), (5, "a " * 30)]
+    items = decontaminate.Items(named, 10)
+    texts = [b"a " * 50 + b"b " + b"a " * 12 + b"b c", b"a", b"", b"c a b", b"a " * 9 + b"c a"]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = set()
+    for r, w in enumerate(decontaminate.words(t) for t in texts):
+        for j, v in enumerate(decontaminate.words(t.encode()) for _, t in named):
+            for a, b in itertools.product(range(len(w)), range(len(v))):
+                n = next((n for n in range(len(v) + 1) if a + n >= len(w) or b + n >= len(v) or w[a + n] != v[b + n]), len(v))
+                if n >= min(10, len(v)) and not (a and b and w[a - 1] == v[b - 1]):
+                    want.add((r, j, b, a, n))
+    for most in (1 << 22, 40, 1):
+        monkeypatch.setattr(decontaminate, "PLACES", most)
+        count, row, found = decontaminate.longest_matches(data, at, items)
+        first = np.cumsum(count) - count
+        got = [(int(row[w]), j, int(p), int(w - first[row[w]]), int(n)) for j, where, place, size in found for w, p, n in zip(where, place, size, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_decontamination(spark, rows):
     items = [(1, rows[11][1]), (2, "WORD"), (3, None), (4, "..."), (None, rows[12][1]), (5, " ".join(rows[7][1].split()[50:75])), (15, "nothing here matches at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
