@@ -7,9 +7,11 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shopweave.llm import bitsliced, common, decontaminate, huffman, langid, linededup, minhash, packing, quality, substrings, tokens, toxicity
@@ -106,6 +108,44 @@ def test_run_length_index():
         assert [g.tolist() for g in got] == [[k for k in range(len(p) - size + 1) if seen[p[k : k + size]] > 1] for p in parts]
 
 
+def test_run_length_index_memory():
+    """Two workers of an executor index at once, so an index of repeated segments stays under 90 bytes a byte of them."""
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(97, 123, 600).astype(np.uint8).tobytes() for _ in range(400)]
+    parts += [p[3:] + b"xyz" for p in parts]
+    tracemalloc.start()
+    try:
+        got = substrings.repeated_starts(parts, np.full(len(parts), 201), 400)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [g.tolist() for g in got] == [list(range(3, 198 + 3))] * 400 + [list(range(198))] * 400
+    assert peak < 90 * sum(map(len, parts))
+
+
+@pytest.mark.parametrize("most", [1 << 19, 900, 1])
+def test_buckets_are_indexed_by_whole_anchors(monkeypatch, most):
+    """However little an index may take, all segments of an anchor are in one, and every repeat is found."""
+    rng, length = np.random.default_rng(4), 20
+    monkeypatch.setattr(substrings, "INDEXED", most)
+    groups = rng.integers(-5, 5, 60)
+    base = [rng.integers(97, 123, 90).astype(np.uint8).tobytes() for _ in range(10)]  # a text for each anchor
+    parts = [base[g + 5][a : a + n] for g, a, n in zip(groups, rng.integers(0, 50, 60), rng.integers(20, 40, 60), strict=True)]
+    sizes = np.array([len(p) for p in parts])
+    taken = [rows.tolist() for rows in substrings.whole_anchors(groups, sizes)]
+    assert sorted(itertools.chain(*taken)) == list(range(60))
+    for rows in taken:
+        assert len(set(groups[rows])) == 1 or sizes[rows].sum() <= most
+        assert all((groups == g).sum() == (groups[rows] == g).sum() for g in set(groups[rows]))
+    assert len(taken) == {1 << 19: 1, 1: len(set(groups))}.get(most, len(taken))
+    table = pa.table({"grp": groups, "key": [b"%d" % i for i in range(60)], "start": np.full(60, 7), "starts": pa.array(sizes - length + 1, pa.int32()), "weight": pa.array([1] * 60, pa.int32()), "bytes": parts})
+    seen = collections.Counter(p[k : k + length] for p in parts for k in range(len(p) - length + 1))
+    want = {(b"%d" % i, 7 + k) for i, p in enumerate(parts) for k in range(len(p) - length + 1) if seen[p[k : k + length]] > 1}
+    marks = pa.Table.from_batches(substrings._bucket_marks(table, length)).to_pylist()
+    assert {(m["key"], k) for m in marks for k in range(m["begin"], m["end"] - length + 1)} == want
+    assert list(substrings.whole_anchors(groups[:0], sizes[:0])) == []
+
+
 def test_longest_matches_by_ranges_of_diagonals(monkeypatch):
     """Repeated words, where an item's suffixes occur at many places: the same matches whatever is chained at once."""
     named = [(1, "a " * 30), (2, "b " + "a " * 12 + "b"), (3, "a"), (4, "c a"), (5, "a " * 30)]
