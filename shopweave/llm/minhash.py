@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches, text_buffer
+from .common import materialize, row_chunks, small_batches, text_buffer
 from .graph import components
 
 BANDS, ROWS = 32, 5
@@ -80,6 +80,13 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = 4) -> Iterator[np.nd
             yield np.unique(_mix(got + np.uint64(size)))
 
 
+def text_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """``shingle_sets`` of whole texts, about a MB of them hashed at once; a longer one alone."""
+    at = np.cumsum([0, *map(len, texts)])
+    for i, j in row_chunks(at):
+        yield from shingle_sets(np.frombuffer(b"".join(texts[i:j]), np.uint8), at[i : j + 1] - at[i], k)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Minima of ``HASHES`` multiply-add hashes, uint32."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -192,9 +199,7 @@ def _across(members: DataFrame, traits: DataFrame, texts: DataFrame, least: floa
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, (comp, found) = pdf["id"].to_numpy(), similar(pdf)
-        raw = [t.encode() for t in pdf["text"]]
-        at = np.cumsum([0, *map(len, raw)])
-        sets = list(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, k))
+        sets = list(text_sets([t.encode() for t in pdf["text"]], k))
         size = np.array([len(x) for x in sets])
         first = np.cumsum(size) - size
         number = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()

@@ -253,6 +253,22 @@ def test_near_duplicate_blocks(spark, monkeypatch, dense):
     assert sizes and max(sizes) < 12 and all(r["kept"] for r in got.values())
 
 
+def test_text_sets_memory():
+    """A block of a dense bucket has some MB of text: its sets are those of one pass, in a fraction of the memory."""
+    rng = np.random.default_rng(5)
+    texts = [b"", *(b" ".join(b"w%d" % x for x in rng.integers(0, 50000, 400)) for _ in range(2200)), b"a b", b"", b"x " * 9]
+    at = np.cumsum([0, *map(len, texts)])
+    want = list(minhash.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), at, 5))
+    tracemalloc.start()
+    try:
+        got = list(minhash.text_sets(texts, 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(texts) == len(got) and all(map(np.array_equal, got, want))
+    assert peak < 8 * at[-1]
+
+
 def test_near_duplicate_null_ids(spark):
     got = minhash.link(spark.createDataFrame([(None, "a b c"), (3, "a b c"), (2, "A  b c"), (2, "other words")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] is None, r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None) == [(False, 2, False), (False, 2, True), (False, 2, True)]
@@ -342,6 +358,23 @@ def test_packing(spark, rows):
     assert found == ids
 
 
+def test_packing_memory(monkeypatch):
+    """A batch of any size is encoded a MB at a time: two workers of an executor keep what that took."""
+    class Docs:
+        schema = {"doc_id": packing.T.StructField("doc_id", packing.T.LongType())}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run  # noqa: E731, N815
+
+    enc, seen = tokens.Encoder(tokenizer_path("word_bpe_49k.json"), "word"), []
+    monkeypatch.setattr(packing, "encoder", lambda *_: enc)
+    monkeypatch.setattr(enc, "ended", lambda data, at, end, own=enc.ended: (seen.append(len(data)), own(data, at, end))[1])
+    texts = [words(random.Random(n), 150) for n in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": texts})
+    parts = list(packing.token_pieces(Docs(), "-")([batch]))
+    assert sum(seen) == sum(len(t.encode()) for t in texts) > 2 << 20 and max(seen) <= 1 << 20
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(4000))
+
+
 def test_packing_repeated_rows(spark):
     """Equal rows are spread over the groups as any others are."""
     docs = spark.createDataFrame([(1, "the same words again")] * 4000, "doc_id long, text string")
