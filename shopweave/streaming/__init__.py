@@ -6,6 +6,9 @@ source and back at the sink, under a UTC session.
 
 from __future__ import annotations
 
+import json
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +21,8 @@ from ..operators import normalize
 from ..sources.storage import children, remove
 
 LATE = "10 minutes"
+#: Parts of the state that keys share, fixed for the life of a checkpoint; seconds of event time that held rows of a shard are stored by.
+SHARDS, SLICE = 256, 600
 
 
 def read_lines(spark: SparkSession, path: str, *, files_a_trigger: int = 64) -> DataFrame:
@@ -76,88 +81,157 @@ class LateRows(StreamingQueryListener):
 
 
 class InEventTime(StatefulProcessor):
-    """Holds the rows of a key until the watermark passes them, then takes them in event time.
+    """Holds the rows of keys until the watermark passes them, then takes each key's rows in event time.
 
     ``step(own, row) -> (own, outputs)``: ``own`` is the key's own state, ``row`` (time in microseconds, *columns).
-    Each held row is an entry of its own in the state, with a timer at its time, so a trigger touches the rows that
-    come or fall due and no others. Rows that come after the watermark has passed them are dropped and counted: each
-    output tells how many its key has lost so far. A key without rows for ``idle`` seconds of event time gives
-    ``finish(own)`` and is forgotten.
+    Keys share a shard, whose state is told apart by key and time: rows wait in parts, one a trigger and slice of time,
+    with one timer a shard at the least time that waits. So a trigger touches the rows that come, the slices that fall
+    due and the keys in them, and no others; calls to the store grow with parts and due keys instead of rows. Rows that
+    come after the watermark has passed them are dropped and counted: each output tells how many its key has lost so
+    far. A key without rows for ``idle`` seconds of event time gives ``finish(own)`` and is forgotten.
     """
 
-    def __init__(self, out: list[str], columns: list[str], kinds: str, own: str, step, start: tuple, finish, idle: int):
-        self.out, self.columns, self.kinds, self.kind_of_own = out, columns, kinds, own
+    def __init__(self, out: list[str], keys: list[str], columns: list[str], own: str, step, start: tuple, finish, idle: int):
+        self.out, self.keys, self.columns, self.kind_of_own = out, keys, columns, own
         self.step, self.start, self.finish, self.idle = step, start, finish, idle * 1000000
+        self.widths = {"held": SLICE * 1000000, "ends": max(self.idle // 64, 1000000)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "at long, n long", self.kinds)
-        self.own = handle.getValueState("own", f"{self.kind_of_own}, late long, rows long, last long")
-
-    def _load(self) -> tuple[list, int, int, int]:
-        if not self.own.exists():
-            return list(self.start), 0, 0, 0
-        *own, late, rows, last = self.own.get()
-        return own, late, rows, last
-
-    def _output(self, key: tuple, made: list, late: int) -> Iterator[pd.DataFrame]:
-        if made:
-            yield pd.DataFrame([(*key, *m, late) for m in made], columns=self.out)
-
-    def _wake(self, at: int) -> None:
-        """A timer for when the watermark has passed ``at`` microseconds."""
-        self.handle.registerTimer(at // 1000 + 1)
+        self.parts = {kind: handle.getMapState(kind, "slice long, part long", "items binary") for kind in self.widths}
+        self.own = handle.getMapState("own", "key string", f"{self.kind_of_own}, late long, last long, listed long")
+        self.saved = handle.getValueState("index", "index binary")
+
+    # The shard's index: for each kind the slices with their least time and parts, the next part's number, the timer.
+    def _load(self) -> None:
+        self.index = pickle.loads(self.saved.get()[0]) if self.saved.exists() else {"held": {}, "ends": {}, "next": 0, "timer": None}
+
+    def _save(self) -> None:
+        """The index, with a timer for when the watermark has passed the least time that waits; nothing if nothing waits."""
+        index, old = self.index, self.index["timer"]
+        least = min((at for kind in self.widths for at, _ in index[kind].values()), default=None)
+        index["timer"] = None if least is None else least // 1000 + 1
+        if index["timer"] != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if least is not None:
+                self.handle.registerTimer(index["timer"])
+        if least is None:
+            self.saved.clear()
+        else:
+            self.saved.update((pickle.dumps(index),))
+
+    def _put(self, kind: str, items: list[tuple]) -> None:
+        """Store items (time, key, ...) in a new part of each of their slices."""
+        slices: dict = {}
+        for item in items:
+            slices.setdefault(item[0] // self.widths[kind], []).append(item)
+        for number, own in slices.items():
+            self.parts[kind].updateValue((number, self.index["next"]), (pickle.dumps(own),))
+            entry = self.index[kind].setdefault(number, [own[0][0], []])
+            entry[0] = min(entry[0], min(item[0] for item in own))
+            entry[1].append(self.index["next"])
+            self.index["next"] += 1
+
+    def _items(self, kind: str, number: int) -> list[tuple]:
+        return [item for part in self.index[kind][number][1] for item in pickle.loads(self.parts[kind].getValue((number, part))[0])]
+
+    def _take(self, kind: str, mark: int) -> list[tuple]:
+        """Remove and return the items up to ``mark``."""
+        due, rest = [], []
+        for number in [n for n, (least, _) in self.index[kind].items() if least <= mark]:
+            for item in self._items(kind, number):
+                (due if item[0] <= mark else rest).append(item)
+            for part in self.index[kind].pop(number)[1]:
+                self.parts[kind].removeKey((number, part))
+        self._put(kind, rest)
+        return due
+
+    def _own(self, key: tuple) -> list:
+        """[own, late, last, listed]: ``listed`` is the time at which the key is looked at for being idle."""
+        found = self.own.getValue((json.dumps(key),))
+        if found is None:
+            return [list(self.start), 0, 0, 0]
+        *own, late, last, listed = found
+        return [own, late, last, listed]
+
+    def _keep(self, key: tuple, own: list, late: int, last: int, listed: int) -> None:
+        self.own.updateValue((json.dumps(key),), (*own, late, last, listed))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        own, late, number, last = self._load()
+        self._load()
+        late: Counter = Counter()
+        held: list[tuple] = []
         for pdf in rows:
-            for at, *fields in pdf[["at", *self.columns]].itertuples(index=False, name=None):
+            plain = lambda c: pdf[c].astype(object).where(pdf[c].notna(), None).tolist()  # noqa: B023, E731
+            who, what = zip(*[plain(c) for c in self.keys], strict=True), zip(*[plain(c) for c in self.columns], strict=True)
+            for at, name, fields in zip(pdf["at"].tolist(), who, what, strict=True):
                 if at <= mark:
-                    late += 1
-                    continue
-                self.held.updateValue((int(at), number), tuple(None if pd.isna(x) else x for x in fields))
-                self._wake(int(at))
-                number += 1
-        if late and not number and not last:
-            self._wake(mark + self.idle)  # only late rows so far: the key is forgotten like others
-        self.own.update((*own, late, number, last))
+                    late[name] += 1
+                else:
+                    held.append((int(at), name, fields))
+        self._put("held", held)
+        ends = []
+        for name, n in late.items():
+            own, before, last, listed = self._own(name)
+            if not listed:  # perhaps only late rows so far: the key is forgotten like others
+                listed = mark + self.idle
+                ends.append((listed, name))
+            self._keep(name, own, before + n, last, listed)
+        self._put("ends", ends)
+        self._save()
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        own, late, number, last = self._load()
-        ready = sorted(((k[0], *v), k) for k, v in self.held.iterator() if k[0] <= mark) if self.held.exists() else []
+        self._load()
+        self.index["timer"] = None
+        known: dict = {}
         made: list = []
-        for row, place in ready:
-            own, out = self.step(own, row)
-            made += out
-            last = max(last, row[0])
-            self.held.removeKey(place)
-        if not self.held.exists() and mark >= (last or mark) + (self.idle if last else 0):
-            made += self.finish(own) if last else []
-            self.own.clear()
-            yield from self._output(key, made, late)
-            return
-        if ready:
-            self._wake(last + self.idle)
-        self.own.update((*own, late, number, last))
-        yield from self._output(key, made, late)
+        for at, name, fields in sorted(self._take("held", mark), key=lambda item: (item[0], item[2])):
+            state = known[name] = known.get(name) or self._own(name)
+            state[0], out = self.step(state[0], (at, *fields))
+            state[2] = max(state[2], at)
+            made += [(*name, *m, state[1]) for m in out]
+        for at, name in self._take("ends", mark):
+            state = known.get(name) or self._own(name)
+            if state[3] == at:  # else the key was forgotten since, and perhaps came again
+                state[3] = 0
+                known[name] = state
+        idle = {name for name, (_, _, last, _) in known.items() if mark >= (last or mark) + (self.idle if last else 0)}
+        waiting = {item[1] for number in self.index["held"] for item in self._items("held", number)} if idle else set()
+        ends = []
+        for name, state in known.items():
+            own, late, last, listed = state
+            if name in idle and name not in waiting:
+                made += [(*name, *m, late) for m in (self.finish(own) if last else [])]
+                self.own.removeKey((json.dumps(name),))
+                continue
+            if not listed:
+                state[3] = mark + self.idle if name in idle else last + self.idle
+                ends.append((state[3], name))
+            self._keep(name, *state)
+        self._put("ends", ends)
+        self._save()
+        if made:
+            yield pd.DataFrame(made, columns=self.out)
 
     def close(self) -> None:
         pass
 
 
 def _stateful(events: DataFrame, keys: list[str], columns: dict[str, str], out: str, own: str, step, start: tuple, *, idle: int, finish=lambda own: []) -> DataFrame:
-    """Keyed state in RocksDB, which transformWithState needs; the session is told so."""
+    """State of shards of keys in RocksDB, which transformWithState needs; the session is told so."""
     spark, rocks = events.sparkSession, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
     out = f"{out}, late_rows long"
     names = [c.split()[0] for c in out.split(", ")]
-    processor = InEventTime(names, list(columns), ", ".join(f"{n} {t}" for n, t in columns.items()), own, step, start, finish, idle)
-    rows = events.select(*keys, "ts", F.unix_micros("ts").alias("at"), *[F.col(n).cast(t) for n, t in columns.items()])
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime")
+    processor = InEventTime(names, keys, list(columns), own, step, start, finish, idle)
+    shard = F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int").alias("shard")
+    rows = events.select(shard, *keys, "ts", F.unix_micros("ts").alias("at"), *[F.col(n).cast(t) for n, t in columns.items()])
+    return rows.groupBy("shard").transformWithStateInPandas(processor, out, "append", "eventTime")
 
 
 def visits(events: DataFrame, *, late: str = LATE, idle: int = 365 * 86400) -> DataFrame:

@@ -172,3 +172,33 @@ def test_idle_tracks_end_with_the_trigger_that_passes_them(spark, tmp_path):
     hits = lambda s: s.select("store_id", F.col("entity_id").alias("track_id"), F.lit("Z").alias("zone_id"), F.col("event_id").cast("int").alias("frame"), "ts", (F.col("event_type") != "exit").alias("inside"))
     got = run(spark, rows, tmp_path, lambda s: streaming.zone_visits(hits(s), late="1 hour"))
     assert [(r.track_id, (r.exit_us - r.enter_us) // 1000000) for r in got] == [("a", 300)]
+
+
+def test_held_rows_share_entries(spark, tmp_path):
+    """300 rows of 30 entities that wait are stored by shard and slice of time, under one timer a shard, not one by one."""
+    rows = [(k, "S1", f"e{k % 30}", "entry" if k % 10 < 9 else "exit", T0 + dt.timedelta(seconds=k), None, "") for k in range(300)]
+    source = tmp_path / "in"
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).parquet(str(source))
+    q = streaming.visits(stream, late="1 hour").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert 0 < held <= 30 * 4  # of a shard: a part, the index, its timer in both indexes
+
+
+def test_keys_that_come_again_and_late_ones(spark, tmp_path):
+    """An entity that was forgotten starts anew; one that has only been late is forgotten too; null attributes are kept."""
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    row = lambda k, who, kind, m: (k, "S1", who, kind, at(m), None, str(k))
+    files = [[row(1, "a", "entry", 0), row(2, "z", "entry", 200)], [row(3, "b", "exit", 5), row(4, "a", "exit", 210), row(5, "z", None, 900)], [row(6, "z", "entry", 2000)], [row(7, "a", "exit", 2110), row(8, "a", "entry", 2105), row(9, "z", "entry", 4000)], [row(10, "z", "entry", 8000)]]
+    source = tmp_path / "in"
+    for part in files:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = streaming.visits(stream, late="1 hour", idle=4 * 3600).writeStream.format("memory").queryName("again").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    got = sorted((r.entity_id, r.session_no, r.entry_us - r.exit_us, r.late_rows) for r in spark.table("again").collect())
+    assert got == [("a", 0, -210 * 60 * 1000000, 0), ("a", 0, -5 * 60 * 1000000, 0)] and left <= 6  # z: a held part, its own state and when to look at it; the index, and its timer twice
